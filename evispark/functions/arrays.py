@@ -6,6 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a bound variable.
+
+    Spark copies an aliased expression to every place that uses it when it
+    merges projections or pushes filters down; inside a lambda that means once
+    for each element. A lambda variable is never copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def counted(values: Column, weight: float = 1.0) -> Column:
+    """(term, tf) pairs of an array, counted inside the row."""
+    return let(
+        F.sort_array(values), lambda s: let(run_starts(s), lambda p: run_lengths(s, p, weight))
+    )
+
+
 def run_starts(ordered: Column) -> Column:
     """1-based positions where a sorted array begins a new value."""
     return F.when(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evispark.functions.arrays import let
 from evispark.functions.text import words
 
 # --- fixed values: price per million tokens ---------------------------------
@@ -54,12 +55,15 @@ def usage_cost(model: Column, tokens_in: Column, tokens_out: Column, prices=None
 
 def md5_mod(text: Column, modulus: int) -> Column:
     """md5 of the text as a 128-bit number modulo ``modulus``, 32 bits at a time."""
-    digest = F.md5(text.cast("binary"))
-    acc = F.lit(0).cast("bigint")
-    for i in range(4):
-        part = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
-        acc = (acc * F.lit(1 << 32) + part) % F.lit(modulus)
-    return acc.cast("int")
+
+    def fold(digest: Column) -> Column:
+        acc = F.lit(0).cast("bigint")
+        for i in range(4):
+            part = F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")
+            acc = (acc * F.lit(1 << 32) + part) % F.lit(modulus)
+        return acc.cast("int")
+
+    return let(F.md5(text.cast("binary")), fold)
 
 
 def hash_buckets(text: Column, dim: int = 384) -> Column:
@@ -74,7 +78,9 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalise(v: Column) -> Column:
     """Unit-length copy; the zero vector is returned as it is."""
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    return let(
+        F.when(norm == 0, F.lit(1.0)).otherwise(norm), lambda n: F.transform(v, lambda x: x / n)
+    )
 
 
 def draw_index(n: Column, *key: Column) -> Column:

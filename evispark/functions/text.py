@@ -90,7 +90,11 @@ CITATION = r"\b([A-Z]{2,3}-\d{5})\b"
 
 
 def casefold(text: Column) -> Column:
-    return F.replace(F.translate(F.lower(text), "ςſ", "σs"), F.lit("ß"), F.lit("ss"))
+    """Lower case plus the foldings lower() leaves out."""
+    out = F.lower(text)
+    for old, new in (("ß", "ss"), ("ς", "σ"), ("ſ", "s")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
 
 
 def tokens(text: Column) -> Column:

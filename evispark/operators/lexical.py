@@ -30,21 +30,21 @@ def count_terms(docs: DataFrame, fields=PLAIN, keep=()) -> DataFrame:
     every element.
     """
     base = ["tenant", "doc_id", *keep]
-    n = range(len(fields))
     d = spread(docs.select(*base, *[F.col(c).alias(f"_x{i}") for i, (c, _) in enumerate(fields)]))
     empty = F.array().cast("array<string>")
-    d = d.select(*base, *[F.coalesce(text.tokens(F.col(f"_x{i}")), empty).alias(f"_t{i}") for i in n])
-    d = d.select(*base, *[F.sort_array(f"_t{i}").alias(f"_s{i}") for i in n])
-    dl = sum((F.lit(float(w)) * F.size(f"_s{i}") for i, (_, w) in enumerate(fields)), F.lit(0.0))
-    d = d.select(
-        *base, dl.alias("dl"), *[f"_s{i}" for i in n],
-        *[arrays.run_starts(F.col(f"_s{i}")).alias(f"_p{i}") for i in n],
+    pairs = F.concat(
+        *[
+            arrays.counted(F.coalesce(text.tokens(F.col(f"_x{i}")), empty), w)
+            for i, (_, w) in enumerate(fields)
+        ]
     )
-    pairs = [
-        arrays.run_lengths(F.col(f"_s{i}"), F.col(f"_p{i}"), w) for i, (_, w) in enumerate(fields)
-    ]
-    head = F.array(F.struct(F.lit("").alias("term"), F.col("dl").alias("tf")))
-    return d.select(*base, "dl", F.concat(head, *pairs).alias("terms"))
+
+    def with_length(counts):
+        dl = F.aggregate(counts, F.lit(0.0), lambda s, t: s + t["tf"])
+        head = lambda n: F.array(F.struct(F.lit("").alias("term"), n.alias("tf")))
+        return arrays.let(dl, lambda n: F.struct(n.alias("dl"), F.concat(head(n), counts).alias("terms")))
+
+    return d.select(*base, arrays.let(pairs, with_length).alias("_c")).select(*base, "_c.dl", "_c.terms")
 
 
 def postings(docs: DataFrame, fields=PLAIN) -> DataFrame:

@@ -1,7 +1,7 @@
 """The given tables seen as passages, questions and links.
 
-documents are passages: tenant = lang, document name = source, ordinal =
-doc_id; four consecutive ids share a page and the fourth reaches into the next.
+documents are passages: tenant = lang, ordinal = doc_id, fifty consecutive ids
+make one source document; four consecutive ids share a page and the fourth reaches into the next.
 benchmark items are questions asked of every declared tenant; their gold
 pages are those of the passages quoting the item verbatim.
 """
@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     page = F.expr("cast(doc_id div 4 + 1 as int)")
     return table(spark, sf, "documents").select(
-        "doc_id", F.col("lang").alias("tenant"), "source", "text", page.alias("page_number"),
+        "doc_id", F.col("lang").alias("tenant"), "source",
+        F.expr("concat('vol-', doc_id div 50)").alias("document"), "text", page.alias("page_number"),
         F.when(F.col("doc_id") % 4 == 3, F.array(page, page + 1)).otherwise(F.array(page)).alias("pages"),
     )
 

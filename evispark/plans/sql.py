@@ -11,7 +11,7 @@ def lst(values) -> str:
 
 
 def fold(x: str) -> str:
-    return f"replace(translate(lower({x}), 'ςſ', 'σs'), 'ß', 'ss')"
+    return f"replace(replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's')"
 
 
 def toks(x: str) -> str:
@@ -77,7 +77,7 @@ cte(
 )
 cte(
     "chunks", (),
-    "SELECT doc_id, lang AS tenant, source, text, (doc_id // 4 + 1)::INT AS page_number, "
+    "SELECT doc_id, lang AS tenant, source, 'vol-' || doc_id // 50 AS document, text, (doc_id // 4 + 1)::INT AS page_number, "
     "CASE WHEN doc_id % 4 = 3 THEN [(doc_id // 4 + 1)::INT, (doc_id // 4 + 2)::INT] "
     "ELSE [(doc_id // 4 + 1)::INT] END AS pages FROM documents",
 )
@@ -126,3 +126,142 @@ def ranked(name: str, scores: str, k: int, extra_order: str = "") -> None:
 
 bm25("bm25", "tf_plain", "dl_plain")
 ranked("bm25_10", "bm25", 10)
+
+
+def md5_mod(x: str, m: int) -> str:
+    acc = "0::BIGINT"
+    for i in range(4):
+        acc = f"(({acc}) * 4294967296 + ('0x' || substr(md5({x}), {1 + 8 * i}, 8))::BIGINT) % {m}"
+    return acc
+
+
+def draw(n: str, *key: str) -> str:
+    parts = " || '|' || ".join(f"({k})::VARCHAR" for k in key)
+    return f"(('0x' || substr(md5({parts}), 1, 8))::BIGINT % {n})"
+
+
+def hashed(name: str, src: str, ident: str) -> None:
+    cte(
+        name, (src,),
+        f"""SELECT {ident}, tenant, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {ident})) AS v FROM (
+          SELECT {ident}, tenant, {md5_mod('w', 384)} AS bucket, count(*)::DOUBLE AS n
+          FROM (SELECT {ident}, tenant, unnest({words('lower(text)')}) AS w FROM {src}) GROUP BY ALL)""",
+    )
+
+
+hashed("d_vec", "chunks", "doc_id")
+hashed("q_vec", "questions", "qid")
+cte(
+    "dense", ("d_vec", "q_vec", "chunks", "questions"),
+    """SELECT p.qid, p.tenant, p.doc_id, coalesce(s.score, 0.0) AS score
+    FROM (SELECT q.qid, q.tenant, c.doc_id FROM questions q JOIN chunks c USING (tenant)) p
+    LEFT JOIN (SELECT q.qid, d.doc_id, sum(q.v * d.v) AS score FROM q_vec q
+               JOIN d_vec d ON d.tenant = q.tenant AND d.bucket = q.bucket GROUP BY ALL) s
+      ON s.qid = p.qid AND s.doc_id = p.doc_id""",
+)
+ranked("dense_10", "dense", 10)
+ranked("dense_50", "dense", 50)
+ranked("bm25_50", "bm25", 50)
+ranked("bm25_40", "bm25", 40)
+
+cte(
+    "tf_weighted", ("chunks",),
+    "SELECT tenant, doc_id, term, sum(w) AS tf FROM ("
+    f"SELECT tenant, doc_id, unnest({toks('text')}) AS term, 1.0::DOUBLE AS w FROM chunks UNION ALL "
+    f"SELECT tenant, doc_id, unnest({toks('split_part(text, chr(10), 1)')}), 3.0::DOUBLE FROM chunks UNION ALL "
+    f"SELECT tenant, doc_id, unnest({toks('source')}), 2.5::DOUBLE FROM chunks) GROUP BY ALL",
+)
+cte(
+    "dl_weighted", ("chunks", "tf_weighted"),
+    "SELECT c.tenant, c.doc_id, coalesce(sum(t.tf), 0.0) AS dl FROM chunks c "
+    "LEFT JOIN tf_weighted t USING (tenant, doc_id) GROUP BY ALL",
+)
+bm25("bm25w", "tf_weighted", "dl_weighted")
+ranked("bm25w_10", "bm25w", 10)
+ranked("bm25w_25", "bm25w", 25)
+ranked("bm25w_40", "bm25w", 40)
+
+cte(
+    "chain", ("chunks",),
+    """SELECT tenant, doc_id, document,
+      CASE WHEN lag(document) OVER w = document THEN lag(doc_id) OVER w END AS prev_id,
+      CASE WHEN lead(document) OVER w = document THEN lead(doc_id) OVER w END AS next_id
+    FROM chunks WINDOW w AS (PARTITION BY tenant ORDER BY doc_id)""",
+)
+cte(
+    "edges", ("chain",),
+    "SELECT tenant, doc_id AS src, prev_id AS dst FROM chain WHERE prev_id IS NOT NULL UNION "
+    "SELECT tenant, doc_id, next_id FROM chain WHERE next_id IS NOT NULL",
+)
+
+
+def expanded(name: str, seeds: str) -> None:
+    """One-hop expansion CTE of the seeds CTE (qid, tenant, doc_id, score)."""
+    cte(
+        name, (seeds, "edges"),
+        f"""SELECT qid, tenant, doc_id, max(gain) AS link_score, 1 AS link_depth,
+          list_sort(list_distinct(list(seed) FILTER (gain >= top * (1 - 1e-12::DOUBLE)))) AS seed_ids
+        FROM (SELECT s.qid, s.tenant, e.dst AS doc_id, s.doc_id AS seed,
+                greatest(0.0::DOUBLE, s.score) * 0.35::DOUBLE AS gain,
+                max(greatest(0.0::DOUBLE, s.score) * 0.35::DOUBLE) OVER (PARTITION BY s.qid, e.dst) AS top
+              FROM {seeds} s JOIN edges e ON e.tenant = s.tenant AND e.src = s.doc_id
+              WHERE NOT EXISTS (SELECT 1 FROM {seeds} o WHERE o.qid = s.qid AND o.doc_id = e.dst))
+        GROUP BY ALL""",
+    )
+
+
+def native(name: str, scores: str, seed_k: int, k: int) -> None:
+    ranked(f"{name}_seeds", scores, seed_k)
+    expanded(f"{name}_links", f"{name}_seeds")
+    cte(
+        f"{name}_all", (f"{name}_seeds", f"{name}_links", scores),
+        f"""SELECT qid, tenant, doc_id, score, 0 AS link_depth, [doc_id] AS seed_ids FROM {name}_seeds UNION ALL
+        SELECT l.qid, l.tenant, l.doc_id, greatest(coalesce(s.score, 0.0), l.link_score), l.link_depth, l.seed_ids
+        FROM {name}_links l LEFT JOIN {scores} s ON s.qid = l.qid AND s.doc_id = l.doc_id""",
+    )
+    ranked(name, f"{name}_all", k, "link_depth, ")
+
+
+native("native_10", "bm25w", 5, 10)
+native("native_40", "bm25w", 20, 40)
+native("evidence_10", "bm25", 5, 10)
+ranked("hybrid_seeds", "dense", 5)
+expanded("hybrid_links", "hybrid_seeds")
+cte(
+    "hybrid_all", ("hybrid_seeds", "hybrid_links"),
+    "SELECT qid, tenant, doc_id, score, 0 AS link_depth, [doc_id] AS seed_ids FROM hybrid_seeds UNION ALL "
+    "SELECT qid, tenant, doc_id, link_score, link_depth, seed_ids FROM hybrid_links",
+)
+ranked("hybrid_10", "hybrid_all", 10, "link_depth, ")
+
+
+def adjacent(name: str, ranked_cte: str, seeds: int, k: int) -> None:
+    cte(
+        f"{name}_all", (ranked_cte, "chunks"),
+        f"""SELECT qid, tenant, doc_id, score, 0 AS link_depth FROM {ranked_cte} WHERE rank <= {seeds} UNION ALL
+        SELECT s.qid, s.tenant, c.doc_id, greatest(0.0::DOUBLE, arg_min(s.score, s.rank * 2 + x.d)) * 0.35::DOUBLE, 1
+        FROM {ranked_cte} s, (VALUES (-1), (1)) x(d), chunks c
+        WHERE s.rank <= {seeds} AND c.tenant = s.tenant AND c.doc_id = s.doc_id + x.d
+          AND NOT EXISTS (SELECT 1 FROM {ranked_cte} o WHERE o.qid = s.qid AND o.rank <= {seeds} AND o.doc_id = c.doc_id)
+        GROUP BY s.qid, s.tenant, c.doc_id""",
+    )
+    ranked(name, f"{name}_all", k)
+
+
+adjacent("adjacent_10", "bm25_10", 5, 10)
+
+
+def fused(name: str, arms: tuple[str, ...], k: int) -> None:
+    union = " UNION ALL ".join(f"SELECT qid, tenant, doc_id, rank FROM {a}" for a in arms)
+    cte(
+        f"{name}_all", arms,
+        f"SELECT qid, tenant, doc_id, sum(1.0::DOUBLE / (60.0::DOUBLE + rank)) AS score, count(*)::INT AS n_arms "
+        f"FROM ({union}) GROUP BY ALL",
+    )
+    ranked(name, f"{name}_all", k)
+
+
+fused("rrf_10", ("bm25_50", "dense_50"), 10)
+fused("rrf3_25", ("dense_50", "bm25_50", "bm25w_25"), 25)
+fused("rrf_40", ("dense_40", "native_40"), 40)
+ranked("dense_40", "dense", 40)
