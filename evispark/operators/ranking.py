@@ -21,6 +21,11 @@ def by_score(score: str = "score", ident: str = "doc_id"):
     return [F.round(F.col(score), 9).desc(), F.col(ident).asc()]
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate (no grouping keys) to every row."""
+    return df.join(F.broadcast(one_row))
+
+
 def _bounded(keys, block: str, order):
     return Window.partitionBy(*keys, block).orderBy(*order)
 
@@ -112,33 +117,27 @@ def exact_percentiles(df: DataFrame, keys, value: str, positions: dict, accuracy
     )
     for n in names:
         sizes = sizes.withColumn(f"_p_{n}", positions[n](F.col("_total")).cast("double"))
-    # Grid cells that can hold a wanted position, one cell of slack each side.
+    # A value's cell is the number of inner grid points below it. Wanted are the
+    # cells between the grid values around each position, one point of slack
+    # each side; small groups are ranked whole.
+    span = F.greatest(F.col("_total") - 1, F.lit(1))
+    inner = F.slice("_grid", 2, 63)
+    cell_of = lambda v: F.size(F.filter(inner, lambda g: g < v))
+    near = []
+    for n in names:
+        at = F.floor(F.col(f"_p_{n}") / span * 64).cast("int")
+        low = F.get("_grid", F.greatest(F.lit(0), at - 1))
+        high = F.get("_grid", F.least(F.lit(64), at + 2))
+        near.append(F.sequence(cell_of(low), cell_of(high)))
+    everything = F.sequence(F.lit(0), F.lit(63))
     sizes = sizes.withColumn(
-        "_want",
-        F.array_distinct(
-            F.flatten(
-                F.array(
-                    *[
-                        F.transform(
-                            F.array(*[F.lit(d) for d in (-1, 0, 1)]),
-                            lambda d, n=n: F.greatest(
-                                F.lit(0), F.least(F.lit(63), F.floor(F.col(f"_p_{n}") / F.greatest(F.col("_total") - 1, F.lit(1)) * 64).cast("int") + d)
-                            ),
-                        )
-                        for n in names
-                    ]
-                )
-            )
-        ),
+        "_want", F.when(F.col("_total") <= 4096, everything).otherwise(F.array_distinct(F.flatten(F.array(*near))))
     )
     if keys:
         cells = counts.join(F.broadcast(sizes), keys)
     else:
-        cells = counts.crossJoin(F.broadcast(sizes))
-    # Cell of a value: number of inner grid points below it.
-    cells = cells.withColumn(
-        "_cell", F.size(F.filter(F.slice("_grid", 2, 63), lambda g: g < F.col(value)))
-    )
+        cells = attach_row(counts, sizes)
+    cells = cells.withColumn("_cell", cell_of(F.col(value)))
     per_cell = cells.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(*keys, "_cell", F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_off"))
