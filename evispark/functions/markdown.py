@@ -12,7 +12,8 @@ RESERVED = ("index.md", "log.md")
 
 def json_text(value: Column) -> Column:
     """A JSON string literal, which is also a YAML scalar."""
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    literal = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.when(value.isNotNull(), literal)
 
 
 def frontmatter(fields: dict[str, Column]) -> Column:
