@@ -167,7 +167,7 @@ def _plain_letters() -> str:
 
 def ascii_fold(text: Column) -> Column:
     """Lower case, accents removed, every other non-ASCII character dropped."""
-    low = F.translate(F.lower(text), _ACCENTED, _plain_letters())
+    low = F.translate(F.lower(F.regexp_replace(text, SPACE, " ")), _ACCENTED, _plain_letters())
     return F.regexp_replace(low, r"[^\x00-\x7F]", "")
 
 

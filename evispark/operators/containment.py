@@ -46,13 +46,16 @@ def verbatim_pairs(docs: DataFrame, items: DataFrame, item_id: str) -> DataFrame
     )
 
 
+def _piece(n: int):
+    return lambda i: F.concat(*[F.get(F.col("c"), i + j) for j in range(n)])
+
+
 def _by_first_characters(docs: DataFrame, brief: DataFrame, item_id: str, small: bool) -> DataFrame:
     keyed = brief.select(item_id, F.substring("text", 1, 3).alias("gram"))
     chars = docs.select("doc_id", F.split("text", "").alias("c"))
     grams = []
     for n in (1, 2, 3):
         at = F.when(F.size("c") >= n, F.sequence(F.lit(0), F.size("c") - n)).otherwise(F.array().cast("array<int>"))
-        piece = lambda i, n=n: F.concat(*[F.get(F.col("c"), i + j) for j in range(n)])
-        grams.append(F.array_distinct(F.transform(at, piece)))
+        grams.append(F.array_distinct(F.transform(at, _piece(n))))
     exploded = chars.select("doc_id", F.explode_outer(F.concat(*grams)).alias("gram"))
     return exploded.join(broadcast_if(keyed, small), "gram").select(item_id, "doc_id")

@@ -17,6 +17,7 @@ from evispark.operators.ranking import by_score, top_k
 from evispark.session import broadcast_if, fits_broadcast, spread
 
 PLAIN = (("text", 1.0),)
+SALTS = 16
 
 
 def count_terms(docs: DataFrame, fields=PLAIN, keep=()) -> DataFrame:
@@ -63,7 +64,7 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings: bool = False) -> DataFrame:
-    """Postings that some question of the tenant asks for, hashed by doc_id."""
+    """Postings that some question of the tenant asks for, shuffled once."""
     small = fits_broadcast(questions)
     wanted = questions.select(
         "tenant", F.explode(F.concat(F.array(F.lit("")), text.query_terms(F.col("text")))).alias("term")
@@ -74,9 +75,17 @@ def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings
         rows = count_terms(docs, fields).select("tenant", "doc_id", "dl", F.explode_outer("terms").alias("p"))
         rows = rows.select("tenant", "doc_id", "dl", "p.term", "p.tf")
     hits = rows.join(broadcast_if(wanted, small), ["tenant", "term"]).select("tenant", "doc_id", "dl", "term", "tf")
-    hits = hits.repartition("doc_id")
+    if small:
+        # (qid, doc_id) groups of the scoring step are co-located by this shuffle.
+        hits = hits.repartition("doc_id")
+    else:
+        # The weights will be shuffled too: meet them on the term, with every
+        # term spread over SALTS partitions, as one may be in most documents.
+        salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")
+        hits = hits.select("*", salt).repartition("tenant", "term", "salt")
     if len(fields) > 1 and not from_postings:
-        hits = hits.groupBy("tenant", "doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
+        keys = [c for c in hits.columns if c != "tf"]
+        hits = hits.groupBy(*keys).agg(F.sum("tf").alias("tf"))
     return hits
 
 
@@ -103,7 +112,7 @@ def bm25_scores(
     docs: DataFrame, questions: DataFrame, fields=PLAIN, k1: float = 1.2, b: float = 0.75,
     from_postings: bool = False,
 ) -> DataFrame:
-    """(qid, tenant, doc_id, score) of every positive match, hashed by doc_id."""
+    """(qid, tenant, doc_id, score) of every positive match."""
     small = fits_broadcast(questions)
     hits = term_hits(docs, questions, fields, from_postings)
     stats = term_statistics(hits)
@@ -111,9 +120,13 @@ def bm25_scores(
         "qid", "tenant", "term",
         (F.col("qf") * numeric.idf(F.col("n_docs"), F.col("df"))).alias("w"), "avgdl",
     )
+    on = ["tenant", "term"]
+    if not small:
+        weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = ["tenant", "term", "salt"]
     part = F.col("w") * numeric.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return (
-        hits.join(broadcast_if(weights, small), ["tenant", "term"])
+        hits.join(broadcast_if(weights, small), on)
         .groupBy("qid", "tenant", "doc_id")
         .agg(F.sum(part).alias("score"))
     )
