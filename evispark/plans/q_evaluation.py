@@ -124,12 +124,17 @@ def arm_summary(spark, sf):
     return rounded(metrics.arm_summary(three_arms(spark, sf)), "page_hit", "recall", "mrr", "ndcg")
 
 
+def p_rounded():
+    """Powers of two end on rounding ties; the nudge keeps engines on one side."""
+    return {c: F.round(F.col(c) + F.lit(1e-13), 9) for c in ("p", "p_holm")}
+
+
 CONTRASTS = [("links_vs_bm25", "bm25", "links"), ("dense_vs_bm25", "bm25", "dense"), ("dense_vs_links", "links", "dense")]
 
 
 def mcnemar_sql(counts: str, keys: str, family: str = "1") -> str:
     """Holm-corrected exact McNemar over counts (keys, n, baseline_only, treatment_only)."""
-    return f"""SELECT {keys}, n, baseline_only, treatment_only, discordant, round(p, 9) AS p, round(p_holm, 9) AS p_holm
+    return f"""SELECT {keys}, n, baseline_only, treatment_only, discordant, round(p + 1e-13::DOUBLE, 9) AS p, round(p_holm + 1e-13::DOUBLE, 9) AS p_holm
     FROM (SELECT *, max(least(1.0::DOUBLE, (m - rn + 1) * p)) OVER (ORDER BY rn) AS p_holm
       FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY round(p, 12), {keys}) AS rn
         FROM (SELECT *, baseline_only + treatment_only AS discordant,
@@ -167,7 +172,7 @@ def arm_contrasts(spark, sf):
     ).select("c.*")
     tests = stats.mcnemar(pairs, ["label"], F.col("a"), F.col("b"))
     done = stats.holm(tests.withColumn("family", F.lit("diagnostic")), ["family"], "label").drop("family")
-    return done.withColumn("p", F.round("p", 9)).withColumn("p_holm", F.round("p_holm", 9))
+    return done.withColumns(p_rounded())
 
 
 # --- packing ----------------------------------------------------------------
@@ -597,7 +602,7 @@ def control_table(spark, sf):
     p = stats.paired(cells(spark, sf), ["flow", "qid"], "arm", "raw", "treated", "negative_refusal_correct")
     yes = lambda c: F.col(c) >= F.lit(2.0 / 3)
     t = stats.mcnemar(p, ["flow"], yes("raw"), yes("treated")).withColumn("family", F.lit("controls"))
-    return stats.holm(t, ["family"], "flow").drop("family").withColumn("p", F.round("p", 9)).withColumn("p_holm", F.round("p_holm", 9))
+    return stats.holm(t, ["family"], "flow").drop("family").withColumns(p_rounded())
 
 
 @query(
@@ -612,7 +617,7 @@ def mcnemar_labels(spark, sf):
     d = corpus.table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("label"))
     j = corpus.table(spark, sf, "labels").join(d, "doc_id")
     t = stats.mcnemar(j, ["label"], F.col("quality") == 1, F.col("toxic") == 1).withColumn("family", F.lit("labels"))
-    return stats.holm(t, ["family"], "label").drop("family").withColumn("p", F.round("p", 9)).withColumn("p_holm", F.round("p_holm", 9))
+    return stats.holm(t, ["family"], "label").drop("family").withColumns(p_rounded())
 
 
 def judge_raw(t: DataFrame) -> DataFrame:
