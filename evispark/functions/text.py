@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evispark.functions.arrays import let
+
 # --- fixed values -----------------------------------------------------------
 # Query stop words.
 STOP_WORDS = (
@@ -129,8 +131,13 @@ def words(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Approximate model tokens: floor(words * 1.3) + 1, and 1 for empty text."""
-    return (F.floor(F.size(words(text)) * F.lit(1.3)) + 1).cast("int")
+    """Approximate model tokens: floor(words * 1.3) + 1, and 1 for empty text.
+
+    The separator is greedy, so only the ends of the split can be empty.
+    """
+    empty_ends = lambda a: (F.get(a, F.lit(0)) == "").cast("int") + (F.element_at(a, -1) == "").cast("int")
+    n = let(F.split(text, SPACE), lambda a: F.greatest(F.size(a) - empty_ends(a), F.lit(0)))
+    return (F.floor(n * F.lit(1.3)) + 1).cast("int")
 
 
 def contains_any(text: Column, markers) -> Column:

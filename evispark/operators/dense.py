@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from evispark.operators.ranking import by_score, top_k
 from evispark.session import spread
 
 BLOCK_BYTES = 64 << 20
+# Scores a task holds at once.
+SCORES_AT_ONCE = 4 << 20
 RESULT = "qid string, tenant string, doc_id bigint, score double"
 
 
@@ -45,67 +49,108 @@ def _matrix(idx, val, dim: int) -> np.ndarray:
     return out
 
 
-def _search(block, dim: int, k: int):
-    """Task body: score a batch against the block, keep k rows per question."""
+def hashing_encode(dim: int = 384):
+    """The offline embedder for batches of texts: md5 buckets of lowered words."""
+    known: dict[str, int] = {}
+
+    def encode(texts) -> np.ndarray:
+        if len(known) > 1_000_000:
+            known.clear()
+        out = np.zeros((len(texts), dim))
+        for row, t in enumerate(texts):
+            for w in (t or "").lower().split():
+                at = known.get(w)
+                if at is None:
+                    at = known[w] = int(hashlib.md5(w.encode()).hexdigest(), 16) % dim
+                out[row, at] += 1.0
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm == 0, 1.0, norm)
+
+    return encode
+
+
+def _best(keyed: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best by score, ids breaking ties."""
+    at = np.arange(len(keyed))
+    if len(keyed) > k:
+        kth = np.partition(keyed, len(keyed) - k)[len(keyed) - k]
+        at = np.flatnonzero(keyed >= kth)
+    return at[np.lexsort((ids[at], -keyed[at]))][:k]
+
+
+def _search(block, matrix, k: int):
+    """Task body: keep k rows for each question over all batches of the task."""
 
     def run(batches):
-        by_tenant = block.value
+        by_tenant, best = block.value, {}
         for pdf in batches:
             for tenant, group in pdf.groupby("tenant", sort=False):
                 if tenant not in by_tenant:
                     continue
                 qids, q = by_tenant[tenant]
-                ids = group["doc_id"].to_numpy()
-                scores = np.round(_matrix(group["idx"], group["val"], dim) @ q.T, 12)
-                keyed = np.round(scores, 9)
-                out = []
-                for j, qid in enumerate(qids):
-                    col = keyed[:, j]
-                    if len(col) > k:
-                        kth = np.partition(col, len(col) - k)[len(col) - k]
-                        at = np.flatnonzero(col >= kth)
-                    else:
-                        at = np.arange(len(col))
-                    at = at[np.lexsort((ids[at], -col[at]))][:k]
-                    out.append(pd.DataFrame({"qid": qid, "tenant": tenant, "doc_id": ids[at], "score": scores[at, j]}))
-                if out:
-                    yield pd.concat(out)
+                kept = best.setdefault(tenant, [(np.empty(0, np.int64), np.empty(0))] * len(qids))
+                step = max(k, SCORES_AT_ONCE // len(qids))
+                for lo in range(0, len(group), step):
+                    part = group.iloc[lo : lo + step]
+                    ids = part["doc_id"].to_numpy()
+                    scores = q @ matrix(part).T
+                    for j in range(len(qids)):
+                        i, s = np.concatenate([kept[j][0], ids]), np.concatenate([kept[j][1], scores[j]])
+                        at = _best(np.round(s, 9), i, k)
+                        kept[j] = (i[at], s[at])
+        for tenant, kept in best.items():
+            qids = by_tenant[tenant][0]
+            yield pd.DataFrame(
+                {
+                    "qid": np.repeat(np.array(qids, dtype=object), [len(i) for i, _ in kept]), "tenant": tenant,
+                    "doc_id": np.concatenate([i for i, _ in kept]), "score": np.concatenate([s for _, s in kept]),
+                }
+            )
 
     return run
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> DataFrame:
-    """(qid, tenant, doc_id, score, rank) by inner product within the tenant.
-
-    ``vectors`` (doc_id, tenant, idx, val) stay where they are. Query vectors
-    travel in blocks of at most BLOCK_BYTES; more queries mean more blocks,
-    each one pass over the vectors, so nothing unbounded is ever broadcast and
-    no pair of rows is ever materialised.
-    """
-    spark = vectors.sparkSession
-    rows = max(1, BLOCK_BYTES // (8 * dim))
-    head = queries.select("qid", "tenant", "idx", "val").limit(rows + 1).toPandas()
-    if len(head) <= rows:
+def _top_k(rows: DataFrame, columns, matrix, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    spark = rows.sparkSession
+    limit = max(1, BLOCK_BYTES // (8 * dim))
+    queries = queries.select("qid", "tenant", "idx", "val")
+    head = queries.limit(limit + 1).toPandas()
+    if len(head) <= limit:
         blocks = [head]
     else:
-        n = queries.count() * 2 // rows + 1
+        n = queries.count() * 2 // limit + 1
         part = F.pmod(F.xxhash64("qid"), F.lit(n))
-        blocks = (queries.filter(part == i).select("qid", "tenant", "idx", "val").toPandas() for i in range(n))
+        blocks = (queries.filter(part == i).toPandas() for i in range(n))
     found = None
     for pdf in blocks:
         packed = {t: (g["qid"].tolist(), _matrix(g["idx"], g["val"], dim)) for t, g in pdf.groupby("tenant")}
-        wanted = vectors.filter(F.col("tenant").isin(list(packed)) if len(packed) < 1000 else F.lit(True))
         block = spark.sparkContext.broadcast(packed)
-        hits = wanted.select("doc_id", "tenant", "idx", "val").mapInPandas(_search(block, dim, k), RESULT)
+        wanted = rows.filter(F.col("tenant").isin(list(packed))) if len(packed) < 1000 else rows
+        hits = wanted.select("doc_id", "tenant", *columns).mapInPandas(_search(block, matrix, k), RESULT)
         found = hits if found is None else found.unionByName(hits)
     return top_k(found, ["qid"], by_score(), k)
 
 
+def vector_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10) -> DataFrame:
+    """(qid, tenant, doc_id, score, rank) by inner product within the tenant.
+
+    ``vectors`` (doc_id, tenant, idx, val) stay where they are. Query vectors
+    travel in blocks of at most BLOCK_BYTES; more queries mean more blocks,
+    each one pass over the vectors, so nothing unbounded is ever broadcast and
+    no pair of rows is ever materialised.
+    """
+    return _top_k(vectors, ["idx", "val"], lambda p: _matrix(p["idx"], p["val"], dim), queries, dim, k)
+
+
+def text_top_k(docs: DataFrame, queries: DataFrame, encode, dim: int, k: int = 10) -> DataFrame:
+    """As vector_top_k, embedding each batch of texts with ``encode`` on the fly."""
+    rows = spread(docs.select("doc_id", "tenant", "text"))
+    return _top_k(rows, ["text"], lambda p: np.asarray(encode(p["text"].tolist()), dtype=np.float64), queries, dim, k)
+
+
 def hashing_top_k(docs: DataFrame, questions: DataFrame, k: int = 10, dim: int = 384) -> DataFrame:
     """Dense arm over texts with the offline embedder."""
-    return vector_top_k(
-        hashing_vectors(docs, "doc_id", dim), hashing_vectors(questions, "qid", dim), dim, k
-    )
+    return text_top_k(docs, hashing_vectors(questions, "qid", dim), hashing_encode(dim), dim, k)
 
 
 def embed_with(df: DataFrame, ident: str, encode, dim: int) -> DataFrame:

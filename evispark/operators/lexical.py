@@ -1,8 +1,7 @@
 """Postings and tenant-scoped BM25.
 
-Shape of the plan: every document row is tokenised and counted in place, its
-(term, tf) pairs are filtered by the broadcast query vocabulary and shuffled
-once by doc_id. Term statistics and scores both read that one exchange (Spark
+Shape of the plan: documents are tokenised in place, the occurrences of query
+terms (a broadcast vocabulary) are shuffled once by doc_id and counted there. Term statistics and scores both read that one exchange (Spark
 reuses it), scoring needs no further shuffle because (qid, doc_id) groups are
 already co-located, and each task keeps k rows for each question.
 """
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evispark.functions import arrays, numeric, text
+from evispark.functions import numeric, text
 from evispark.operators.ranking import by_score, top_k
 from evispark.session import broadcast_if, fits_broadcast, spread
 
@@ -20,41 +19,32 @@ PLAIN = (("text", 1.0),)
 SALTS = 16
 
 
-def count_terms(docs: DataFrame, fields=PLAIN, keep=()) -> DataFrame:
-    """(tenant, doc_id, dl, terms) with terms an array of (term, tf).
+def term_rows(docs: DataFrame, fields=PLAIN) -> DataFrame:
+    """(tenant, doc_id, dl, term, w): one row a token occurrence.
 
-    tf and length are weighted sums over the fields; NULL fields add nothing.
-    The first pair has the empty term and carries dl, so that documents
-    matching no query still reach the corpus statistics. Callers unnest with
-    explode_outer: for explode Spark infers a size filter, pushes it below the
-    projections and so evaluates the whole counting expression once more for
-    every element.
-    """
-    base = ["tenant", "doc_id", *keep]
-    d = spread(docs.select(*base, *[F.col(c).alias(f"_x{i}") for i, (c, _) in enumerate(fields)]))
-    empty = F.array().cast("array<string>")
-    pairs = F.concat(
-        *[
-            arrays.counted(F.coalesce(text.tokens(F.col(f"_x{i}")), empty), w)
-            for i, (_, w) in enumerate(fields)
-        ]
-    )
-
-    def with_length(counts):
-        dl = F.aggregate(counts, F.lit(0.0), lambda s, t: s + t["tf"])
-        head = lambda n: F.array(F.struct(F.lit("").alias("term"), n.alias("tf")))
-        return arrays.let(dl, lambda n: F.struct(n.alias("dl"), F.concat(head(n), counts).alias("terms")))
+    dl, the document length, and w are weighted by field; NULL fields add
+    nothing. Each document also has one row with the empty term and w = dl, so
+    that documents matching no query still reach the corpus statistics.
 
-    return d.select(*base, arrays.let(pairs, with_length).alias("_c")).select(*base, "_c.dl", "_c.terms")
+    explode_outer, not explode: for explode Spark infers a size filter and
+    pushes it below the projection, which tokenises every text twice.
+    """
+    n = range(len(fields))
+    d = spread(docs.select("tenant", "doc_id", *[F.col(c).alias(f"_x{i}") for i, (c, _) in enumerate(fields)]))
+    d = d.select("tenant", "doc_id", *[text.tokens(F.coalesce(F.col(f"_x{i}"), F.lit(""))).alias(f"_t{i}") for i in n])
+    dl = sum((F.lit(float(w)) * F.size(f"_t{i}") for i, (_, w) in enumerate(fields)), F.lit(0.0))
+    d = d.select("tenant", "doc_id", dl.alias("dl"), *[f"_t{i}" for i in n])
+    part = lambda w, t: F.struct(w.alias("w"), t.alias("t"))
+    parts = [part(F.col("dl"), F.array(F.lit("")))]
+    parts += [part(F.lit(float(w)), F.col(f"_t{i}")) for i, (_, w) in enumerate(fields)]
+    d = d.select("tenant", "doc_id", "dl", F.explode_outer(F.array(*parts)).alias("p"))
+    return d.select("tenant", "doc_id", "dl", F.col("p.w").alias("w"), F.explode_outer("p.t").alias("term"))
 
 
 def postings(docs: DataFrame, fields=PLAIN) -> DataFrame:
     """(tenant, doc_id, dl, term, tf), ready to be written as a table."""
-    p = count_terms(docs, fields).select("tenant", "doc_id", "dl", F.explode_outer("terms").alias("p"))
-    p = p.select("tenant", "doc_id", "dl", "p.term", "p.tf")
-    if len(fields) > 1:
-        p = p.groupBy("tenant", "doc_id", "dl", "term").agg(F.sum("tf").alias("tf"))
-    return p
+    rows = term_rows(docs, fields).filter("term is not null")
+    return rows.groupBy("tenant", "doc_id", "dl", "term").agg(F.sum("w").alias("tf"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -69,24 +59,19 @@ def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings
     wanted = questions.select(
         "tenant", F.explode(F.concat(F.array(F.lit("")), text.query_terms(F.col("text")))).alias("term")
     ).distinct()
-    if from_postings:
-        rows = docs
-    else:
-        rows = count_terms(docs, fields).select("tenant", "doc_id", "dl", F.explode_outer("terms").alias("p"))
-        rows = rows.select("tenant", "doc_id", "dl", "p.term", "p.tf")
-    hits = rows.join(broadcast_if(wanted, small), ["tenant", "term"]).select("tenant", "doc_id", "dl", "term", "tf")
+    rows = docs.withColumnRenamed("tf", "w") if from_postings else term_rows(docs, fields)
+    keys = ["tenant", "doc_id", "dl", "term"]
+    hits = rows.join(broadcast_if(wanted, small), ["tenant", "term"]).select(*keys, "w")
     if small:
         # (qid, doc_id) groups of the scoring step are co-located by this shuffle.
         hits = hits.repartition("doc_id")
     else:
         # The weights will be shuffled too: meet them on the term, with every
         # term spread over SALTS partitions, as one may be in most documents.
-        salt = F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt")
-        hits = hits.select("*", salt).repartition("tenant", "term", "salt")
-    if len(fields) > 1 and not from_postings:
-        keys = [c for c in hits.columns if c != "tf"]
-        hits = hits.groupBy(*keys).agg(F.sum("tf").alias("tf"))
-    return hits
+        keys.append("salt")
+        hits = hits.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+        hits = hits.repartition("tenant", "term", "salt")
+    return hits.groupBy(*keys).agg(F.sum("w").alias("tf"))
 
 
 def term_statistics(hits: DataFrame) -> DataFrame:

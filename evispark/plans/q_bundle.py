@@ -11,6 +11,7 @@ from evispark.plans import corpus, sql
 from evispark.plans.q_retrieval import chain
 from evispark.plans.registry import query
 from evispark.plans.sql import CHUNK_NAME, compose, cte
+from evispark.session import spread
 
 SHA = "0123456789abcdef" * 4
 NAME = CHUNK_NAME
@@ -20,7 +21,7 @@ LABEL = "CASE WHEN len(pages) = 1 THEN 'page ' ELSE 'pages ' END || array_to_str
 
 def linked_chunks(spark, sf):
     links = chain(spark, sf).select("doc_id", "prev_id", "next_id")
-    c = corpus.chunks(spark, sf).join(links, "doc_id")
+    c = spread(corpus.chunks(spark, sf), "doc_id").join(links, "doc_id")
     name = lambda col: F.when(F.col(col).isNotNull(), corpus.chunk_name("tenant", col))
     return c.select(
         "*", corpus.chunk_name().alias("chunk_id"), F.lit(None).cast("string").alias("section"),

@@ -15,13 +15,13 @@ from evispark.plans import corpus, sql
 from evispark.plans.q_retrieval import arm_adjacent, arm_bm25, arm_dense, arm_native
 from evispark.plans.registry import query
 from evispark.plans.sql import compose, cte
-from evispark.session import broadcast_if, fits_broadcast
+from evispark.session import broadcast_if, fits_broadcast, spread
 
 
 def with_text(spark, sf, hits):
     """Attach passage columns to ranked hits; the ranked side is the small one."""
     small = fits_broadcast(corpus.table(spark, sf, "benchmark"), 50)
-    chunks = corpus.chunks(spark, sf).select("tenant", "doc_id", "page_number", "pages", "text")
+    chunks = spread(corpus.chunks(spark, sf).select("tenant", "doc_id", "page_number", "pages", "text"))
     return chunks.join(broadcast_if(hits, small), ["tenant", "doc_id"]).withColumn("chunk_id", corpus.chunk_name())
 
 

@@ -9,22 +9,21 @@ from evispark.plans import corpus, sql
 from evispark.plans.q_retrieval import small
 from evispark.plans.registry import query
 from evispark.plans.sql import compose, cte, ranked
+from evispark.session import settle, spread
 
 
 def prepared(spark, sf):
     """Chunks and questions of the flows; the chunk vectors are settled once,
     because every round searches them again."""
     q = corpus.questions(spark, sf).select("qid", "tenant", "text")
-    c = corpus.chunks(spark, sf).withColumn("chunk_id", corpus.chunk_name())
+    c = spread(corpus.chunks(spark, sf)).withColumn("chunk_id", corpus.chunk_name())
     return q, c, flows.FlowConfig(small=small(spark, sf), citation=r"\b([A-Z]{2,3}-\d{5,})\b")
 
 
 def retriever(chunks, k, reuse=False):
-    from evispark.session import settle
-
-    vectors = dense.hashing_vectors(chunks, "doc_id")
-    if reuse:
-        vectors = settle(vectors)
+    if not reuse:
+        return lambda q: dense.hashing_top_k(chunks, q, k)
+    vectors = settle(dense.hashing_vectors(chunks, "doc_id"))
     return lambda q: dense.vector_top_k(vectors, dense.hashing_vectors(q, "qid"), 384, k)
 
 

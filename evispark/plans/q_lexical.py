@@ -21,17 +21,15 @@ from evispark.plans.sql import audit_terms, compose, fold, query_terms
     ),
 )
 def token_statistics(spark, sf):
-    counted = lexical.count_terms(corpus.chunks(spark, sf))
-    lengths = counted.groupBy("tenant").agg(
+    rows = lexical.postings(corpus.chunks(spark, sf))
+    lengths = rows.filter("term = ''").groupBy("tenant").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum("dl").cast("bigint").alias("n_tokens"),
         F.avg("dl").alias("mean_length"),
     )
     # Two steps, so no single task holds a tenant's whole vocabulary.
     terms = (
-        counted.select("tenant", F.explode_outer("terms.term").alias("term"))
-        .filter(F.col("term") != "")
-        .groupBy("tenant", "term").agg(F.lit(1).alias("one"))
+        rows.filter("term <> ''").groupBy("tenant", "term").agg(F.lit(1).alias("one"))
         .groupBy("tenant").agg(F.count("one").alias("n_terms"))
     )
     return lengths.join(terms, "tenant", "left").select(
