@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions import numeric
+from evispark.operators.lexical import Bm25
 from evispark.operators.ranking import by_score, previous_and_next, top_k
-from evispark.session import broadcast_if
+from evispark.session import broadcast_if, settle
 
 
 def chain_links(chunks: DataFrame, order: str = "doc_id", document: str = "document", width: int = 65536) -> DataFrame:
@@ -96,21 +97,26 @@ def hit_order():
     return [F.round("score", 9).desc(), F.col("link_depth").asc(), F.col("doc_id").asc()]
 
 
-def native_search(scores: DataFrame, edges: DataFrame, k: int, seed_k: int | None = None, max_depth: int = 1,
+def native_search(bm25: Bm25, edges: DataFrame, k: int, seed_k: int | None = None, max_depth: int = 1,
                   decay: float = 0.35, eligible: DataFrame | None = None, small: bool = False) -> DataFrame:
-    """Lexical seeds plus their links; every candidate keeps its better score."""
+    """Lexical seeds plus their links; every candidate keeps its better score.
+
+    Seeds and links hold a few rows a question and feed several joins, so both
+    are settled; only the linked pairs are scored a second time.
+    """
     if seed_k is None:
         seed_k = k if max_depth == 0 else max(1, (k + 1) // 2)
-    seeds = top_k(scores, ["qid"], by_score(), seed_k).drop("rank")
+    seeds = top_k(bm25.scores(), ["qid"], by_score(), seed_k).drop("rank")
+    if max_depth > 0 and decay != 0:
+        seeds = settle(seeds)
     direct = seeds.select(
         "qid", "tenant", "doc_id", "score", F.col("score").alias("lexical_score"),
         F.lit(0.0).alias("link_score"), F.lit(0).alias("link_depth"), F.array("doc_id").alias("seed_ids"),
     )
     if max_depth == 0 or decay == 0:
         return top_k(direct, ["qid"], hit_order(), k)
-    linked = expand_links(seeds, edges, max_depth, decay, eligible, small)
-    own = scores.join(broadcast_if(linked.select("qid", "doc_id"), small), ["qid", "doc_id"], "left_semi")
-    own = own.select("qid", "doc_id", F.col("score").alias("lexical_score"))
+    linked = settle(expand_links(seeds, edges, max_depth, decay, eligible, small))
+    own = bm25.scores_of(linked, small).withColumnRenamed("score", "lexical_score")
     via = linked.join(own, ["qid", "doc_id"], "left").withColumn(
         "lexical_score", F.coalesce("lexical_score", F.lit(0.0))
     )
@@ -124,6 +130,7 @@ def hybrid_search(seeds: DataFrame, edges: DataFrame, k: int, max_depth: int = 1
     best = seeds.groupBy("qid", "tenant", "doc_id").agg(F.max("score").alias("score"))
     if eligible is not None:
         best = best.join(eligible.select("tenant", "doc_id"), ["tenant", "doc_id"], "left_semi")
+    best = settle(best)
     direct = best.select(
         "qid", "tenant", "doc_id", "score", F.col("score").alias("vector_score"),
         F.lit(0.0).alias("link_score"), F.lit(0).alias("link_depth"), F.array("doc_id").alias("seed_ids"),
@@ -145,6 +152,7 @@ def adjacency_search(ranked: DataFrame, ordinals: DataFrame, k: int, fraction: f
     The band join is an equi-join on the two shifted ordinals.
     """
     seeds = ranked.filter(F.col("rank") <= numeric.seed_count(k, fraction)).select("qid", "tenant", "doc_id", "score", "rank")
+    seeds = settle(seeds)
     placed = ordinals.filter("ordinal is not null")
     at = placed.join(broadcast_if(seeds, small), ["tenant", "doc_id"])
     shifted = at.select(

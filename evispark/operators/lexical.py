@@ -93,28 +93,41 @@ def term_statistics(hits: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(
-    docs: DataFrame, questions: DataFrame, fields=PLAIN, k1: float = 1.2, b: float = 0.75,
-    from_postings: bool = False,
-) -> DataFrame:
+class Bm25:
+    """Hits and weights of a question set; scores come from joins of the two."""
+
+    def __init__(self, docs: DataFrame, questions: DataFrame, fields=PLAIN, k1: float = 1.2, b: float = 0.75,
+                 from_postings: bool = False):
+        self.small = fits_broadcast(questions)
+        self.hits = term_hits(docs, questions, fields, from_postings)
+        self.part = F.col("w") * numeric.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
+        weights = question_terms(questions).join(term_statistics(self.hits), ["tenant", "term"]).select(
+            "qid", "tenant", "term",
+            (F.col("qf") * numeric.idf(F.col("n_docs"), F.col("df"))).alias("w"), "avgdl",
+        )
+        self.on = ["tenant", "term"]
+        if not self.small:
+            weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            self.on = ["tenant", "term", "salt"]
+        self.weights = weights
+
+    def scores(self) -> DataFrame:
+        """(qid, tenant, doc_id, score) of every positive match."""
+        return (
+            self.hits.join(broadcast_if(self.weights, self.small), self.on)
+            .groupBy("qid", "tenant", "doc_id")
+            .agg(F.sum(self.part).alias("score"))
+        )
+
+    def scores_of(self, pairs: DataFrame, pairs_small: bool = False) -> DataFrame:
+        """(qid, doc_id, score) of the given (qid, doc_id) pairs only."""
+        few = self.hits.join(broadcast_if(pairs.select("qid", "doc_id"), pairs_small), "doc_id")
+        return few.join(self.weights, [*self.on, "qid"]).groupBy("qid", "doc_id").agg(F.sum(self.part).alias("score"))
+
+
+def bm25_scores(docs: DataFrame, questions: DataFrame, fields=PLAIN, **options) -> DataFrame:
     """(qid, tenant, doc_id, score) of every positive match."""
-    small = fits_broadcast(questions)
-    hits = term_hits(docs, questions, fields, from_postings)
-    stats = term_statistics(hits)
-    weights = question_terms(questions).join(stats, ["tenant", "term"]).select(
-        "qid", "tenant", "term",
-        (F.col("qf") * numeric.idf(F.col("n_docs"), F.col("df"))).alias("w"), "avgdl",
-    )
-    on = ["tenant", "term"]
-    if not small:
-        weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = ["tenant", "term", "salt"]
-    part = F.col("w") * numeric.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
-    return (
-        hits.join(broadcast_if(weights, small), on)
-        .groupBy("qid", "tenant", "doc_id")
-        .agg(F.sum(part).alias("score"))
-    )
+    return Bm25(docs, questions, fields, **options).scores()
 
 
 def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 10, **options) -> DataFrame:

@@ -14,55 +14,76 @@ def page_metrics(hits: DataFrame, questions: DataFrame, expected: DataFrame, key
     ``hits`` (keys, rank, pages[, link_depth]), ``questions`` (keys) lists the
     questions to report, ``expected`` (qid, page) the distinct gold pages.
     """
+    return _measured(hits, questions, expected, keys).select(
+        *keys, "retrieved", "answerable",
+        F.when(F.col("answerable"), F.col("n_found") > 0).alias("page_hit"),
+        F.when(F.col("answerable"), F.col("n_found") / F.col("n_expected")).alias("recall"),
+        F.when(F.col("answerable"), F.coalesce(F.lit(1.0) / F.col("best_rank"), F.lit(0.0))).alias("reciprocal_rank"),
+        F.when(F.col("answerable") & (F.col("retrieved") > 0), F.col("dcg") / _ideal()).otherwise(F.lit(0.0)).alias("ndcg"),
+        "linked",
+        F.when(F.col("retrieved") > 0, F.col("linked") / F.col("retrieved")).otherwise(F.lit(0.0)).alias("linked_share"),
+    )
+
+
+def _ideal():
+    n = F.least("n_expected", "retrieved").cast("int")
+    ranks = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(ranks, F.lit(0.0), lambda s, r: s + F.lit(1.0) / F.log2(r + F.lit(1.0)))
+
+
+def _measured(hits: DataFrame, questions: DataFrame, expected: DataFrame, keys) -> DataFrame:
+    """Everything the metrics need, from one pass over the hits.
+
+    Hits come out of an expensive plan, so they are read once: pages are
+    unnested, gold pages flagged, and first ranks found per question.
+    """
     keys = list(keys)
     depth = F.col("link_depth") if "link_depth" in hits.columns else F.lit(0)
-    counts = hits.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("retrieved"), F.count_if(depth > 0).alias("linked")
-    )
-    gold = expected.groupBy("qid").agg(F.count("page").alias("n_expected"))
-    pages = hits.select(*keys, "rank", F.explode(F.array_distinct("pages")).alias("page"))
-    found = pages.join(expected, ["qid", "page"]).groupBy(*keys, "page").agg(F.min("rank").alias("first_rank"))
-    # A rank gains once however many new gold pages it brings.
-    gains = found.groupBy(*keys, "first_rank").agg(F.count("page").alias("new_pages"))
-    scored = gains.groupBy(*keys).agg(
-        F.sum("new_pages").alias("n_found"), F.min("first_rank").alias("best_rank"),
-        F.sum(numeric.discount(F.col("first_rank"))).alias("dcg"),
+    tokens = F.col("tokens") if "tokens" in hits.columns else F.lit(0)
+    pages = hits.select(
+        *keys, "rank", depth.alias("_depth"), tokens.alias("_tokens"), F.explode_outer(F.array_distinct("pages")).alias("page")
     )
-    j = (
-        questions.select(*keys).join(counts, keys, "left").join(gold, ["qid"], "left").join(scored, keys, "left")
+    flagged = pages.join(expected.select("qid", "page", F.lit(True).alias("_gold")), ["qid", "page"], "left")
+    w = Window.partitionBy(*keys, "page")
+    seen = flagged.select(
+        *keys, "rank", "page", "_depth", "_tokens", F.coalesce("_gold", F.lit(False)).alias("_gold"),
+        F.min("rank").over(w).alias("_first"), F.min("_depth").over(w).alias("_nearest"),
     )
-    n = F.coalesce("retrieved", F.lit(0))
-    has_gold = F.coalesce("n_expected", F.lit(0)) > 0
-    ideal_n = F.least(F.coalesce("n_expected", F.lit(0)), n).cast("int")
-    ideal = F.aggregate(
-        F.when(ideal_n > 0, F.sequence(F.lit(1), ideal_n)).otherwise(F.array().cast("array<int>")),
-        F.lit(0.0), lambda s, r: s + F.lit(1.0) / F.log2(r + F.lit(1.0)),
+    new = F.col("page").isNotNull() & (F.col("_first") == F.col("rank"))
+    # A rank gains once however many new gold pages it brings.
+    unit = seen.groupBy(*keys, "rank").agg(
+        F.max("_depth").alias("_depth"), F.max("_tokens").alias("_tokens"), F.count_if(new).alias("_new"),
+        F.count_if(new & F.col("_gold")).alias("_gain"), F.max("_gold").alias("_hit"),
+        F.count_if(new & F.col("_gold") & (F.col("_nearest") > 0)).alias("_by_link"),
+        F.min(F.col("page").isNotNull() & (F.col("_first") < F.col("rank"))).alias("_dup"),
     )
-    return j.select(
-        *keys, n.alias("retrieved"), has_gold.alias("answerable"),
-        F.when(has_gold, F.coalesce("n_found", F.lit(0)) > 0).alias("page_hit"),
-        F.when(has_gold, F.coalesce("n_found", F.lit(0)) / F.col("n_expected")).alias("recall"),
-        F.when(has_gold, F.coalesce(F.lit(1.0) / F.col("best_rank"), F.lit(0.0))).alias("reciprocal_rank"),
-        F.when(has_gold & (n > 0), F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(F.lit(0.0)).alias("ndcg"),
-        F.coalesce("linked", F.lit(0)).alias("linked"),
-        F.when(n > 0, F.coalesce("linked", F.lit(0)) / n).otherwise(F.lit(0.0)).alias("linked_share"),
+    each = unit.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("retrieved"), F.count_if(F.col("_depth") > 0).alias("linked"),
+        F.sum("_gain").alias("n_found"), F.min(F.when(F.col("_hit"), F.col("rank"))).alias("best_rank"),
+        F.sum(F.when(F.col("_gain") > 0, numeric.discount(F.col("rank"))).otherwise(F.lit(0.0))).alias("dcg"),
+        F.sum("_tokens").alias("n_tokens"), F.sum("_new").alias("n_pages"), F.sum("_by_link").alias("pages_only_by_links"),
+        F.sum(F.when(F.col("_dup"), F.col("_tokens")).otherwise(0)).alias("duplicate_tokens"),
     )
+    gold = expected.groupBy("qid").agg(F.count("page").alias("n_expected"))
+    j = questions.select(*keys).join(each, keys, "left").join(gold, ["qid"], "left")
+    zeros = ("retrieved", "linked", "n_found", "n_tokens", "n_pages", "pages_only_by_links", "duplicate_tokens", "n_expected")
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
+    return j.withColumn("dcg", F.coalesce("dcg", F.lit(0.0))).withColumn("answerable", F.col("n_expected") > 0)
 
 
 def context_metrics(packed: DataFrame, questions: DataFrame, expected: DataFrame, keys=("qid",)) -> DataFrame:
-    """Metrics of a packed context: hit is false, not NULL, without gold."""
-    keys = list(keys)
-    base = page_metrics(packed, questions, expected, keys)
-    pages = packed.select(*keys, F.explode("pages").alias("page")).distinct().groupBy(*keys).agg(
-        F.count("page").alias("n_pages")
-    )
-    size = packed.groupBy(*keys).agg(F.sum("tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n_units"))
-    zero = F.lit(0)
-    return base.join(size, keys, "left").join(pages, keys, "left").select(
-        *keys, F.coalesce("n_units", zero).alias("n_units"), F.coalesce("n_tokens", zero).alias("n_tokens"),
-        F.coalesce("n_pages", zero).alias("n_pages"),
-        F.coalesce("page_hit", F.lit(False)).alias("page_hit"), "recall",
-        F.coalesce("reciprocal_rank", F.lit(0.0)).alias("reciprocal_rank"),
+    """Metrics of a packed context: hit is false, not NULL, without gold.
+
+    redundancy is NULL for a question with nothing packed.
+    """
+    m = _measured(packed, questions, expected, keys)
+    share = F.when(F.col("n_tokens") > 0, F.col("duplicate_tokens") / F.col("n_tokens")).otherwise(F.lit(0.0))
+    return m.select(
+        *keys, F.col("retrieved").alias("n_units"), "n_tokens", "n_pages",
+        (F.col("answerable") & (F.col("n_found") > 0)).alias("page_hit"),
+        F.when(F.col("answerable"), F.col("n_found") / F.col("n_expected")).alias("recall"),
+        F.coalesce(F.lit(1.0) / F.col("best_rank"), F.lit(0.0)).alias("reciprocal_rank"),
+        F.when(F.col("retrieved") > 0, share).alias("redundancy"),
     )
 
 
@@ -77,17 +98,8 @@ def arm_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def link_mechanism(packed: DataFrame, expected: DataFrame, keys=("qid",)) -> DataFrame:
+def link_mechanism(packed: DataFrame, questions: DataFrame, expected: DataFrame, keys=("qid",)) -> DataFrame:
     """How many packed units and gold pages came only through links."""
-    keys = list(keys)
-    units = packed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("packed"), F.count_if(F.col("link_depth") > 0).alias("traversed")
-    )
-    pages = packed.select(*keys, "link_depth", F.explode("pages").alias("page")).join(expected, ["qid", "page"])
-    only = (
-        pages.groupBy(*keys, "page").agg(F.min("link_depth").alias("nearest")).filter("nearest > 0")
-        .groupBy(*keys).agg(F.count("page").alias("pages_only_by_links"))
-    )
-    return units.join(only, keys, "left").withColumn(
-        "pages_only_by_links", F.coalesce("pages_only_by_links", F.lit(0))
+    return _measured(packed, questions, expected, keys).filter("retrieved > 0").select(
+        *keys, F.col("retrieved").alias("packed"), F.col("linked").alias("traversed"), "pages_only_by_links"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text
+from evispark.functions.arrays import let
 
 
 def context_blocks(hits: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
@@ -31,7 +32,8 @@ def pack_skip(hits: DataFrame, budget: int = 2200, keys=("qid",)) -> DataFrame:
 
     Order-dependent, hence a fold over the question's ranked units.
     """
-    units = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "tokens"))).alias("_u"))
+    rest = [c for c in hits.columns if c not in (*keys, "rank", "tokens")]
+    units = hits.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "tokens", *rest))).alias("_u"))
     start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<int>").alias("taken"))
     fold = F.aggregate(
         "_u", start,
@@ -43,8 +45,8 @@ def pack_skip(hits: DataFrame, budget: int = 2200, keys=("qid",)) -> DataFrame:
             ),
         ).otherwise(s),
     )
-    kept = units.select(*keys, F.explode(fold["taken"]).alias("rank"))
-    return hits.join(kept, [*keys, "rank"])
+    kept = let(fold["taken"], lambda t: F.filter("_u", lambda u: F.array_contains(t, u["rank"])))
+    return units.select(*keys, F.explode(kept).alias("_k")).select(*keys, "_k.*").select(*hits.columns)
 
 
 def context_text(packed: DataFrame, keys=("qid",)) -> DataFrame:

@@ -236,7 +236,7 @@ def pack_prefix_context(spark, sf):
 
 @query("pack_skip_units", compose("SELECT qid, rank::INT AS rank, doc_id, tokens FROM packed_skip", "packed_skip"))
 def pack_skip_units(spark, sf):
-    return packing.pack_skip(units_40(spark, sf)).select("qid", "rank", "doc_id", "tokens")
+    return packing.pack_skip(units_40(spark, sf).select("qid", "rank", "doc_id", "tokens"))
 
 
 REDUNDANCY = """SELECT qid, CASE WHEN sum(tokens) > 0 THEN sum(CASE WHEN dup THEN tokens ELSE 0 END) / sum(tokens)::DOUBLE ELSE 0.0 END AS redundancy
@@ -258,9 +258,9 @@ metrics_cte("m_packed", "packed_skip")
     ),
 )
 def context_metrics(spark, sf):
-    packed = packing.pack_skip(units_40(spark, sf)).select("qid", "tenant", "doc_id", "rank", "tokens", "pages")
+    packed = packing.pack_skip(units_40(spark, sf).select("qid", "rank", "tokens", "pages"))
     m = metrics.context_metrics(packed, corpus.questions(spark, sf), corpus.expected_pages(spark, sf))
-    return rounded(m.join(packing.redundancy(packed), "qid", "left"), "recall", "reciprocal_rank", "redundancy")
+    return rounded(m, "recall", "reciprocal_rank", "redundancy")
 
 
 @query(
@@ -276,8 +276,8 @@ def context_metrics(spark, sf):
 )
 def link_mechanism(spark, sf):
     hits = arm_native(spark, sf, 40, seed_k=20)
-    packed = packing.pack_skip(units_40(spark, sf, hits))
-    return metrics.link_mechanism(packed, corpus.expected_pages(spark, sf))
+    packed = packing.pack_skip(units_40(spark, sf, hits).select("qid", "rank", "tokens", "pages", "link_depth"))
+    return metrics.link_mechanism(packed, corpus.questions(spark, sf), corpus.expected_pages(spark, sf))
 
 
 def sized(spark, sf):

@@ -10,7 +10,7 @@ from evispark.operators.ranking import by_score, top_k
 from evispark.plans import corpus
 from evispark.plans.registry import query
 from evispark.plans.sql import compose
-from evispark.session import fits_broadcast, spread
+from evispark.session import fits_broadcast, settle
 
 FIELDS = (("text", 1.0), ("title", 3.0), ("source", 2.5))
 # Ranked rows of one question, relative to the question row itself.
@@ -21,8 +21,12 @@ def titled(spark, sf):
     return corpus.chunks(spark, sf).withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
 
 
+def weighted(spark, sf):
+    return lexical.Bm25(titled(spark, sf), corpus.questions(spark, sf), FIELDS)
+
+
 def scores_weighted(spark, sf):
-    return lexical.bm25_scores(titled(spark, sf), corpus.questions(spark, sf), FIELDS)
+    return weighted(spark, sf).scores()
 
 
 def small(spark, sf) -> bool:
@@ -47,7 +51,7 @@ def edges(spark, sf):
 
 
 def arm_native(spark, sf, k, seed_k=None):
-    return graph.native_search(scores_weighted(spark, sf), edges(spark, sf), k, seed_k, small=small(spark, sf))
+    return graph.native_search(weighted(spark, sf), edges(spark, sf), k, seed_k, small=small(spark, sf))
 
 
 def arm_adjacent(spark, sf, k):
@@ -178,7 +182,7 @@ GAINS = {
 
 @query("link_expansion_depth_2", compose(DEPTH_2, "gains", extra=GAINS))
 def link_expansion_depth_2(spark, sf):
-    seeds = top_k(scores_weighted(spark, sf), ["qid"], by_score(), 5)
+    seeds = settle(top_k(scores_weighted(spark, sf), ["qid"], by_score(), 5))
     x = graph.expand_links(seeds, edges(spark, sf), 2, small=small(spark, sf))
     return x.select(
         "qid", "doc_id", "link_depth", F.round("link_score", 6).alias("link_score"), F.size("seed_ids").alias("n_origins")
@@ -199,8 +203,8 @@ def native_retrieval(spark, sf):
 
 @query("native_evidence_only", hits_sql("evidence_10", "link_depth", ORIGINS))
 def native_evidence_only(spark, sf):
-    scores = lexical.bm25_scores(corpus.chunks(spark, sf), corpus.questions(spark, sf))
-    return out(graph.native_search(scores, edges(spark, sf), 10, small=small(spark, sf)), "link_depth", origins())
+    bm25 = lexical.Bm25(corpus.chunks(spark, sf), corpus.questions(spark, sf))
+    return out(graph.native_search(bm25, edges(spark, sf), 10, small=small(spark, sf)), "link_depth", origins())
 
 
 @query("hybrid_retrieval", hits_sql("hybrid_10", "link_depth", ORIGINS))
