@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as T
 from evispark.operators.containment import verbatim_pairs
+from evispark.session import settle
 
 TENANTS = ["de", "en", "es", "fr"]
 BLOCK = 65536
@@ -56,5 +57,9 @@ def gold_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expected_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """(qid, page) distinct gold pages."""
-    return gold_documents(spark, sf).select("qid", F.col("page_number").alias("page")).distinct()
+    """(qid, page) distinct gold pages.
+
+    Gold is an input of an evaluation; here it is derived, so it is settled
+    once instead of being derived again by every join that reads it.
+    """
+    return settle(gold_documents(spark, sf).select("qid", F.col("page_number").alias("page")).distinct())
