@@ -298,3 +298,17 @@ def format_p(p: Column) -> Column:
         .when(p < 0.001, F.lit("< 0.001"))
         .otherwise(F.format_string("%.3f", p))
     )
+
+
+def iso_date(text: Column) -> Column:
+    """DATE of a strict yyyy-MM-dd text, else NULL."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+
+
+def utc_timestamp(text: Column) -> Column:
+    """Whole seconds in UTC with a Z; NULL without an explicit time zone.
+
+    The session time zone must be UTC.
+    """
+    zoned = text.rlike(r"T.*(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, F.date_format(text.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))

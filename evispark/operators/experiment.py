@@ -168,3 +168,24 @@ def inventory_mismatch(expected: DataFrame, actual: DataFrame, path: str = "path
         .when(F.col("_a") != F.col("_e"), F.lit("changed"))
     )
     return j.select("path", problem.alias("problem")).filter("problem is not null")
+
+
+def record_violations(records: DataFrame, schedule: DataFrame, keys) -> DataFrame:
+    """(rule, keys) for stored records that must not be resumed from.
+
+    ``records`` carry answer, answer_sha256, tokens_total and invocations, an
+    array of structs with a tokens field; each must belong to a scheduled cell,
+    match its digest and account for every call.
+    """
+    keys = list(keys)
+    known = schedule.select(*keys, F.lit(True).alias("_known")).distinct()
+    spent = F.aggregate("invocations", F.lit(0).cast("bigint"), lambda s, x: s + x["tokens"])
+    rules = F.array_compact(
+        F.array(
+            F.when(F.col("_known").isNull(), F.lit("unknown_cell")),
+            F.when(~F.sha2("answer", 256).eqNullSafe(F.col("answer_sha256")), F.lit("answer_digest")),
+            F.when(~spent.eqNullSafe(F.col("tokens_total").cast("bigint")), F.lit("token_accounting")),
+            F.when(F.size("invocations") < 1, F.lit("no_invocation")),
+        )
+    )
+    return records.join(known, keys, "left").select(F.explode(rules).alias("rule"), *keys)

@@ -106,35 +106,40 @@ def wilcoxon(pairs: DataFrame, keys, difference: str = "difference") -> DataFram
 
 def cluster_bootstrap(
     pairs: DataFrame, cluster: str, block: Column, repetitions: int = 10000, seed: int = 42,
-    confidence: float = 0.95, difference: str = "difference",
+    confidence: float = 0.95, difference: str = "difference", keys=(),
 ) -> DataFrame:
-    """One row: mean difference and its percentile interval over clusters.
+    """Mean difference and its percentile interval over clusters, for each key.
 
     Each repetition draws as many clusters as there are, with replacement, and
     pools all their differences. Draws are md5-indexed: every cluster row
     emits its own share of each repetition, so nothing is crossed with
     anything; sums are combined map-side, one row for each repetition remains.
+    With one row a cluster this is the plain row bootstrap.
     """
-    sums = pairs.groupBy(cluster).agg(F.sum(difference).alias("_s"), F.count(difference).alias("_c"))
-    placed = dense_index(sums, block, [cluster], "_i")
-    total = sums.agg(F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc"))
+    keys = list(keys)
+    link = lambda many, one: many.join(F.broadcast(one), keys) if keys else attach_row(many, one)
+    sums = pairs.groupBy(*keys, cluster).agg(F.sum(difference).alias("_s"), F.count(difference).alias("_c"))
+    placed = dense_index(sums, block, [cluster], "_i", keys)
+    total = sums.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc")
+    )
     reps = F.sequence(F.lit(0), F.lit(repetitions - 1))
-    draws = attach_row(placed, total.select("_n")).select("_i", "_n", F.explode(reps).alias("_rep"))
-    drawn = draws.select("_rep", numeric.draw_index(F.col("_n"), F.lit(seed), F.col("_rep"), F.col("_i")).alias("_i"))
+    draws = link(placed, total.select(*keys, "_n")).select(*keys, "_i", "_n", F.explode(reps).alias("_rep"))
+    drawn = draws.select(*keys, "_rep", numeric.draw_index(F.col("_n"), F.lit(seed), F.col("_rep"), F.col("_i")).alias("_i"))
     # How often each cluster is drawn in each repetition; combined before the join.
-    times = drawn.groupBy("_i", "_rep").agg(F.count(F.lit(1)).alias("_k"))
+    times = drawn.groupBy(*keys, "_i", "_rep").agg(F.count(F.lit(1)).alias("_k"))
     means = (
-        times.join(placed.select("_i", "_s", "_c"), "_i")
-        .groupBy("_rep")
+        times.join(placed.select(*keys, "_i", "_s", "_c"), [*keys, "_i"])
+        .groupBy(*keys, "_rep")
         .agg((F.sum(F.col("_k") * F.col("_s")) / F.sum(F.col("_k") * F.col("_c"))).alias("_mean"))
     )
     tail = (1 - confidence) / 2
-    # At most ``repetitions`` values, whatever the data.
-    spread = means.agg(
+    # At most ``repetitions`` values a key, whatever the data.
+    spread = means.groupBy(*keys).agg(
         F.percentile("_mean", F.lit(tail)).alias("ci_low"), F.percentile("_mean", F.lit(1 - tail)).alias("ci_high")
     )
-    return attach_row(total, spread).select(
-        F.col("_n").alias("n_clusters"), F.col("_tc").alias("n_differences"),
+    return link(total, spread).select(
+        *keys, F.col("_n").alias("n_clusters"), F.col("_tc").alias("n_differences"),
         (F.col("_ts") / F.col("_tc")).alias("mean_difference"), "ci_low", "ci_high",
     )
 

@@ -74,3 +74,18 @@ def sibling_suffix(nodes: DataFrame, keys, base: str) -> DataFrame:
 
 def slug_collisions(nodes: DataFrame, keys) -> DataFrame:
     return nodes.groupBy(*keys, "parent", "slug").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def cross_references(topics: DataFrame, most: int = 20) -> DataFrame:
+    """(ord, target, pos): sections a topic's text mentions, by number.
+
+    ``topics`` has ord, section_number, text. A number used twice means its
+    last topic; a topic never refers to itself and keeps its first ``most``.
+    """
+    from evispark.functions.text import section_references
+    from evispark.operators.ranking import top_k
+
+    said = topics.select("ord", F.posexplode(section_references(F.col("text"))).alias("pos", "section_number"))
+    last = topics.filter("section_number is not null").groupBy("section_number").agg(F.max("ord").alias("target"))
+    found = said.join(last, "section_number").filter("ord <> target")
+    return top_k(found, ["ord"], ["pos"], most, "_r").select("ord", "target", "pos")

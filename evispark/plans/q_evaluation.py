@@ -585,6 +585,26 @@ def cluster_bootstrap(spark, sf):
     return rounded(b, "mean_difference", "ci_low", "ci_high")
 
 
+@query(
+    "bootstrap_by_flow",
+    compose(
+        f"""SELECT c0.flow, any_value(c0.nc) AS n_clusters, any_value(c0.nd)::BIGINT AS n_differences, round(any_value(c0.md), 6) AS mean_difference,
+        round(quantile_cont(x.m, 0.025), 6) AS ci_low, round(quantile_cont(x.m, 0.975), 6) AS ci_high
+        FROM (SELECT flow, count(*) AS nc, sum(n) AS nd, sum(s) / sum(n) AS md FROM cl GROUP BY flow) c0 JOIN (
+          SELECT r.flow, r.rep, sum(c.s) / sum(c.n) AS m FROM (SELECT cl.flow, rep, {sql.draw('z.nc', '42', 'rep', 'cl.i')} AS i
+            FROM cl JOIN (SELECT flow, count(*) AS nc FROM cl GROUP BY flow) z ON z.flow = cl.flow, generate_series(0, {BOOT - 1}) t(rep)) r
+          JOIN cl c ON c.flow = r.flow AND c.i = r.i GROUP BY r.flow, r.rep) x ON x.flow = c0.flow GROUP BY c0.flow""",
+        "cl",
+        extra={"cl": (("pairs",), "SELECT flow, row_number() OVER (PARTITION BY flow ORDER BY qid) - 1 AS i, qid, sum(difference) AS s, count(*) AS n FROM pairs GROUP BY flow, qid")},
+    ),
+)
+def bootstrap_by_flow(spark, sf):
+    """Row bootstrap of every flow: one difference a question."""
+    block = F.floor(F.col("qid") / corpus.BLOCK)
+    b = stats.cluster_bootstrap(pairs(spark, sf), "qid", block, repetitions=BOOT, keys=["flow"])
+    return rounded(b, "mean_difference", "ci_low", "ci_high")
+
+
 @query(
     "control_table",
     compose(

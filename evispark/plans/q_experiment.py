@@ -266,3 +266,26 @@ def gold_evidence(spark, sf):
     on = audit.page_overlap(expected, chunks)
     refs = corpus.questions(spark, sf).select("qid", F.col("text").alias("reference"))
     return audit.gold_evidence(audit.evidence_overlap(on, refs, chunks), on)
+
+
+@query(
+    "record_violations",
+    """WITH r AS (SELECT event_id, event_type, user_id, (props::JSON->>'k')::BIGINT AS k FROM events)
+    SELECT rule, event_id, event_type FROM (
+      SELECT 'unknown_cell' AS rule, event_id, event_type FROM r WHERE event_type = 'error' UNION ALL
+      SELECT 'answer_digest', event_id, event_type FROM r WHERE k = 7 UNION ALL
+      SELECT 'token_accounting', event_id, event_type FROM r WHERE k > 90)""",
+)
+def record_violations(spark, sf):
+    """Events as stored answers: k = 7 got a stale digest, k > 90 lost a call."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    e = corpus.table(spark, sf, "events").withColumn("k", k)
+    call = lambda n: F.struct(n.alias("tokens"))
+    records = e.select(
+        "event_id", "event_type", F.col("props").alias("answer"),
+        F.when(F.col("k") == 7, F.sha2(F.lit(""), 256)).otherwise(F.sha2("props", 256)).alias("answer_sha256"),
+        (F.col("k") * 3).alias("tokens_total"),
+        F.when(F.col("k") > 90, F.array(call(F.col("k")))).otherwise(F.array(call(F.col("k")), call(F.col("k") * 2))).alias("invocations"),
+    )
+    planned = e.filter("event_type <> 'error'").select("event_id", "event_type")
+    return experiment.record_violations(records, planned, ["event_id", "event_type"])

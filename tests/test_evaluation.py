@@ -252,3 +252,9 @@ def test_pilot_patch_exclude_latest(spark):
     assert experiment.excluded(q, p, "qid").count() == 4
     rows = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("j", 1, "x")], "k string, s int, v string")
     assert {r.k: r.v for r in experiment.latest(rows, ["k"], "s").collect()} == {"k": "new", "j": "x"}
+
+
+def test_cross_references_take_the_last_topic(spark):
+    rows = [(0, "1.1", "see Section 2.2 and Section 1.1"), (1, "2.2", ""), (2, "2.2", "Sections 1.1 then Section 9.9"), (3, None, "Section 2.2")]
+    df = spark.createDataFrame(rows, "ord bigint, section_number string, text string")
+    assert sorted((r.ord, r.target) for r in tree.cross_references(df).collect()) == [(0, 2), (2, 0), (3, 2)]

@@ -117,3 +117,9 @@ def test_timestamps_sections_costs(spark):
     df = spark.createDataFrame([("5.2.1 Likelihood", "see Section 3.4 and Sections 7.1.2 and Section 9", "mock"), ("Title", "", "nope")], "a string, b string, m string")
     r = df.select(T.section_number(F.col("a")), T.section_references(F.col("b")), numeric.usage_cost(F.col("m"), F.lit(10), F.lit(10))).collect()
     assert [tuple(x) for x in r] == [("5.2.1", ["3.4", "7.1.2"], 0.0), (None, [], 0.0)]
+
+
+def test_dates_and_timestamps(spark):
+    rows = [("2026-01-31", "2026-08-02T02:30:00+02:00"), ("2026-02-30", "2026-08-02T00:30:00Z"), ("26-1-1", "2026-08-02T00:30:00"), ("x", "zzz")]
+    got = spark.createDataFrame(rows, "d string, t string").select(T.iso_date(F.col("d")).cast("string"), T.utc_timestamp(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("2026-01-31", "2026-08-02T00:30:00Z"), (None, "2026-08-02T00:30:00Z"), (None, None), (None, None)]
