@@ -134,7 +134,7 @@ def exact_percentiles(df: DataFrame, keys, value: str, positions: dict, accuracy
         "_want", F.when(F.col("_total") <= 4096, everything).otherwise(F.array_distinct(F.flatten(F.array(*near))))
     )
     if keys:
-        cells = counts.join(F.broadcast(sizes), keys)
+        cells = counts.join(sizes, keys)
     else:
         cells = attach_row(counts, sizes)
     cells = cells.withColumn("_cell", cell_of(F.col(value)))
@@ -142,7 +142,7 @@ def exact_percentiles(df: DataFrame, keys, value: str, positions: dict, accuracy
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_cell.select(*keys, "_cell", F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_off"))
     inside = cells.filter(F.array_contains("_want", F.col("_cell").cast("int"))).join(
-        F.broadcast(offsets), [*keys, "_cell"]
+        offsets, [*keys, "_cell"]
     )
     w = Window.partitionBy(*keys, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_hi", F.col("_off") + F.sum("_n").over(w) - 1).withColumn(

@@ -117,7 +117,7 @@ def cluster_bootstrap(
     With one row a cluster this is the plain row bootstrap.
     """
     keys = list(keys)
-    link = lambda many, one: many.join(F.broadcast(one), keys) if keys else attach_row(many, one)
+    link = lambda many, one: many.join(one, keys) if keys else attach_row(many, one)
     sums = pairs.groupBy(*keys, cluster).agg(F.sum(difference).alias("_s"), F.count(difference).alias("_c"))
     placed = dense_index(sums, block, [cluster], "_i", keys)
     total = sums.groupBy(*keys).agg(

@@ -62,7 +62,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     larger inputs already come in many splits and are left alone.
     """
     spark = df.sparkSession
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") or 0)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if plan_bytes(df) >= split:
         return df
     n = spark.sparkContext.defaultParallelism
