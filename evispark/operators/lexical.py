@@ -122,7 +122,7 @@ class Bm25:
     def scores_of(self, pairs: DataFrame, pairs_small: bool = False) -> DataFrame:
         """(qid, doc_id, score) of the given (qid, doc_id) pairs only."""
         few = self.hits.join(broadcast_if(pairs.select("qid", "doc_id"), pairs_small), "doc_id")
-        return few.join(self.weights, [*self.on, "qid"]).groupBy("qid", "doc_id").agg(F.sum(self.part).alias("score"))
+        return few.join(broadcast_if(self.weights, self.small), [*self.on, "qid"]).groupBy("qid", "doc_id").agg(F.sum(self.part).alias("score"))
 
 
 def bm25_scores(docs: DataFrame, questions: DataFrame, fields=PLAIN, **options) -> DataFrame:
