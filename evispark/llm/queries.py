@@ -26,10 +26,10 @@ def op1(spark, sf_dir):
 
 SQL_OP2 = """
 with recursive v as (
-  select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
 ), ok as (
-  select vec_id, e, sqrt(list_sum(list_transform(e, x -> x * x))) as n from v
-  where e is not null and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0
+  select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
+  where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
 ), link as (
   select a.vec_id as a, b.vec_id as b from ok a join ok b
   on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
@@ -63,14 +63,14 @@ with recursive w as (
   from documents
 ), s as (
   select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-    else list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) end as sh
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh
   from w
 ), n as (select doc_id, len(sh) as n from s),
 t as (select doc_id, md5(x) as x from (select doc_id, unnest(sh) as x from s)),
 hits as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both from t a join t b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2
+  select a.doc_id as a, b.doc_id as b, count(*) as common from t a join t b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2
 ), link as (
-  select a, b from hits join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 75 * (x.n + y.n - both)
+  select a, b from hits join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n + y.n - common)
 ), edge as (select a, b from link union all select b, a from link),
 reach(doc_id, other) as (
   select doc_id, doc_id from n union select r.doc_id, e.b from reach r join edge e on r.other = e.a
