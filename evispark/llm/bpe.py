@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -23,6 +24,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Encodings of units that are kept for good, and behind them those of the batch at hand."""
+
+    def __init__(self):
+        super().__init__()
+        self.batch: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.batch[unit]
+
+
 class TrieEncoder:
     """BPE of words from states on trie nodes.
 
@@ -36,7 +48,7 @@ class TrieEncoder:
     once and remembered.
     """
 
-    def __init__(self, path: str, memory: int = 1_000_000):
+    def __init__(self, path: str, memory: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -56,7 +68,7 @@ class TrieEncoder:
         # A token that merging its own bytes does not give can end no encoding.
         self.whole: dict[bytes, bool] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
-        self.memory, self.known = memory, {}
+        self.memory, self.known = memory, Known()
         table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.lengths = np.array([len(b) for b in table])
         self.table = table
@@ -80,7 +92,7 @@ class TrieEncoder:
     def holds(self, left: bytes, right: bytes) -> bool:
         ok = self.pairs.get((left, right))
         if ok is None:
-            if len(self.pairs) >= 2_000_000:
+            if len(self.pairs) >= 500_000:
                 self.pairs.clear()
             ok = self.pairs[left, right] = self.by_merging(left + right) == [left, right]
         return ok
@@ -139,8 +151,6 @@ class TrieEncoder:
         _, words_of, split = self._patterns
         cut = [self.units(t) for t in texts]
         known = self.known
-        if len(known) > self.memory:
-            known.clear()
         new: dict[str, list] = {}
         for units in cut:
             for u in units:
@@ -151,8 +161,10 @@ class TrieEncoder:
                     else:
                         new[u] = [x.encode() for x in words_of(u)]
         ids = self.encode_words({w for ws in new.values() for w in ws if isinstance(w, bytes)})
-        for u, ws in new.items():
-            known[u] = b"".join([ids[w] if isinstance(w, bytes) else np.array([w], dtype="<u4").tobytes() for w in ws])
+        known.batch = {u: b"".join([ids[w] if isinstance(w, bytes) else np.array([w], dtype="<u4").tobytes() for w in ws]) for u, ws in new.items()}
+        room = self.memory - len(known)
+        if room > 0:  # words met early are the common ones; no word is put out again
+            known.update(itertools.islice(known.batch.items(), room))
         get = known.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 
@@ -167,7 +179,7 @@ def encoder(path: str) -> TrieEncoder:
 
 
 
-def encode_table(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", step_chars: int = 8 << 20) -> DataFrame:
+def encode_table(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", step_chars: int = 4 << 20) -> DataFrame:
     """(doc_id, ids binary, decoded string) for each row, in one pass without a shuffle.
 
     Each task inserts the distinct words of some megabytes of text into a trie
