@@ -17,7 +17,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Documents as token pieces of at most ``capacity`` ids; one pass, no shuffle.
 
-    Ids come from the tokenizers library, ``end_id`` ends each document. A
+    Ids are those of the tokenizers library, ``end_id`` ends each document. A
     longer document is cut into full pieces, behind a first one that takes the
     remainder. A null text is empty and gives one piece with the end id alone;
     repeated rows give repeated pieces; a null doc_id stays null.
