@@ -45,51 +45,44 @@ class Cuts:
                 low = mid + 1
         return low
 
-    def refine(self, cells: list[tuple[int, int, int]], asked: list[int]) -> None:
-        """Take in (index, largest cut, number of cuts) of the cells between consecutive ``asked`` bounds."""
-        got = {i: (m, n) for i, m, n in cells}
-        known = dict.fromkeys(self.at)
-        closed = set()
-        for i in range(len(asked) - 1):
-            if i in got:
-                known[got[i][0]] = None
-        old_at, old_open = self.at, self.open
-        self.at = sorted(known)
-        # A gap stays open if it was open and some cell in it holds a cut that is not known.
-        hidden = [(asked[i], got[i][0]) for i in got if got[i][1] > 1]
-        starts = [h[0] for h in hidden]
-        lo, hi = asked[0], asked[-1]
-        self.open = []
-        for a, b in zip(self.at, self.at[1:], strict=False):
-            was = old_open[min(bisect.bisect_right(old_at, a) - 1, len(old_open) - 1)]
-            if was and a >= lo and b <= hi:
-                j = bisect.bisect_left(starts, b) - 1
-                was = j >= 0 and hidden[j][1] > a
-            self.open.append(was and (a, b) not in closed)
+    def refine(self, cells: list[tuple[int, int, int]], a: int, b: int) -> None:
+        """Take in (first cut, last cut, number of cuts) of each cell of the open gap from ``a`` to ``b``."""
+        i = bisect.bisect_left(self.at, a)
+        at, hidden = [a], []
+        for first, last, n in sorted(cells):
+            if first > at[-1]:
+                at.append(first)
+                hidden.append(False)
+            if last > at[-1]:
+                at.append(last)
+                hidden.append(n > 2)
+        self.at[i : i + 2] = at
+        self.open[i : i + 1] = hidden
 
 
 def minimax_cuts(groups: DataFrame, size: str, before: str, shards: int, cells: int = 8192) -> tuple[int, list[int]]:
     """(capacity, ends of the shards) for ordered atomic groups with exclusive prefix sums in ``before``.
 
     The smallest capacity is found by binary search with a greedy check. The
-    driver never holds the groups: it asks Spark for the last group end in each
-    of ``cells`` ranges of the prefix sums, brackets the answer between what
+    driver never holds the groups: it asks Spark for group ends in each of
+    ``cells`` ranges of the prefix sums, brackets the answer between what
     known ends reach and what ends hidden in a range could reach at best, and
-    refines only the ranges where a shard could end, until the two agree.
+    refines only the ranges where a shard could end, until the two agree. Each
+    answer names the first and last end of a range, so ranges shrink each time.
     """
     top = groups.agg(F.sum(size), F.max(size)).first()
     if top[0] is None:
         return 0, [0] * shards
     total, largest = int(top[0]), int(top[1])
     cuts = Cuts(total)
-    windows = [(0, total)]
+    gaps = [(0, total)]
     ends = (F.col(before) + F.col(size)).alias("end")
     while True:
-        width = sum(b - a for a, b in windows)
-        asked: list[int] = []
-        for a, b in windows:
-            m = max(2, min(b - a, cells * (b - a) // max(width, 1)))
-            asked += np.unique(np.linspace(a, b, m + 1).astype(np.int64)).tolist()
+        width = sum(b - a for a, b in gaps)
+        asked = [0]
+        for a, b in gaps:
+            m = max(2, cells * (b - a) // width)
+            asked += np.unique(np.linspace(a, b, min(b - a, m) + 1).astype(np.int64)).tolist()
         asked = sorted(set(asked))
         bounds = np.array(asked)
 
@@ -100,29 +93,19 @@ def minimax_cuts(groups: DataFrame, size: str, before: str, shards: int, cells:
                 e = pdf["end"].to_numpy(np.int64)
                 i = np.searchsorted(bounds, e, side="left") - 1  # cell i holds ends in (bounds[i], bounds[i + 1]]
                 ok = (i >= 0) & (i < len(bounds) - 1)
-                g = pd.DataFrame({"i": i[ok], "end": e[ok]}).groupby("i")["end"].agg(["max", "count"]).reset_index()
-                yield g
-
-        got = groups.select(ends).mapInPandas(ask, "i long, `max` long, `count` long").groupBy("i").agg(F.max("max"), F.sum("count")).collect()
-        inside = set()
-        for a, b in windows:
-            inside.update(range(bisect.bisect_left(asked, a), bisect.bisect_left(asked, b)))
-        for a, b in windows:  # refine window by window: between windows nothing was asked for
-            i, j = bisect.bisect_left(asked, a), bisect.bisect_left(asked, b)
-            cuts.refine([(r[0] - i, r[1], r[2]) for r in got if i <= r[0] < j], asked[i : j + 1])
+                yield pd.DataFrame({"i": i[ok], "end": e[ok]}).groupby("i")["end"].agg(["min", "max", "count"]).reset_index()
+
+        told = groups.select(ends).mapInPandas(ask, "i long, `min` long, `max` long, `count` long")
+        got = {r[0]: r[1:] for r in told.groupBy("i").agg(F.min("min"), F.max("max"), F.sum("count")).collect()}
+        for a, b in gaps:
+            own = range(bisect.bisect_left(asked, a), bisect.bisect_left(asked, b))
+            cuts.refine([got[i] for i in own if i in got], a, b)
         sure = cuts.least(shards, largest, cuts.sure)
         hope = cuts.least(shards, largest, cuts.hope)
         if sure == hope:
             return sure, cuts.walk(sure, shards, cuts.sure)
-        near = zip(cuts.walk(hope, shards, cuts.sure), cuts.walk(sure, shards, cuts.hope), strict=True)
-        spans = [(a, b) for a, b in near]
-        windows = []
-        for i, (a, b) in enumerate(zip(cuts.at, cuts.at[1:], strict=False)):
-            if cuts.open[i] and any(a <= y and b >= x for x, y in spans):
-                if windows and windows[-1][1] == a:
-                    windows[-1] = (windows[-1][0], b)
-                else:
-                    windows.append((a, b))
+        spans = list(zip(cuts.walk(hope, shards, cuts.sure), cuts.walk(sure, shards, cuts.hope), strict=True))
+        gaps = [(a, b) for i, (a, b) in enumerate(zip(cuts.at, cuts.at[1:], strict=False)) if cuts.open[i] and any(a <= y and b >= x for x, y in spans)]
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
