@@ -9,20 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evispark.session import ensure_checkpoint_dir, plan_bytes, settle
+from evispark.session import ensure_checkpoint_dir, settle
 
-__all__ = ["fragment_offsets", "input_bytes", "load", "prefix_sums", "scratch_path", "settle", "vocabulary"]
+__all__ = ["crc32_join", "encode_texts", "load", "prefix_sums", "scratch_path", "settle", "vocabulary"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the files behind ``df``; Catalyst's estimate for other inputs, at least 1."""
-    return max(1, plan_bytes(df))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder of the session."""
     import uuid

@@ -99,15 +99,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds
 
     Pieces are dealt evenly by a hash into parts of about ``per_part`` and each
     part is packed best fit decreasing. A part whose bins equal its lower bound
-    is proven best and stays. The others keep their full bins and put the
-    pieces of all other bins into a common pool, which is dealt anew and packed
-    again; a deal that needs no fewer bins is not taken and ends the search.
+    is proven best and stays, but for its emptiest bin: one bin a part is what
+    rounding up costs. The others keep their full bins alone. The pieces of all
+    other bins form a common pool, which is dealt anew and packed again; a deal
+    that needs no fewer bins is not taken and ends the search.
     ``certified``: the part's number of bins equals its bound. Each round is
     one shuffle of narrow rows; the pool shrinks from round to round. Pieces of
     equal size are ordered by (doc_id, piece), so results are repeatable.
     """
     out_schema = pieces.schema
-    for name, kind in (("sequence_id", "long"), ("offset", "long"), ("certified", "boolean"), ("_bins", "long"), ("_gap", "long"), ("_open", "boolean")):
+    for name, kind in (("sequence_id", "long"), ("offset", "long"), ("certified", "boolean"), ("_open", "boolean")):
         out_schema = out_schema.add(name, kind)
 
     def deal(df: DataFrame, n: int, k: int) -> DataFrame:
@@ -124,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds
             # 8 bits of round, 28 of part, 27 of bin: unique over all rounds
             out["sequence_id"] = (k << 55) | (int(key[0]) << 27) | bins
             out["offset"], out["certified"] = offsets, gap == 0
-            out["_bins"], out["_gap"], out["_open"] = used, gap, (gap > 0) & (fill[bins] < capacity)
+            out["_open"] = (fill[bins] < capacity) & ((gap > 0) | (bins == fill.argmin()))
             return out
 
         return settle(df.withColumn("_part", part).groupBy("_part").applyInPandas(run, out_schema))
@@ -146,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds
         pool = again
     for d in reversed(done):
         pool = d.unionByName(pool)
-    return pool.drop("_bins", "_gap", "_open")
+    return pool.drop("_open")
 
 
 def pack_documents(docs: DataFrame, vocab: str, capacity: int = 2048, per_part: int = 20_000, rounds: int = 3) -> DataFrame:

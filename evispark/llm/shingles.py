@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.common import input_bytes, settle
+from evispark.llm.common import settle
 from evispark.llm.components import connect
 
 U = np.uint64
@@ -367,7 +367,7 @@ def rest_pairs(runs: DataFrame, labels: DataFrame, sets: DataFrame, block: int =
     return cells.groupBy("run", "lo", "hi").applyInPandas(test, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, part_bytes: int = 4 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     Documents link when 100 * intersection >= 75 * union of their sets of
@@ -385,7 +385,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, part_bytes: int = 4 << 20) -
     first = F.min(F.struct("doc_id", "h"))
     classes = usable.groupBy("rep").agg(first.alias("f"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     reps = settle(classes.select("rep", "f.doc_id", "f.h", "n", "sketch"))
-    parts = max(8, math.ceil(input_bytes(docs) / part_bytes))
+    # about two block keys for three shingles
+    total = info.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(8, math.ceil(total * 2 / 3 / part_keys))
     found = settle(candidate_runs(rows.filter("doc_id is not null").select("text"), parts, size))
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     runs = found.filter("kind = 1").select("a", "run", "level", "slack")
