@@ -329,42 +329,86 @@ def shingle_table(docs: DataFrame, size: int = 5) -> DataFrame:
     return docs.mapInPandas(run, "rep long, shingles binary")
 
 
-def rest_pairs(runs: DataFrame, labels: DataFrame, sets: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs of long runs that are still apart, for members that long runs alone could link.
+def rest_members(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, run, component) of long runs that are still apart, of members that long runs alone could link.
 
     A member with more equal-able blocks outside long runs than the allowed
-    difference has met every partner in a short run, so it may go. The others
-    meet by blocks of ``block`` members, one task a pair of blocks, which tests
-    Hamming distances of sketches and hands on only pairs that pass.
+    difference has met every partner in a short run, so it may go.
     """
     lost = runs.groupBy("a", "level").agg(F.countDistinct("run").alias("w"), F.min("slack").alias("slack")).filter("w >= slack").select("a", "level")
     left = runs.join(lost, ["a", "level"]).select("a", "run").distinct().join(labels.withColumnRenamed("node", "a"), "a", "left")
     left = left.withColumn("component", F.coalesce("component", "a"))
-    mixed = left.groupBy("run").agg(F.countDistinct("component").alias("kinds"), F.count(F.lit(1)).alias("n")).filter("kinds > 1")
-    left = left.join(mixed.select("run", F.ceil(F.col("n") / block).cast("int").alias("m")), "run")
-    left = left.join(sets.select(F.col("rep").alias("a"), "n", "sketch"), "a").withColumn("blk", F.pmod(F.xxhash64("a"), F.col("m")).cast("int"))
+    mixed = left.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("run")
+    return left.join(mixed, "run")
+
+
+def spanning_edges(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the edges (i, j) lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the shingles that two sets or more have."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[col] > 1
+    place = np.cumsum(n > 1) - 1
+    col, owner = place[col[shared]], owner[shared]
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        lo, hi = np.searchsorted(col, (at, at + width))
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[lo:hi], col[lo:hi] - at] = 1
+        out += x @ x.T
+    return out
+
+
+def rest_edges(left: DataFrame, reps: DataFrame, texts: DataFrame, size: int = 5, block: int = 800, block_shingles: int = 500_000) -> DataFrame:
+    """Edges (a, b) that join the parts of long runs which are linked, from `rest_members`.
+
+    Runs of one group of near copies have much the same members, so runs that
+    share a member are taken together as one crowd. A crowd's members meet by
+    blocks of about ``block`` members and ``block_shingles`` shingles, one task
+    a pair of blocks, which counts all intersections exactly and returns a
+    spanning forest: a row a member at most, whatever the number of pairs.
+    """
+    firsts = left.groupBy("run").agg(F.min("a").alias("b"))
+    crowds = connect(left.join(firsts, "run").select("a", "b").distinct()).select(F.col("node").alias("a"), F.col("component").alias("crowd"))
+    members = settle(left.select("a", "component").distinct().join(crowds, "a").join(reps.select(F.col("rep").alias("a"), "doc_id", "h", "n"), "a"))
+    sets = shingle_table(texts.join(members.select(F.col("a").alias("rep"), "doc_id", "h"), ["doc_id", "h"]).select("rep", "text").dropDuplicates(["rep"]), size)
+    sets = settle(sets).withColumnRenamed("rep", "a")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int")
+    placed = members.join(members.groupBy("crowd").agg(blocks.alias("m")), "crowd").withColumn("blk", F.pmod(F.xxhash64("a"), F.col("m")).cast("int"))
     partner = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("lo"), F.greatest(o, F.col("blk")).alias("hi")))
-    cells = left.withColumn("cell", F.explode(partner)).select("run", "cell.lo", "cell.hi", "blk", "a", "component", "n", "sketch")
+    cells = placed.withColumn("cell", F.explode(partner)).select("crowd", "cell.lo", "cell.hi", "a", "component").join(sets, "a")
 
-    def test(pdf):
+    def meet(pdf):
         import pandas as pd
 
-        size = min(map(len, pdf["sketch"]))
-        x = np.stack([fold(s, size) for s in pdf["sketch"]])
-        x = x.view(np.uint64)
-        a, comp, n, blk = (pdf[c].to_numpy(np.int64) for c in ("a", "component", "n", "blk"))
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        out = []
-        for i in range(len(a)):
-            ok = (comp != comp[i]) & (a > a[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            if lo != hi:
-                ok &= blk != blk[i]
-            j = np.flatnonzero(ok)
-            j = j[7 * np.bitwise_count(x[j] ^ x[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]]
-            out.append(pd.DataFrame({"a": a[i], "b": a[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": a[:0], "b": a[:0]})
+        pdf = pdf.sort_values("a")
+        a, comp = pdf["a"].to_numpy(np.int64), pdf["component"].to_numpy(np.int64)
+        sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
+        n = np.array([len(x) for x in sets])
+        i, j = np.nonzero(np.triu(175 * common_counts(sets) >= 75 * (n[:, None] + n), 1))
+        apart = comp[i] != comp[j]
+        # members of one component hang together already
+        _, first, group = np.unique(comp, return_index=True, return_inverse=True)
+        label = spanning_edges(np.concatenate((i[apart], np.arange(len(a)))), np.concatenate((j[apart], first[group])), len(a))
+        moved = a[label] != a[first[group]]
+        return pd.DataFrame({"a": a[moved], "b": a[label[moved]]})
 
-    return cells.groupBy("run", "lo", "hi").applyInPandas(test, "a long, b long").distinct()
+    return cells.groupBy("crowd", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) -> DataFrame:
@@ -393,9 +437,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) ->
     runs = found.filter("kind = 1").select("a", "run", "level", "slack")
     edges = settle(verified(pairs, reps, rows, size))
     labels = settle(connect(edges))
-    more = settle(rest_pairs(runs, labels, reps))
-    if not more.isEmpty():
-        labels = settle(connect(edges.union(verified(more, reps, rows, size))))
+    left = settle(rest_members(runs, labels))
+    if not left.isEmpty():
+        labels = settle(connect(edges.union(rest_edges(left, reps, rows, size))))
     # classes are numbered by hash; a component is named by its smallest doc_id
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("c"))
     names = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
