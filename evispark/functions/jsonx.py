@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from evispark.errors import DuplicateJSONKeyError, JudgeValidationError
+from evispark.functions.arrays import let
 
 # --- fixed values: the judge document ---------------------------------------
 SCHEMA_VERSION = "1.0"
@@ -20,79 +16,65 @@ KEYS = frozenset(
 DISPOSITIONS = ("substantive_answer", "refusal")
 # --- end of fixed values ----------------------------------------------------
 
-PARSED = T.StructType(
-    [
-        T.StructField("valid", T.BooleanType()),
-        T.StructField("error", T.StringType()),
-        T.StructField("response_disposition", T.StringType()),
-        *[T.StructField(s, T.IntegerType()) for s in SCORES],
-        T.StructField("explanation", T.StringType()),
-    ]
-)
-
-
-def _unique(pairs):
-    out = dict(pairs)
-    if len(out) != len(pairs):
-        raise DuplicateJSONKeyError("duplicate key")
-    return out
-
-
-def _no_constant(token):
-    raise JudgeValidationError(f"not a finite number: {token}")
-
-
-def check_judge_text(raw, evaluation_id: str, answerable: bool, version: str = SCHEMA_VERSION) -> dict:
-    """The one exact JSON document, or JudgeValidationError; nothing is coerced."""
-    if not isinstance(raw, str) or not raw.strip():
-        raise JudgeValidationError("empty")
-    try:
-        doc = json.loads(raw.strip(), object_pairs_hook=_unique, parse_constant=_no_constant)
-    except ValueError:
-        raise JudgeValidationError("not one JSON document") from None
-    if type(doc) is not dict or frozenset(doc) != KEYS:
-        raise JudgeValidationError("keys differ")
-    if doc["schema_version"] != version:
-        raise JudgeValidationError("schema version")
-    if doc["evaluation_id"] != evaluation_id:
-        raise JudgeValidationError("evaluation id")
-    if doc["response_disposition"] not in DISPOSITIONS:
-        raise JudgeValidationError("disposition")
-    scored = answerable and doc["response_disposition"] == "substantive_answer"
-    for name in SCORES:
-        v = doc[name]
-        if scored and not (type(v) is int and 1 <= v <= 5):
-            raise JudgeValidationError("scores must be integers 1-5")
-        if not scored and v is not None:
-            raise JudgeValidationError("scores must be null")
-    text = doc["explanation"]
-    if not isinstance(text, str) or not text.strip() or len(text) > 1000:
-        raise JudgeValidationError("explanation")
-    return doc
-
-
-def parse_row(raw, evaluation_id, answerable, version: str = SCHEMA_VERSION) -> dict:
-    """Row form: failures become values, never exceptions."""
-    try:
-        doc = check_judge_text(raw, evaluation_id, bool(answerable), version)
-    except JudgeValidationError as e:
-        return {"valid": False, "error": str(e)}
-    return {
-        "valid": True, "error": None, "response_disposition": doc["response_disposition"],
-        **{s: doc[s] for s in SCORES}, "explanation": doc["explanation"].strip(),
-    }
-
-
-_COLUMNS = PARSED.names
-
-
-@F.pandas_udf(PARSED)
-def parse_judge(raw: pd.Series, evaluation_id: pd.Series, answerable: pd.Series) -> pd.DataFrame:
-    rows = [parse_row(r, e, a) for r, e, a in zip(raw, evaluation_id, answerable)]
-    out = pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-    for s in SCORES:
-        out[s] = out[s].astype("Int32")
-    return out
+def single_object(raw: Column) -> Column:
+    """VARIANT of a text that is one JSON document and nothing else, else NULL.
+
+    The parser stops behind the first document, so the text is parsed as the
+    one element of an array and as the first of two; what trails it breaks one.
+    Repeated keys and numbers that are not finite are no JSON to it.
+    """
+    body = F.trim(F.regexp_replace(raw, r"\s+$|^\s+", ""))
+    one = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$", "array<variant>")
+    two = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit(",0]"))), "$", "array<variant>")
+    return F.when((F.size(one) == 1) & (F.size(two) == 2), one[0])
+
+
+def parse_judge(raw, evaluation_id, answerable, version: str = SCHEMA_VERSION) -> Column:
+    """Struct of a judge reply: valid, error, disposition, scores, explanation.
+
+    The document is described, field by field, by the JSON kinds and values it
+    may have; ``error`` names the first field that is not so, or ``document``.
+    Nothing is coerced, and an invalid reply yields no values.
+    """
+    raw, ident, answerable = (F.col(c) if isinstance(c, str) else c for c in (raw, evaluation_id, answerable))
+
+    def described(v):
+        def kind(name):
+            return F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("VOID"))
+
+        def text(name):
+            return F.when(kind(name) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+
+        def score(name):
+            return F.when(kind(name) == "BIGINT", F.try_variant_get(v, f"$.{name}", "int"))
+
+        graded = F.coalesce(answerable, F.lit(False)) & text("response_disposition").eqNullSafe(F.lit("substantive_answer"))
+        said = F.trim(F.regexp_replace(text("explanation"), r"^\s+|\s+$", ""))
+        right = {
+            "schema_version": text("schema_version") == version,
+            "evaluation_id": text("evaluation_id") == ident,
+            "response_disposition": text("response_disposition").isin(*DISPOSITIONS),
+            **{n: F.when(graded, score(n).between(1, 5)).otherwise(kind(n) == "VOID") for n in SCORES},
+            "explanation": (F.length(said) > 0) & (F.length(text("explanation")) <= 1000),
+        }
+        names = F.json_object_keys(F.trim(raw))
+        whole = v.isNotNull() & F.coalesce(F.array_sort(names) == F.array(*[F.lit(k) for k in sorted(KEYS)]), F.lit(False))
+        wrong = F.when(~whole, F.lit("document"))
+        for name, ok in right.items():
+            wrong = F.coalesce(wrong, F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)))
+
+        def result(e):
+            def only(c):
+                return F.when(e.isNull(), c)
+
+            return F.struct(
+                e.isNull().alias("valid"), e.alias("error"), only(text("response_disposition")).alias("response_disposition"),
+                *[only(score(n)).alias(n) for n in SCORES], only(said).alias("explanation"),
+            )
+
+        return let(wrong, result)
+
+    return let(single_object(raw), described)
 
 
 def lenient_object(text: Column) -> Column:

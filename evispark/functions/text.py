@@ -279,8 +279,8 @@ def answer_prompt(question: Column, context: Column) -> Column:
     """Answer prompt; an empty context becomes the NO_CONTEXT sentinel."""
     ctx = F.when(F.trim(context) != "", F.trim(context)).otherwise(F.lit("NO_CONTEXT"))
     return F.concat(
-        F.lit("Retrieved context:\n"), ctx, F.lit("\n\nQuestion: "), question,
-        F.lit("\n\nAnswer (cite chunk ids in brackets):"),
+        F.lit("Passages:\n"), ctx, F.lit("\n\nAsked: "), question,
+        F.lit("\n\nAnswer from the passages and name their ids in brackets."),
     )
 
 

@@ -24,19 +24,22 @@ def evidence_overlap(evidence: DataFrame, references: DataFrame, chunks: DataFra
     return j.select("qid", "doc_id", share.alias("overlap"))
 
 
-def gold_evidence(overlaps: DataFrame, on_pages: DataFrame, max_chunks: int = 6, page_span: int = 2) -> DataFrame:
+def gold_evidence(overlaps: DataFrame, on_pages: DataFrame, max_chunks: int = 6) -> DataFrame:
     """(qid, doc_id, position): one best unused passage a page, then the best rest.
 
     The choice is sequential, so it runs in applyInPandas, one question a group
     of bounded size. At most ``max_chunks`` passages are ever chosen: on any
     page only its best max_chunks + 1 can matter, and a page yields nothing
-    only when all its passages are taken, so the first
-    max_chunks * (page_span + 1) pages settle the choice exactly.
+    only when all its passages are taken. Chosen passages take up at most
+    max_chunks times the pages of the question's widest passage, so with
+    max_chunks pages more the choice is settled exactly.
     """
     order = [F.round("overlap", 9).desc(), F.col("doc_id").asc()]
     ranked = on_pages.select("qid", "page", "doc_id").join(overlaps, ["qid", "doc_id"])
     pages = ranked.select("qid", "page").distinct()
-    first = top_k(pages, ["qid"], ["page"], max_chunks * (page_span + 1), "_pr").drop("_pr")
+    span = ranked.groupBy("qid", "doc_id").agg(F.count_distinct("page").alias("_s")).groupBy("qid").agg(F.max("_s").alias("_s"))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("page"))
+    first = pages.withColumn("_pr", nth).join(span, "qid").filter(F.col("_pr") <= max_chunks * (F.col("_s") + 1)).select("qid", "page")
     per_page = top_k(ranked.join(first, ["qid", "page"]), ["qid", "page"], order, max_chunks + 1, "_r").drop("_r")
     best = top_k(overlaps, ["qid"], order, 2 * max_chunks, "_r").select("qid", F.lit(None).cast("int").alias("page"), "doc_id", "overlap")
     rows = per_page.select("qid", F.col("page").cast("int").alias("page"), "doc_id", "overlap").unionByName(best)

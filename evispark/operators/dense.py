@@ -35,11 +35,20 @@ def hashing_vectors(df: DataFrame, ident: str, dim: int = 384) -> DataFrame:
 
 
 def dense_vectors(df: DataFrame, ident: str, vector: str, dim: int) -> DataFrame:
-    """(ident, tenant, idx, val) from array<float> vectors of one dimension."""
-    return df.filter(F.size(vector) == dim).select(
-        ident, "tenant", F.sequence(F.lit(0), F.lit(dim - 1)).alias("idx"),
-        F.col(vector).cast("array<double>").alias("val"),
-    )
+    """(ident, tenant, idx, val) from array<float> vectors of one dimension.
+
+    A vector of another dimension, or a null one, fails the job with its id;
+    ``dimension_violations`` lists all of them.
+    """
+    told = F.concat(F.lit(f"vector without {dim} components: "), F.coalesce(F.col(ident).cast("string"), F.lit("null")))
+    checked = F.when(F.coalesce(F.size(vector) == dim, F.lit(False)), F.col(vector).cast("array<double>")).otherwise(F.raise_error(told))
+    return df.select(ident, "tenant", F.sequence(F.lit(0), F.lit(dim - 1)).alias("idx"), checked.alias("val"))
+
+
+def dimension_violations(df: DataFrame, ident: str, vector: str, dim: int) -> DataFrame:
+    """(ident, size) of vectors that do not have ``dim`` components; size is null for a null vector."""
+    size = F.when(F.col(vector).isNotNull(), F.size(vector))
+    return df.select(ident, size.alias("size")).filter(~size.eqNullSafe(F.lit(dim)))
 
 
 def _matrix(idx, val, dim: int) -> np.ndarray:

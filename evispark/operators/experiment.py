@@ -132,28 +132,26 @@ def stratified_pilot(q: DataFrame, strata, per_stratum: int, seed: int = 42) ->
     return top_k(q, list(strata), [order, F.col("qid")], per_stratum)
 
 
-def tree_digest(rows: DataFrame, keys, path: str, sha: str, order: str, fanout: int = 4096, levels: int = 3) -> DataFrame:
-    """(keys, n_files, digest) of an inventory, as a tree of bounded nodes.
-
-    A node hashes its children's ``path NUL digest LF`` lines in order. Up to
-    ``fanout`` files this is the flat digest of the sorted inventory; beyond,
-    no task ever concatenates more than ``fanout`` lines. ``order`` is a unique
-    non-negative integer following the path order.
+def tree_digest(rows: DataFrame, keys, path: str, sha: str, levels: int = 3) -> DataFrame:
+    """(keys, n_files, digest) of an inventory, as a tree of fixed depth.
+
+    A leaf is a file's line ``path NUL digest LF``. Nodes are prefixes of the
+    sha256 of the path, three hex digits a level, ``levels`` levels and a root;
+    a node's digest is the sha256 of its children's lines in the order of their
+    names, an inner child's line being ``prefix NUL digest LF``. One definition
+    holds for every size: inner nodes have 4,096 children at most, and the
+    files of a lowest node are as evenly dealt as the hash is.
     """
     keys = list(keys)
-    level = rows.select(
-        *keys, F.col(order).alias("_o"), F.col(path).cast("string").alias("_p"), F.col(sha).alias("_d"), F.lit(1).cast("bigint").alias("_n")
-    )
-    for i in range(levels):
-        node = F.floor(F.col("_o") / fanout).cast("bigint") if i < levels - 1 else F.lit(0).cast("bigint")
+    name = F.col(path).cast("string")
+    level = rows.select(*keys, F.sha2(name, 256).alias("_h"), name.alias("_p"), F.col(sha).alias("_d"), F.lit(1).cast("bigint").alias("_n"))
+    for digits in range(3 * levels, -1, -3):
         line = F.concat("_p", F.lit("\0"), "_d", F.lit("\n"))
-        lines = F.sort_array(F.collect_list(F.struct(F.col("_o").alias("o"), line.alias("l"))))
-        whole = F.sha2(F.array_join(F.transform(lines, lambda x: x["l"]), ""), 256)
-        alone = F.lit(False) if i == 0 else F.count(F.lit(1)) == 1
+        lines = F.sort_array(F.collect_list(F.struct(F.col("_p").alias("p"), line.alias("l"))))
         level = (
-            level.groupBy(*keys, node.alias("_node"))
-            .agg(F.when(alone, F.max("_d")).otherwise(whole).alias("_d"), F.sum("_n").alias("_n"))
-            .select(*keys, F.col("_node").alias("_o"), F.col("_node").cast("string").alias("_p"), "_d", "_n")
+            level.groupBy(*keys, F.substring("_h", 1, digits).alias("_h"))
+            .agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["l"]), ""), 256).alias("_d"), F.sum("_n").alias("_n"))
+            .withColumn("_p", F.col("_h"))
         )
     return level.select(*keys, F.col("_n").alias("n_files"), F.col("_d").alias("digest"))
 

@@ -2,8 +2,9 @@
 
 A retriever is ``f(questions) -> (qid, tenant, doc_id, score, rank)`` and a
 generator ``f(df, prompt_column) -> Column`` over batches of prompts. Loops are
-unrolled to the call cap with an ``active`` flag; the state of a round (one row
-a question and its candidate pool) is settled through the checkpoint folder.
+unrolled to the call cap over the questions still open; the state of a round
+(one row a question with the sums of its model calls, and its candidate pool)
+is settled through the checkpoint folder, so no model is asked twice.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def mock_answer(prompt: Column) -> Column:
     head = r"\[([A-Z]{2,3}-\d{5,})[^\]]*\]\n([^\n]+)"
     cid = F.regexp_extract(prompt, head, 1)
     said = F.concat(
-        F.lit("Based on the retrieved context, the answer references the relevant program details. ("), cid, F.lit(") "),
+        F.lit("The first passage says this ("), cid, F.lit("): "),
         F.substring(F.regexp_extract(prompt, head, 2), 1, 240),
     )
     empty = F.contains(prompt, F.lit("NO_CONTEXT")) | (cid == "")
@@ -70,37 +71,50 @@ def ranked_context(hits: DataFrame, questions: DataFrame, chunks: DataFrame, cfg
     return packed, packing.context_text(packed)
 
 
-def metered(df: DataFrame, prompt: Column, answer: Column, model: str, system: str = SYSTEM_PROMPT) -> DataFrame:
-    """Adds answer, tokens and cost of one generator call."""
-    d = df.withColumn("_prompt", prompt).withColumn("answer", answer)
-    d = d.withColumn("tokens_in", T.token_count(F.concat(F.lit(system), F.col("_prompt")))).withColumn(
-        "tokens_out", T.token_count(F.col("answer"))
+def spent(prompt: Column, reply: Column, model: str, before: Column | None = None, system: str = SYSTEM_PROMPT) -> Column:
+    """Struct of calls, tokens_in, tokens_out and cost after one more call."""
+    tin, tout = T.token_count(F.concat(F.lit(system), prompt)), T.token_count(reply)
+    cost = numeric.usage_cost(F.lit(model), tin, tout)
+    if before is None:
+        return F.struct(F.lit(1).alias("calls"), tin.alias("tokens_in"), tout.alias("tokens_out"), cost.alias("cost"))
+    return F.struct(
+        (before["calls"] + 1).alias("calls"), (before["tokens_in"] + tin).alias("tokens_in"),
+        (before["tokens_out"] + tout).alias("tokens_out"), (before["cost"] + cost).alias("cost"),
     )
-    return d.withColumn("call_cost", numeric.usage_cost(F.lit(model), F.col("tokens_in"), F.col("tokens_out"))).drop("_prompt")
 
 
-def answer_records(questions: DataFrame, contexts: DataFrame, cfg: FlowConfig, flow: str, calls: Column, generate=mock_answer) -> DataFrame:
-    """One record a question: answer, citations in the context, call count, cost."""
-    q = questions.join(contexts, "qid", "left").withColumn("supplied", F.coalesce("supplied", F.array().cast("array<string>")))
-    prompt = T.answer_prompt(F.col("text"), F.coalesce("context", F.lit("")))
-    a = metered(q, prompt, generate(T.answer_prompt(F.col("text"), F.coalesce("context", F.lit("")))), cfg.model)
-    return a.select(
+def with_context(questions: DataFrame, contexts: DataFrame) -> DataFrame:
+    q = questions.drop("context", "supplied").join(contexts.select("qid", "context", "supplied"), "qid", "left")
+    return q.withColumns({"context": F.coalesce("context", F.lit("")), "supplied": F.coalesce("supplied", F.array().cast("array<string>"))})
+
+
+def answered(rows: DataFrame, cfg: FlowConfig, generate, before: Column | None = None) -> DataFrame:
+    """Adds ``answer`` and the running sums ``spent`` of one generator call over ``context``."""
+    prompt = T.answer_prompt(F.col("text"), F.col("context"))
+    said = rows.withColumn("answer", generate(prompt))
+    return said.withColumn("spent", spent(prompt, F.col("answer"), cfg.model, before))
+
+
+def answer_records(rows: DataFrame, cfg: FlowConfig, flow: str) -> DataFrame:
+    """One record a question: its answer, citations in the context, and the sums over all model calls."""
+    return rows.select(
         F.lit(flow).alias("flow"), "qid", "tenant", "answer", T.citations(F.col("answer"), F.col("supplied"), cfg.citation).alias("citations"),
-        T.refused(F.col("answer")).alias("refused"), calls.alias("generator_calls"),
-        F.bround("call_cost", 8).alias("cost_usd"), F.size("supplied").alias("n_in_context"), "tokens_in", "tokens_out",
+        T.refused(F.col("answer")).alias("refused"), F.col("spent.calls").alias("generator_calls"),
+        F.bround("spent.cost", 8).alias("cost_usd"), F.size("supplied").alias("n_in_context"),
+        F.col("spent.tokens_in").alias("tokens_in"), F.col("spent.tokens_out").alias("tokens_out"),
     )
 
 
 def simple(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, cfg: FlowConfig = FlowConfig(), generate=mock_answer) -> DataFrame:
     """Retrieve, pack, answer: one call."""
     _, ctx = ranked_context(retrieve(questions), questions, chunks, cfg, rerank=False)
-    return answer_records(questions, ctx, cfg, "simple", F.lit(1), generate)
+    return answer_records(answered(with_context(questions, ctx), cfg, generate), cfg, "simple")
 
 
 def reranked(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, cfg: FlowConfig = FlowConfig(), generate=mock_answer) -> DataFrame:
     """Over-fetch, rerank, pack, answer: one call."""
     _, ctx = ranked_context(retrieve(questions), questions, chunks, cfg, rerank=True)
-    return answer_records(questions, ctx, cfg, "reranked", F.lit(1), generate)
+    return answer_records(answered(with_context(questions, ctx), cfg, generate), cfg, "reranked")
 
 
 def _pooled(pool: DataFrame | None, hits: DataFrame, turn: int) -> DataFrame:
@@ -120,16 +134,16 @@ def _in_order(pool: DataFrame) -> DataFrame:
     return pool.select("qid", "tenant", "doc_id", "score", F.row_number().over(w).alias("rank"))
 
 
-def _topics(questions: DataFrame) -> Column:
-    cols = [F.col(c) for c in ("topic", "topic2") if c in questions.columns]
-    return F.trim(F.concat_ws(" ", F.col("text"), *cols))
+def _extended(questions: DataFrame, *more: str) -> Column:
+    """The question with those of the columns ``more`` that there are."""
+    return F.trim(F.concat_ws(" ", F.col("text"), *[F.col(c) for c in more if c in questions.columns]))
 
 
 def critic_prompt(question: Column, context: Column) -> Column:
     ctx = F.when(context != "", context).otherwise(F.lit("NONE"))
     return F.concat(
-        F.lit("Question: "), question, F.lit("\n\nCurrent context:\n"), ctx,
-        F.lit("\n\nIs this sufficient? Respond with the JSON schema."),
+        F.lit("Passages found so far:\n"), ctx, F.lit("\n\nDo they answer the following?\n"), question,
+        F.lit("\nReply with one JSON object: sufficient (boolean) and, if not, refined_query."),
     )
 
 
@@ -137,97 +151,100 @@ def agentic(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, cfg: F
             generate=mock_answer, critic: Callable[[Column], Column] | None = None) -> DataFrame:
     """Retrieve, pool, rerank, ask a critic, rewrite, until sufficient; then answer.
 
-    A critic reply that is no JSON counts as sufficient from round min-1 on.
+    A critic reply that is no JSON counts as sufficient from round min-1 on;
+    before that the search goes on with the question, its topic and its
+    utility. A reply without a rewrite searches question and topic. Only
+    questions still open are searched, judged and metered.
     """
     low, high = cfg.agentic_calls
     need, rounds = max(1, low - 1), max(1, high - 1)
     critic = critic or mock_answer
-    state = questions.withColumn("query", F.col("text")).withColumn("calls", F.lit(0)).withColumn("active", F.lit(True))
-    pool = None
+    nothing = F.struct(F.lit(0).alias("calls"), F.lit(0).cast("bigint").alias("tokens_in"), F.lit(0).cast("bigint").alias("tokens_out"), F.lit(0.0).alias("cost"))
+    live = questions.withColumns({"query": F.col("text"), "spent": nothing})
+    pool, done = None, []
     for i in range(1, rounds + 1):
-        asked = state.filter("active").select("qid", "tenant", F.col("query").alias("text"))
-        pool = settle(_pooled(pool, retrieve(asked), i))
+        pool = settle(_pooled(pool, retrieve(live.select("qid", "tenant", F.col("query").alias("text"))), i))
         _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
-        seen = state.join(ctx.select("qid", "context"), "qid", "left")
-        reply = critic(critic_prompt(F.col("text"), F.coalesce("context", F.lit(""))))
-        verdict = seen.withColumn("_v", jsonx.lenient_object(reply))
-        parsed = F.try_variant_get("_v", "$.sufficient", "boolean")
+        prompt = critic_prompt(F.col("text"), F.col("context"))
+        judged = settle(with_context(live, ctx).withColumn("_reply", critic(prompt)).withColumn("spent", _summed(spent(prompt, F.col("_reply"), cfg.model, F.col("spent")))))
+        verdict = judged.withColumn("_v", jsonx.lenient_object(F.col("_reply")))
         refined = F.trim(F.coalesce(F.try_variant_get("_v", "$.refined_query", "string"), F.lit("")))
-        enough = F.when(F.col("_v").isNull(), F.lit(i >= need)).otherwise(F.coalesce(parsed, F.lit(False)) & F.lit(i >= need))
-        rewrite = F.when(refined != "", refined).otherwise(_topics(questions))
-        nxt = verdict.select(
-            *[c for c in state.columns if c not in ("query", "calls", "active")],
-            F.when(F.col("active") & ~enough, rewrite).otherwise(F.col("query")).alias("query"),
-            (F.col("calls") + F.col("active").cast("int")).alias("calls"),
-            (F.col("active") & ~enough).alias("active"),
-        )
-        state = settle(nxt)
-        if state.filter("active").isEmpty():
+        parsed = F.coalesce(F.try_variant_get("_v", "$.sufficient", "boolean"), F.lit(False))
+        enough = (F.col("_v").isNull() | parsed) & F.lit(i >= need)
+        rewrite = F.when(F.col("_v").isNull(), _extended(questions, "topic", "utility")).when(refined != "", refined).otherwise(_extended(questions, "topic"))
+        step = verdict.withColumns({"_enough": enough | F.lit(i == rounds), "query": rewrite})
+        done.append(step.filter("_enough").select(*questions.columns, "context", "supplied", "spent"))
+        live = step.filter("not _enough").select(*questions.columns, "query", "spent")
+        if i == rounds or live.isEmpty():
             break
-    _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
-    done = state.drop("query", "active")
-    return answer_records(done, ctx, cfg, "agentic", F.col("calls") + 1, generate)
+    rows = done[0]
+    for d in done[1:]:
+        rows = rows.unionByName(d)
+    return answer_records(answered(rows, cfg, generate, F.col("spent")), cfg, "agentic")
+
+
+def _summed(s: Column) -> Column:
+    return F.struct(s["calls"].cast("int").alias("calls"), s["tokens_in"].cast("bigint").alias("tokens_in"), s["tokens_out"].cast("bigint").alias("tokens_out"), s["cost"].cast("double").alias("cost"))
 
 
 def reflect_prompt(question: Column, context: Column, answer: Column) -> Column:
     ctx = F.when(context != "", context).otherwise(F.lit("NONE"))
     return F.concat(
-        F.lit("Question: "), question, F.lit("\n\nContext:\n"), ctx, F.lit("\n\nDraft answer:\n"), answer,
-        F.lit("\n\nEmit the reflection JSON."),
+        F.lit("Passages:\n"), ctx, F.lit("\n\nAsked:\n"), question, F.lit("\n\nAnswered:\n"), answer,
+        F.lit("\n\nReply with one JSON object: is_supported and needs_more_retrieval (booleans)."),
     )
 
 
 def self_reflect(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, cfg: FlowConfig = FlowConfig(),
                  generate=mock_answer, reflect: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Draft, reflect, and when unsupported search wider once and revise."""
+    """Draft, reflect, and when unsupported search wider once and revise.
+
+    A draft that is supported is the answer. With one call allowed there is no
+    reflection, with two no revision.
+    """
     reflect = reflect or mock_answer
     pool = settle(_pooled(None, retrieve(questions), 1))
     _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
-    context = F.coalesce("context", F.lit(""))
-    draft = questions.join(ctx.select("qid", "context"), "qid", "left").withColumn(
-        "draft", generate(T.answer_prompt(F.col("text"), context))
-    )
-    reply = reflect(reflect_prompt(F.col("text"), context, F.col("draft")))
-    seen = draft.withColumn("_v", jsonx.lenient_object(reply))
+    draft = answered(with_context(questions, ctx), cfg, generate)
+    if cfg.reflect_calls < 2:
+        return answer_records(draft, cfg, "self_reflect")
+    prompt = reflect_prompt(F.col("text"), F.col("context"), F.col("answer"))
+    seen = draft.withColumn("_reply", reflect(prompt))
+    seen = settle(seen.withColumn("spent", _summed(spent(prompt, F.col("_reply"), cfg.model, F.col("spent"))))).withColumn("_v", jsonx.lenient_object(F.col("_reply")))
     more = F.try_variant_get("_v", "$.needs_more_retrieval", "boolean")
     supported = F.try_variant_get("_v", "$.is_supported", "boolean")
-    wider = F.when(F.col("_v").isNull(), F.lit(True)).otherwise(
-        F.coalesce(more, F.lit(False)) | ~F.coalesce(supported, F.lit(True))
-    ) & F.lit(cfg.reflect_calls > 2)
-    state = settle(seen.select(*questions.columns, wider.alias("wider")))
-    again = state.filter("wider").select("qid", "tenant", _topics(questions).alias("text"))
-    pool = settle(_pooled(pool, retrieve(again), 2))
+    wider = F.when(F.col("_v").isNull(), F.lit(True)).otherwise(F.coalesce(more, F.lit(False)) | ~F.coalesce(supported, F.lit(True)))
+    state = settle(seen.withColumn("_wider", wider & F.lit(cfg.reflect_calls > 2)).drop("_v", "_reply"))
+    again = state.filter("_wider")
+    pool = settle(_pooled(pool, retrieve(again.select("qid", "tenant", _extended(questions, "topic", "topic2").alias("text"))), 2))
     _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
-    return answer_records(state, ctx, cfg, "self_reflect", F.when(F.col("wider"), F.lit(3)).otherwise(F.lit(2)), generate)
+    revised = answered(with_context(again, ctx), cfg, generate, F.col("spent"))
+    columns = [*questions.columns, "context", "supplied", "answer", "spent"]
+    both = state.filter("not _wider").select(*columns).unionByName(revised.select(*columns))
+    return answer_records(both, cfg, "self_reflect")
 
 
 def lookahead(questions: DataFrame, chunks: DataFrame, retrieve: Retriever, cfg: FlowConfig = FlowConfig(), generate=mock_answer) -> DataFrame:
-    """Draft, search with question and draft, regenerate until confident."""
+    """Draft, search with question and draft, regenerate until confident; the confident answer is returned."""
     pool = settle(_pooled(None, retrieve(questions), 1))
-
-    def answered(state, pool):
-        _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
-        s = state.join(ctx.select("qid", F.col("context").alias("_ctx")), "qid", "left")
-        return s.withColumn("_new", generate(T.answer_prompt(F.col("text"), F.coalesce("_ctx", F.lit("")))))
-
-    first = answered(questions, pool)
-    state = settle(first.select(*questions.columns, F.col("_new").alias("said"), F.lit(1).alias("calls"), F.lit(True).alias("active")))
+    _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
+    first = answered(with_context(questions, ctx), cfg, generate)
+    live = settle(first.withColumn("spent", _summed(F.col("spent"))))
+    done = []
     for turn in range(2, cfg.lookahead_calls + 1):
-        ahead = F.concat_ws(" ", F.col("text"), F.substring("said", 1, cfg.lookahead_chars))
-        asked = state.filter("active").select("qid", "tenant", ahead.alias("text"))
-        pool = settle(_pooled(pool, retrieve(asked), turn))
-        nxt = answered(state, pool)
-        state = settle(
-            nxt.select(
-                *questions.columns, F.when(F.col("active"), F.col("_new")).otherwise(F.col("said")).alias("said"),
-                (F.col("calls") + F.col("active").cast("int")).alias("calls"),
-                (F.col("active") & T.low_confidence(F.col("_new"))).alias("active"),
-            )
-        )
-        if state.filter("active").isEmpty():
+        ahead = F.concat_ws(" ", F.col("text"), F.substring("answer", 1, cfg.lookahead_chars))
+        pool = settle(_pooled(pool, retrieve(live.select("qid", "tenant", ahead.alias("text"))), turn))
+        _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
+        nxt = answered(with_context(live.drop("answer"), ctx), cfg, generate, F.col("spent"))
+        nxt = settle(nxt.withColumn("spent", _summed(F.col("spent"))).withColumn("_unsure", T.low_confidence(F.col("answer"))))
+        done.append(nxt.filter("not _unsure").drop("_unsure"))
+        live = nxt.filter("_unsure").drop("_unsure")
+        if live.isEmpty():
             break
-    _, ctx = ranked_context(_in_order(pool), questions, chunks, cfg, rerank=True)
-    return answer_records(state.drop("said", "active"), ctx, cfg, "lookahead", F.col("calls"), generate)
+    rows = live
+    for d in done:
+        rows = rows.unionByName(d)
+    return answer_records(rows, cfg, "lookahead")
 
 
 FLOWS = {"simple": simple, "reranked": reranked, "agentic": agentic, "self_reflect": self_reflect, "lookahead": lookahead}

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.functions import jsonx
 from evispark.functions.jsonx import SCORES
+from evispark.session import settle
 
 OUTCOMES = ("answer_correctness", "answer_completeness", "groundedness", "citation_quality")
 
@@ -84,41 +84,50 @@ def rubric_summary(trials: DataFrame, keys, cost: str = "cost") -> DataFrame:
 
 
 def run_judge(tasks: DataFrame, judge: Callable[[str, int], str], max_attempts: int = 3) -> DataFrame:
-    """Ask ``judge(prompt, attempt)`` until the reply parses, at most three times.
+    """Ask ``judge(prompt, attempt)`` until the reply parses, at most ``max_attempts`` times.
 
-    ``tasks`` carry evaluation_id, answerable, prompt. Every raw reply is kept;
-    an exhausted task is a row with ``valid`` false, so one bad reply never
-    fails the job and rerunning a lost task is harmless.
+    ``tasks`` carry evaluation_id, answerable, prompt. An attempt is one step
+    over the tasks still open; its replies are settled, so no later step asks
+    again, and parsed on the JVM. A retry's prompt ends with what was wrong.
+    Every raw reply is kept, null for a call that raised; an exhausted task is
+    a row with ``valid`` false.
     """
-    schema = (
-        "evaluation_id string, attempts int, raw array<string>, valid boolean, error string, "
-        "response_disposition string, correctness int, completeness int, groundedness int, "
-        "citation_quality int, explanation string"
-    )
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def one(evaluation_id, answerable, prompt):
-        raw, parsed = [], {}
-        for attempt in range(max_attempts):
-            try:
-                reply = judge(prompt, attempt)
-                parsed = jsonx.parse_row(reply, evaluation_id, answerable)
-            except Exception as e:  # the injected model may raise anything
-                reply, parsed = None, {"valid": False, "error": f"{type(e).__name__}: {e}"}
-            raw.append(reply)
-            if parsed["valid"]:
-                break
-        return {"evaluation_id": evaluation_id, "attempts": len(raw), "raw": raw, **parsed}
-
-    def run(batches):
-        for pdf in batches:
-            rows = [one(*t) for t in zip(pdf["evaluation_id"], pdf["answerable"], pdf["prompt"])]
-            out = pd.DataFrame(rows, columns=columns, dtype=object)
-            for s in SCORES:
-                out[s] = out[s].astype("Int32")
-            yield out
+    names = ["response_disposition", *SCORES, "explanation"]
 
-    return tasks.select("evaluation_id", "answerable", "prompt").mapInPandas(run, schema)
+    def ask(batches):
+        for pdf in batches:
+            replies, errors = [], []
+            for prompt, attempt in zip(pdf["prompt"], pdf["attempts"]):
+                try:
+                    replies.append(judge(prompt, int(attempt)))
+                    errors.append(None)
+                except Exception as e:  # the injected model may raise anything
+                    replies.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(reply=replies, failure=errors)
+
+    state = tasks.select("evaluation_id", "answerable", "prompt", F.lit(0).alias("attempts"), F.array().cast("array<string>").alias("raw"))
+    open_, done = state, []
+    columns = state.columns
+    asked_schema = "evaluation_id string, answerable boolean, prompt string, attempts int, raw array<string>, reply string, failure string"
+    told = "\n\nYour reply to this was not accepted. Wrong in it: "
+    for _ in range(max_attempts):
+        base = F.coalesce(F.substring_index("prompt", told, 1), F.col("prompt"))
+        asked = settle(open_.select(*columns).mapInPandas(ask, asked_schema))
+        read = asked.withColumn("_p", jsonx.parse_judge("reply", "evaluation_id", "answerable")).select(
+            "evaluation_id", "answerable", base.alias("prompt"), (F.col("attempts") + 1).alias("attempts"), F.concat("raw", F.array("reply")).alias("raw"),
+            "_p.valid", F.coalesce("failure", "_p.error").alias("error"), *[f"_p.{n}" for n in names],
+        )
+        done.append(read.filter("valid"))
+        last = read.filter("not valid")
+        open_ = last.withColumn("prompt", F.concat("prompt", F.lit(told), "error"))
+        if last.isEmpty():
+            break
+    done.append(last)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("evaluation_id", "attempts", "raw", "valid", "error", *names)
 
 
 def evaluation_id(*parts: Column, length: int = 24) -> Column:

@@ -94,17 +94,29 @@ def concept_links(spark, sf):
     return bundle.concept_links(p).select("src", "dst")
 
 
+def tree_level(h: str, p: str, d: str, n: str, source: str) -> str:
+    return f"""SELECT tenant, {h} AS h, sha256(string_agg({p} || chr(0) || {d} || chr(10), '' ORDER BY {p})) AS d, {n} AS n
+      FROM {source} GROUP BY tenant, {h}"""
+
+
+TREE = {
+    "n9": (("concepts",), tree_level("substr(sha256(path), 1, 9)", "path", "sha256(content)", "count(*)", "concepts")),
+    "n6": (("n9",), tree_level("substr(h, 1, 6)", "h", "d", "sum(n)", "n9")),
+    "n3": (("n6",), tree_level("substr(h, 1, 3)", "h", "d", "sum(n)", "n6")),
+}
+
+
 @query(
     "inventory_digest",
     compose(
-        """SELECT tenant, count(*) AS n_files, sha256(string_agg(path || chr(0) || sha256(content) || chr(10), '' ORDER BY doc_id)) AS digest
-        FROM concepts GROUP BY tenant""",
-        "concepts",
+        """SELECT tenant, sum(n)::BIGINT AS n_files, sha256(string_agg(h || chr(0) || d || chr(10), '' ORDER BY h)) AS digest FROM n3 GROUP BY tenant""",
+        "n3",
+        extra=TREE,
     ),
 )
 def inventory_digest(spark, sf):
-    c = concepts(spark, sf).select("tenant", "path", "doc_id", F.sha2("content", 256).alias("sha"))
-    return experiment.tree_digest(c, ["tenant"], "path", "sha", "doc_id")
+    c = concepts(spark, sf).select("tenant", "path", F.sha2("content", 256).alias("sha"))
+    return experiment.tree_digest(c, ["tenant"], "path", "sha")
 
 
 @query(

@@ -55,14 +55,14 @@ def flow_ctes(name: str, hits: str, reranked: bool) -> None:
           WHERE rank = 1 OR run <= 2200 GROUP BY qid""",
     )
     prompt = (
-        "'Retrieved context:' || chr(10) || CASE WHEN trim(coalesce(context, '')) <> '' THEN trim(context) ELSE 'NO_CONTEXT' END || chr(10) || chr(10) "
-        "|| 'Question: ' || q.text || chr(10) || chr(10) || 'Answer (cite chunk ids in brackets):'"
+        "'Passages:' || chr(10) || CASE WHEN trim(coalesce(context, '')) <> '' THEN trim(context) ELSE 'NO_CONTEXT' END || chr(10) || chr(10) "
+        "|| 'Asked: ' || q.text || chr(10) || chr(10) || 'Answer from the passages and name their ids in brackets.'"
     )
     head = "\\[([A-Z]{2,3}-\\d{5,})[^\\]]*\\]\\n([^\\n]+)"
     cte(
         f"{name}_said", (f"{name}_ctx", "questions"),
         f"""SELECT *, CASE WHEN contains(prompt, 'NO_CONTEXT') OR regexp_extract(prompt, '{head}', 1) = '' THEN '{flows.T.REFUSAL_TEXT}'
-          ELSE trim('Based on the retrieved context, the answer references the relevant program details. (' || regexp_extract(prompt, '{head}', 1) || ') '
+          ELSE trim('The first passage says this (' || regexp_extract(prompt, '{head}', 1) || '): '
             || substr(regexp_extract(prompt, '{head}', 2), 1, 240)) END AS answer
         FROM (SELECT q.qid, coalesce(supplied, []) AS supplied, {prompt} AS prompt FROM questions q LEFT JOIN {name}_ctx USING (qid))""",
     )
