@@ -2,7 +2,7 @@
 
 documents are passages: tenant = lang, ordinal = doc_id, fifty consecutive ids
 make one source document; four consecutive ids share a page and the fourth reaches into the next.
-benchmark items are questions asked of every declared tenant; their gold
+benchmark items are questions asked of every tenant of the documents; their gold
 pages are those of the passages quoting the item verbatim.
 """
 
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as T
 from evispark.operators.containment import verbatim_pairs
+from evispark.operators.ranking import attach_row
 from evispark.session import settle
 
-TENANTS = ["de", "en", "es", "fr"]
 BLOCK = 65536
 
 
@@ -38,11 +38,15 @@ def chunk_name(tenant="tenant", doc_id="doc_id"):
     return F.concat(F.upper(F.col(tenant)), F.lit("-"), F.lpad(digits, F.greatest(F.lit(5), F.length(digits)), F.lit("0")))
 
 
+def tenants(spark: SparkSession, sf: str) -> DataFrame:
+    """One row with the languages of the documents, of which there are few however many documents."""
+    return table(spark, sf, "documents").agg(F.array_sort(F.collect_set("lang")).alias("tenants"))
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark").select("item_id", "text")
-    return b.select(
-        F.explode(F.array(*[F.lit(t) for t in TENANTS])).alias("tenant"), "item_id", "text"
-    ).select(F.concat_ws("-", "tenant", "item_id").alias("qid"), "tenant", "item_id", "text")
+    asked = attach_row(b, tenants(spark, sf)).select(F.explode("tenants").alias("tenant"), "item_id", "text")
+    return asked.select(F.concat_ws("-", "tenant", "item_id").alias("qid"), "tenant", "item_id", "text")
 
 
 def gold_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,7 +54,7 @@ def gold_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("tenant"), "text")
     items = table(spark, sf, "benchmark").select("item_id", "text")
     pairs = verbatim_pairs(docs, items, "item_id")
-    return pairs.filter(F.col("tenant").isin(TENANTS)).select(
+    return pairs.filter(F.col("tenant").isNotNull()).select(
         F.concat_ws("-", "tenant", "item_id").alias("qid"), "tenant", "item_id", "doc_id",
         F.expr("cast(doc_id div 4 + 1 as int)").alias("page_number"),
     )
