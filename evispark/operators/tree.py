@@ -60,16 +60,28 @@ def as_of(rows: DataFrame, boundaries: DataFrame, keys, order: list[str], block:
 
 
 def sibling_suffix(nodes: DataFrame, keys, base: str) -> DataFrame:
-    """Adds slug: base for the first of equal names under a parent, then -2, -3.
+    """Adds slug, unique under each parent: the base, or with the first unused of -2, -3, ...
 
-    A suffixed name can itself collide with a later base; ``slug_collisions``
-    reports these so that the caller can rename them.
+    Siblings take their names in ``ord`` order. Only names that agree up to
+    trailing numbers can meet, so these are one group, not all of a parent's
+    children.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys, "parent", base).orderBy("ord")
-    n = F.row_number().over(w)
-    return nodes.withColumn("slug", F.when(n == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), n.cast("string"))))
+    keys = list(keys)
+    stem = F.regexp_replace(F.col(base), r"(-\d+)+$", "")
+
+    def name(pdf):
+        used, out = set(), []
+        pdf = pdf.sort_values("ord")
+        for b in pdf[base]:
+            slug, n = b, 2
+            while slug in used:
+                slug, n = f"{b}-{n}", n + 1
+            used.add(slug)
+            out.append(slug)
+        return pdf.drop(columns=["_stem"]).assign(slug=out)
+
+    columns = ", ".join(f"`{n}` {t}" for n, t in nodes.dtypes)
+    return nodes.withColumn("_stem", stem).groupBy(*keys, "parent", "_stem").applyInPandas(name, f"{columns}, slug string")
 
 
 def slug_collisions(nodes: DataFrame, keys) -> DataFrame:

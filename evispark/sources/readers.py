@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evispark import schemas
 from evispark.errors import SourceValidationError
 from evispark.functions import markdown as M
+from evispark.functions.jsonx import single_object
 from evispark.functions import text as T
 from evispark.operators.experiment import duplicate_keys, require_empty
 from evispark.operators.ranking import dense_index
@@ -18,7 +19,7 @@ def _folder():
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, source_order, line): non-blank lines with their 0-based position.
+    """(_file, line_no, source_order, line): non-blank lines, numbered from 0 with (line_no) and without blank ones.
 
     Lines are numbered inside each input split and shifted by the sizes of the
     splits before it, so a huge file is never sorted or read by one task.
@@ -27,15 +28,15 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"),
     )
-    kept = raw.filter(F.trim("line") != "")
-    return dense_index(kept, F.col("_start"), ["_at"], "source_order", ["_file"]).drop("_start", "_at")
+    numbered = dense_index(raw, F.col("_start"), ["_at"], "line_no", ["_file"]).filter(F.trim("line") != "")
+    return dense_index(numbered, F.col("_start"), ["_at"], "source_order", ["_file"]).drop("_start", "_at")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSONL file; malformed lines raise with file and position."""
-    parsed = read_lines(spark, path).withColumn("_v", F.try_parse_json("line"))
+    parsed = read_lines(spark, path).withColumn("_v", single_object(F.col("line")))
     require_empty(
-        parsed.filter("_v is null").select("_file", "source_order"), SourceValidationError, "malformed JSON line"
+        parsed.filter("_v is null").select("_file", "line_no"), SourceValidationError, "malformed JSON line"
     )
     return parsed.select("source_order", F.from_json("line", schemas.struct(schema)).alias("r")).select("source_order", "r.*")
 
@@ -60,7 +61,7 @@ def read_chunk_lines(spark: SparkSession, root: str) -> DataFrame:
     """Raw chunk lines with folder and position, plus the parsed VARIANT."""
     return (
         read_lines(spark, f"{root}/*/chunks.jsonl").withColumn("folder", _folder())
-        .withColumn("v", F.try_parse_json("line")).drop("_file")
+        .withColumn("v", single_object(F.col("line"))).drop("_file")
     )
 
 

@@ -77,18 +77,30 @@ def canonical_json(row_columns) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(row_columns)]))
 
 
+def _place(path: str) -> tuple[str, str, str]:
+    """(scheme, authority, normalised path); a path without a scheme is a local file."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or len(scheme) < 2 or "/" in scheme:
+        return "file", "", os.path.abspath(path)
+    authority = ""
+    if rest.startswith("//"):
+        authority, _, rest = rest[2:].partition("/")
+    return scheme.lower(), authority, os.path.normpath("/" + rest.lstrip("/"))
+
+
 def check_target(target: str, sources=(), overwrite: bool = False, has_marker: bool = False, present: bool = False) -> None:
-    """Refuse to write over a root, the home folder, a source, or foreign data."""
-    t = os.path.abspath(target)
-    if t in (os.path.sep, os.path.expanduser("~")):
-        raise EvidenceError(f"refusing to write to {t}")
-    for s in map(os.path.abspath, sources):
-        if t == s or s.startswith(t + os.path.sep) or t.startswith(s + os.path.sep):
-            raise EvidenceError(f"{t} overlaps the source {s}")
+    """Refuse to write over a root, the home folder, a source, or foreign data; paths may be URIs of any store."""
+    t = _place(target)
+    if t[2] == "/" or t == ("file", "", os.path.expanduser("~")):
+        raise EvidenceError(f"refusing to write to {target}")
+    for source in sources:
+        s = _place(source)
+        if t[:2] == s[:2] and (t[2] == s[2] or s[2].startswith(t[2] + "/") or t[2].startswith(s[2].rstrip("/") + "/")):
+            raise EvidenceError(f"{target} overlaps the source {source}")
     if present and not overwrite:
-        raise EvidenceError(f"{t} exists")
+        raise EvidenceError(f"{target} exists")
     if present and not has_marker:
-        raise EvidenceError(f"{t} holds no {MARKER}; not a bundle")
+        raise EvidenceError(f"{target} holds no {MARKER}; not a bundle")
 
 
 def write_concept_table(concepts: DataFrame, path: str) -> None:

@@ -126,6 +126,39 @@ def test_target_safety(tmp_path):
     sinks.check_target(str(tmp_path / "a"), present=True, overwrite=True, has_marker=True)
 
 
+@pytest.mark.parametrize(
+    ("target", "sources", "ok"),
+    [
+        ("file:///", [], False), ("s3a://b", [], False), ("hdfs://n/", [], False), ("s3a://b/x", ["s3a://b/x/in"], False), ("s3a://b/x", ["s3a://c/x"], True),
+        ("s3a://b/x", ["/x"], True), ("file:///tmp/a", ["/tmp/a/in"], False), ("s3a://b/xy", ["s3a://b/x"], True), ("s3a://b/x/out", ["s3a://b/x"], False),
+    ],
+)
+def test_target_check_knows_uris(target, sources, ok):
+    if ok:
+        sinks.check_target(target, sources)
+    else:
+        with pytest.raises(EvidenceError):
+            sinks.check_target(target, sources)
+
+
+def test_sibling_names_are_unique(spark):
+    from evispark.operators import tree
+
+    names = ["a", "a", "a-2", "b", "a", "a-2", "a-2-2"]
+    df = spark.createDataFrame([(1, 0, i, n) for i, n in enumerate(names)] + [(1, 9, 99, "a")], "doc int, parent int, ord int, base string")
+    got = {r["ord"]: r["slug"] for r in tree.sibling_suffix(df, ["doc"], "base").collect()}
+    assert [got[i] for i in range(7)] == ["a", "a-2", "a-2-2", "b", "a-3", "a-2-3", "a-2-2-2"] and got[99] == "a"
+
+
+def test_jsonl_rejects_trailing_text_and_counts_blank_lines(spark, tmp_path):
+    f = tmp_path / "t.jsonl"
+    f.write_text('{"a": 1}\n\n{"a": 2} done\n')
+    with pytest.raises(SourceValidationError, match="2"):
+        readers.read_jsonl(spark, str(f), "a int")
+    f.write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert [tuple(r) for r in readers.read_jsonl(spark, str(f), "a int").orderBy("source_order").collect()] == [(0, 1), (1, 2)]
+
+
 def test_csv_questions_and_benchmark_json(spark, tmp_path):
     f = tmp_path / "q.csv"
     f.write_text("qid,utility,category,difficulty,topic,topic2,question,is_negative,is_table,is_image\nq1,AA_BB,c,2,t,,why?,TRUE,0,yes\n")
@@ -141,7 +174,7 @@ def test_csv_questions_and_benchmark_json(spark, tmp_path):
 def test_jsonl_reports_the_bad_line(spark, tmp_path):
     f = tmp_path / "l.jsonl"
     f.write_text('{"a": 1}\n\n{"a": \n')
-    with pytest.raises(SourceValidationError, match="source_order"):
+    with pytest.raises(SourceValidationError, match="line_no"):
         readers.read_jsonl(spark, str(f), "a int")
 
 
