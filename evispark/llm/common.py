@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
@@ -79,17 +80,64 @@ def tokenizer(path: str):
     return t
 
 
-def encode_texts(texts, path: str, step_chars: int = 1 << 20):
+# Blank to Python's str methods, but not to the tokenizers library.
+ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+
+
+class UnitEncoder:
+    """The tokenizers library for vocabularies that drop blanks, asked once for each distinct unit between blanks.
+
+    Encodings of the first ``memory`` units met are kept for good, those of
+    others for the batch at hand, so memory is bounded.
+    """
+
+    def __init__(self, path: str, memory: int = 400_000):
+        self.library, self.memory, self.known, self.batch = tokenizer(path), memory, {}, {}
+
+    def ask(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [[t] if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
+        known = self.known
+        new = list({u for units in cut for u in units if u not in known})
+        fresh = dict(zip(new, self.ask(new), strict=True))
+        room = self.memory - len(known)
+        known.update(itertools.islice(fresh.items(), max(room, 0)))
+        both = known | fresh if len(fresh) > room else known
+        get = both.__getitem__
+        return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in cut]
+
+
+@functools.lru_cache(maxsize=2)
+def unit_encoder(path: str) -> UnitEncoder | None:
+    """A `UnitEncoder` where blanks end words and give no ids, else None."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    parts = (spec["normalizer"] or {}).get("normalizers", [])
+    first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+    blanks = [n["type"] for n in parts] == ["NFC", "Replace", "Lowercase"] and parts[1]["pattern"] == {"Regex": r"\s+"}
+    drops = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]+" in first["pattern"]["Regex"]
+    return UnitEncoder(path) if blanks and drops else None
+
+
+def encode_texts(texts, path: str, step_chars: int = 4 << 20):
     """Ids of each text as uint32 arrays, as the tokenizers library gives them, some megabytes of text at a time."""
     fast = fast_encoder(path)
     if fast:
         for x in texts:
             yield fast(x or "").astype("<u4")
         return
+    units = unit_encoder(path)
     t = tokenizer(path)
     part, size = [], 0
 
     def flush():
+        if units:
+            yield from units.encode(part)
+            return
         for e in t.encode_batch_fast(part, add_special_tokens=False):
             yield np.array(e.ids, dtype="<u4")
 
