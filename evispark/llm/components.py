@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,17 @@ def connect(edges: DataFrame) -> DataFrame:
     labels = now.groupBy("u").agg(F.min("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return labels.select(F.col("u").alias("node"), "component").union(roots.join(labels, roots["node"] == labels["u"], "left_anti"))
+
+
+def spanning_labels(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the edges (i, j) lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

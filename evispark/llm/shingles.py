@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.common import settle
-from evispark.llm.components import connect
+from evispark.llm.components import connect, spanning_labels
 
 U = np.uint64
 SHORT = 8  # a run of equal block keys up to this length gives all its pairs at once
@@ -342,20 +342,6 @@ def rest_members(runs: DataFrame, labels: DataFrame) -> DataFrame:
     return left.join(mixed, "run")
 
 
-def spanning_edges(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """For each of n nodes the smallest node that the edges (i, j) lead to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """Sizes of all intersections, by products of 0/1 matrices over the shingles that two sets or more have."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -404,7 +390,7 @@ def rest_edges(left: DataFrame, reps: DataFrame, texts: DataFrame, size: int = 5
         apart = comp[i] != comp[j]
         # members of one component hang together already
         _, first, group = np.unique(comp, return_index=True, return_inverse=True)
-        label = spanning_edges(np.concatenate((i[apart], np.arange(len(a)))), np.concatenate((j[apart], first[group])), len(a))
+        label = spanning_labels(np.concatenate((i[apart], np.arange(len(a)))), np.concatenate((j[apart], first[group])), len(a))
         moved = a[label] != a[first[group]]
         return pd.DataFrame({"a": a[moved], "b": a[label[moved]]})
 
@@ -449,3 +435,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) ->
     out = salted.join(wide, ["rep", "_s"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+spanning_edges = spanning_labels

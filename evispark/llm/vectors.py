@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.common import settle
-from evispark.llm.components import connect
+from evispark.llm.components import connect, spanning_labels
 
 THRESHOLD = 0.95
 
@@ -60,13 +62,13 @@ def polytope_codes(x: np.ndarray, tables: int, hashes: int, probes: int, seed: i
     return out
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = 10, hashes: int = 2, probes: int = 3, block: int = 1000, seed: int = 7) -> DataFrame:
+def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = 10, hashes: int = 3, probes: int = 4, block: int = 1000, seed: int = 7) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding).
 
     Equal vectors form one class, which alone is hashed. Each class goes to
     ``probes`` buckets of each of ``tables`` tables; a bucket is cut into blocks
     of about ``block`` classes, and each pair of blocks of a bucket meets in one
-    task, which verifies all pairs by cosine in double precision. A pair counts
+    place, which verifies all pairs by cosine in double precision. A pair counts
     in the first bucket that its members share, so each task returns one count
     a class and the edges of a spanning forest, never all pairs. A bucket of any
     size is done whole; it only takes more tasks.
@@ -91,74 +93,68 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = 10, has
                 x = np.array(part["e"].tolist(), dtype=np.float64)
                 x = x / np.abs(x).max(axis=1)[:, None]
                 x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                codes = polytope_codes(x, tables, hashes, probes, seed)
-                flat = codes.reshape(len(part), -1)
-                table = np.repeat(np.arange(tables), probes)
-                n = flat.shape[1]
+                codes = polytope_codes(x, tables, hashes, probes, seed).reshape(len(part), -1)
                 yield pd.DataFrame(
-                    {
-                        "width": width, "t": np.tile(table, len(part)), "bucket": flat.ravel(), "key": np.repeat(part["key"].to_numpy(), n),
-                        "size": np.repeat(part["size"].to_numpy(), n),
-                        "x": [v for b in map(bytes, x) for v in [b] * n], "codes": [v for b in map(bytes, flat) for v in [b] * n],
-                    }
+                    {"key": part["key"].to_numpy(), "size": part["size"].to_numpy(), "width": width, "x": list(map(bytes, x)), "codes": list(map(bytes, codes)), "buckets": codes.tolist()}
                 )
 
-    slots = classes.select("key", "size", "e").mapInPandas(hashed, "width int, t int, bucket long, key long, size long, x binary, codes binary")
-    slots = settle(slots.dropDuplicates(["width", "t", "bucket", "key"]))
+    rotated = settle(classes.select("key", "size", "e").mapInPandas(hashed, "key long, size long, width int, x binary, codes binary, buckets array<long>"))
+    slots = rotated.select("key", "width", F.posexplode("buckets").alias("p", "bucket")).select("key", "width", F.expr(f"cast(p div {probes} as int)").alias("t"), "bucket").distinct()
+    slots = settle(slots)
     counts = slots.groupBy("width", "t", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     counts = counts.withColumn("m", F.ceil(F.col("n") / block).cast("int"))
-    placed = slots.join(counts, ["width", "t", "bucket"]).withColumn("b", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("m")).cast("int"))
+    # only now the vectors join, for buckets that two classes or more share
+    met = slots.join(counts, ["width", "t", "bucket"]).withColumn("b", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("m")).cast("int"))
     partner = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("lo"), F.greatest(o, F.col("b")).alias("hi")))
-    cells = placed.withColumn("cell", F.explode(partner)).select("width", "t", "bucket", "cell.lo", "cell.hi", "b", "key", "size", "x", "codes")
-
-    def verify(pdf):
-        import pandas as pd
-
-        t, bucket, lo, hi = (pdf[c].iloc[0] for c in ("t", "bucket", "lo", "hi"))
-        pdf = pdf.sort_values("key")
-        x = np.stack([np.frombuffer(b) for b in pdf["x"]])
-        codes = np.stack([np.frombuffer(b, np.int64) for b in pdf["codes"]])
-        b, key, size = pdf["b"].to_numpy(), pdf["key"].to_numpy(), pdf["size"].to_numpy()
-        table = np.repeat(np.arange(tables), probes)
-        links = np.zeros(len(pdf), np.int64)
-        label = np.arange(len(pdf))
-        step = 256
+    cells = settle(met.withColumn("cell", F.explode(partner)).select("key", "width", "t", "bucket", "cell.lo", "cell.hi", "b"))
+    # small cells share a task: one call of Python for some ten thousand rows
+    tasks = max(1, math.ceil(cells.count() / 20_000))
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("width", "t", "bucket", "lo", "hi"), F.lit(tasks))).join(rotated.drop("width", "buckets"), "key")
+    table = np.repeat(np.arange(tables), probes)
+
+    def links_in(key, size, x, codes, b, t, bucket, lo, hi):
+        """(i, j) of the cell's linked pairs for which this is the first bucket that both are in."""
         found = []
-        for at in range(0, len(pdf), step):
-            close = x[at : at + step] @ x.T >= threshold
-            i, j = np.nonzero(close)
+        for at in range(0, len(key), 256):
+            i, j = np.nonzero(x[at : at + 256] @ x.T >= threshold)
             i = i + at
             ok = (i < j) & ((lo == hi) | (b[i] != b[j]))
             i, j = i[ok], j[ok]
-            if not len(i):
-                continue
             first = np.ones(len(i), bool)
             for t2 in range(t + 1):
-                for p in np.flatnonzero(table == t2):
-                    for q in np.flatnonzero(table == t2):
+                own = np.flatnonzero(table == t2)
+                for p in own if len(i) else ():
+                    for q in own:
                         same = codes[i, p] == codes[j, q]
                         if t2 == t:
                             same &= codes[i, p] < bucket
                         first &= ~same
-            i, j = i[first], j[first]
-            np.add.at(links, i, size[j])
-            np.add.at(links, j, size[i])
-            found.append((i, j))
-        if found:
-            i, j = (np.concatenate(v) for v in zip(*found, strict=True))
-            while True:
-                low = np.minimum(label[i], label[j])
-                new = label.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-        hit = links > 0
-        return pd.DataFrame({"key": key[hit], "links": links[hit], "root": key[label[hit]]})
-
-    found = settle(cells.groupBy("width", "t", "bucket", "lo", "hi").applyInPandas(verify, "key long, links long, root long"))
+            found.append((i[first], j[first]))
+        return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+    def verify(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["width", "t", "bucket", "lo", "hi", "key"])
+        spots = pdf[["width", "t", "bucket", "lo", "hi"]].to_numpy(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], (spots[1:] != spots[:-1]).any(axis=1))))
+        key, size, b = (pdf[c].to_numpy(np.int64) for c in ("key", "size", "b"))
+        xs, cs = pdf["x"].to_numpy(), pdf["codes"].to_numpy()
+        out = []
+        for lo_row, end in zip(begin, np.append(begin[1:], len(pdf)), strict=True):
+            w = slice(lo_row, end)
+            x, codes = np.stack([np.frombuffer(v) for v in xs[w]]), np.stack([np.frombuffer(v, np.int64) for v in cs[w]])
+            _, t, bucket, lo, hi = spots[lo_row].tolist()
+            i, j = links_in(key[w], size[w], x, codes, b[w], t, bucket, lo, hi)
+            if not len(i):
+                continue
+            links = np.bincount(i, size[w][j], len(x)) + np.bincount(j, size[w][i], len(x))
+            label = spanning_labels(i, j, len(x))
+            hit = links > 0
+            out.append(pd.DataFrame({"key": key[w][hit], "links": links[hit].astype(np.int64), "root": key[w][label[hit]]}))
+        return pd.concat(out) if out else pd.DataFrame({"key": key[:0], "links": key[:0], "root": key[:0]})
+
+    found = settle(cells.groupBy("task").applyInPandas(verify, "key long, links long, root long"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     ids = classes.select("key", "id")
     edges = found.filter("key != root").select("key", "root").distinct()
