@@ -145,8 +145,9 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 10)
 
     ``vectors`` (doc_id, tenant, idx, val) stay where they are. Query vectors
     travel in blocks of at most BLOCK_BYTES; more queries mean more blocks,
-    each one pass over the vectors, so nothing unbounded is ever broadcast and
-    no pair of rows is ever materialised.
+    each one pass over the vectors, and no pair of rows is ever materialised.
+    Each block is bounded; all blocks of a query set stay until the result is
+    read, so their sum grows with the number of queries.
     """
     return _top_k(vectors, ["idx", "val"], lambda p: _matrix(p["idx"], p["val"], dim), queries, dim, k)
 

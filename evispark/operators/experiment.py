@@ -48,8 +48,10 @@ def latest(rows: DataFrame, keys, sequence: str) -> DataFrame:
 
 
 def joined_export(answers: DataFrame, judged: DataFrame, keys) -> DataFrame:
-    """Answers with their judge row when there is one; nested parts as JSON."""
-    return answers.join(judged, list(keys), "left")
+    """Answers with their judge row when there is one; arrays, maps and structs as JSON text."""
+    joined = answers.join(judged, list(keys), "left")
+    nested = [n for n, t in joined.dtypes if t.startswith(("array", "map", "struct"))]
+    return joined.withColumns({n: F.to_json(n) for n in nested}) if nested else joined
 
 
 def duplicate_keys(rows: DataFrame, keys) -> DataFrame:

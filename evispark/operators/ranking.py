@@ -102,7 +102,7 @@ def exact_percentiles(df: DataFrame, keys, value: str, positions: dict, accuracy
     ``positions`` maps an output name to a function of the group size (a
     Column) giving a 0-based, possibly fractional position; fractional ones are
     interpolated. A sketch first brackets each position; only the distinct
-    values inside the brackets, a 1/accuracy share, are then ranked exactly.
+    values inside the brackets, up to 4 of 64 cells of them, are ranked exactly.
     """
     keys = list(keys)
     names = list(positions)

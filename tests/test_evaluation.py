@@ -280,3 +280,10 @@ def test_cross_references_take_the_last_topic(spark):
     rows = [(0, "1.1", "see Section 2.2 and Section 1.1"), (1, "2.2", ""), (2, "2.2", "Sections 1.1 then Section 9.9"), (3, None, "Section 2.2")]
     df = spark.createDataFrame(rows, "ord bigint, section_number string, text string")
     assert sorted((r.ord, r.target) for r in tree.cross_references(df).collect()) == [(0, 2), (2, 0), (3, 2)]
+
+
+def test_joined_export_encodes_nested_columns(spark):
+    a = spark.createDataFrame([(1, ["x", "y"]), (2, None)], "k int, ids array<string>")
+    j = spark.createDataFrame([(1, {"s": 5})], "k int, scores map<string,int>")
+    got = {r["k"]: (r["ids"], r["scores"]) for r in experiment.joined_export(a, j, ["k"]).collect()}
+    assert got == {1: ('["x","y"]', '{"s":5}'), 2: (None, None)}

@@ -202,3 +202,11 @@ def test_verbatim_pairs_against_all_pairs(spark):
 def test_top_k_ties_break_by_id(spark):
     df = spark.createDataFrame([("q", i, 1.0) for i in (5, 3, 9)], "qid string, doc_id bigint, score double")
     assert [r.doc_id for r in top_k(df, ["qid"], by_score(), 2).orderBy("rank").collect()] == [3, 5]
+
+
+def test_tenants_come_from_the_documents(spark, tmp_path):
+    from evispark.plans import corpus
+
+    spark.createDataFrame([(1, "uno", "it"), (2, "one", "en"), (3, "x", None)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "uno")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["qid"] for r in corpus.questions(spark, str(tmp_path)).collect()) == ["en-7", "it-7"]
