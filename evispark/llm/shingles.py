@@ -435,6 +435,3 @@ def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) ->
     out = salted.join(wide, ["rep", "_s"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
-
-
-spanning_edges = spanning_labels
