@@ -10,13 +10,41 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-# One alternative a kind. Every repetition is bounded and starts at the edge of a run, so a scan takes linear time.
+# One alternative a kind. Every repetition is bounded or possessive and starts at the edge of a run, so a scan takes linear time.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}"
 ADDRESS = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![ -]?\d)"
+# Country codes (E.164), none of which begins another.
+THREE = r"(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[035789]|9[679])\d"
+CODE = rf"(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|{THREE})"
+# Numbers of digits behind the code, the usual one first.
+NATIONAL = (
+    (r"[17]|30|52|58|90|9[128]", (10,)), (r"27|3[134]|4[018]|56|61|9[34]", (9,)), (r"44", (10, 9)), (r"4[57]|53|65", (8,)), (r"3[26]|66", (9, 8)), (r"39", (10, 9, 11, 8)),
+    (r"46", (9, 8, 7, 10)), (r"43|49", (11, 10, 9, 8, 12)), (r"54|55|86", (11, 10)), (r"20|5[17]|6[034]|8[124]|95", (10, 9, 8)), (r"62", (11, 10, 9, 12)),
+)
+TRUNK = r"(?:[ .-]?\(0\) ?)?"
+SEEN = rf"{ADDRESS}|{DATE}|{SOCIAL}"
+LONG = r"\d{13,19}(?!\d)|(?:\d{4}[ -]){3}\d{4}(?!\d)|\d{4}[ -]\d{6}[ -]\d{5}(?!\d)"
+
+
+def national(n: int) -> str:
+    """``n`` digits up to the edge of a group, at most one mark between two; an area code may stand in parentheses."""
+    areas = "|".join(rf"\(\d{{{k}}}\)(?:[ .-]?\d){{{n - k}}}(?!\d)" for k in range(1, 6))
+    return rf"[ .-]?(?:\d(?:[ .-]?\d){{{n - 1}}}(?!\d)|{areas})"
+
+
+# In turn: an area code and one block, which ends a number; the lengths of the country; 8 to 15 digits that run into no other kind.
+BLOCK = rf"\+(?:43|49|{THREE}){TRUNK}[ .-]?(?:\(\d{{1,4}}\)|\d{{1,4}})[ .-]\d{{5,8}}(?!\d)"
+LENGTHS = "|".join(rf"\+(?:{codes}){TRUNK}(?:{'|'.join(national(n) for n in lengths)})" for codes, lengths in NATIONAL)
+OTHER = rf"\+\d(?:(?:[ .-](?!{SEEN}|{LONG})|[ .-]?\(|\)[ .-]?(?!{SEEN}|{LONG}))?\d){{7,14}}(?!\d)"
+LOCAL = r"(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+PHONE = rf"(?<![\w+])(?:{BLOCK}|{LENGTHS}|{OTHER})|{LOCAL}"
+# All groups of digits in a row that begin no other kind, 13 digits at least; `card` looks for numbers at the edges of groups.
+APART = rf"[ -](?!{EMAIL}|{SEEN}|{LOCAL})"
+CARD = rf"(?<!\d)(?=\d(?:(?:{APART})?\d){{12}})\d++(?:{APART}\d++)*+"
+SHAPE = r"^(?:\d{13,19}|(?:\d{4}[ -]){3}\d{4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]\d{3}){3})$"
+ISSUER = r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|2(?:2[2-9]|[3-6]\d|7[01])\d{13}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35\d{14}|6(?:011|[245]\d\d)\d{12,15})$"
 ACCESS = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"(?<![A-Za-z])(?:password|passwd|secret|token|api_?key)[A-Za-z_]{0,16} ?[=:] ?[\"']?[0-9a-f]{16,64}(?![0-9A-Za-z])"
 ANY = "|".join((EMAIL, ADDRESS, DATE, SOCIAL, PHONE, CARD, ACCESS, SECRET))
@@ -101,13 +129,57 @@ def luhn_sum(digits: Column, odd_doubled: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
-def card(m: Column, key: str) -> Column:
-    """A number with a right check digit: the digits before it are permuted, then it is set anew. Others stay."""
+def card(run: Column, key: str) -> Column:
+    """(new, n): ``run`` with the numbers of right check digit in it replaced, and how many these are.
+
+    Candidates are all stretches of 13 to 19 digits between edges of groups with
+    one mark between the groups, and the whole run. Those in a usual shape go
+    first, of an issuer's prefix before others, 16 digits before other lengths, then from
+    the left; one that overlaps a better one is left out. The digits before the
+    check digit are permuted, then it is set anew. Others stay.
+    """
+
     def pseudonym(d):
         body = permute_text(F.substr(d, F.lit(1), F.length(d) - 1), DIGITS, key, "card")
         return let(body, lambda b: F.concat(b, ((10 - luhn_sum(b, F.lit(1)) % 10) % 10).cast("string")))
 
-    return let(only(m, "0-9"), lambda d: F.when((luhn_sum(d, F.lit(0)) % 10 == 0) & ~d.rlike("^(.)\\1*$"), refill(m, pseudonym(d), "0-9")).otherwise(m))
+    def right(x):
+        return let(only(x, "0-9"), lambda d: d.rlike(r"^\d{13,19}$") & ~d.rlike("^(.)\\1*$") & (luhn_sum(d, F.lit(0)) % 10 == 0))
+
+    def candidate(x, first):
+        rank = F.when(~x.rlike(SHAPE), F.when(x.contains(" ") & x.contains("-"), 3).otherwise(2)).when(only(x, "0-9").rlike(ISSUER), 0).otherwise(1)
+        last = first + F.size(F.split(x, "[ -]")) - 1
+        return F.struct(rank.alias("rank"), F.abs(F.length(only(x, "0-9")) - 16).alias("off"), first.alias("first"), last.alias("last"), x.alias("x"))
+
+    def at(groups, i):
+        ahead = F.regexp_replace(F.array_join(F.slice(groups, i + 1, 19), ""), "^[ -]", "")
+        parts = lambda v: F.array(*[F.regexp_extract(v, rf"^(?:\d(?: ?\d){{{n - 1}}}|\d(?:-?\d){{{n - 1}}})(?!\d)", 0) for n in range(13, 20)])
+        return F.transform(F.filter(let(ahead, parts), lambda x: (x != "") & right(x)), lambda x: candidate(x, i))
+
+    def chosen(found):
+        apart = lambda acc, c: ~F.exists(acc, lambda a: (c["first"] <= a["last"]) & (a["first"] <= c["last"]))
+        best = F.aggregate(F.array_sort(found), F.slice(found, 1, 0), lambda acc, c: F.when(apart(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+        return F.array_sort(F.transform(best, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), c["x"].alias("x"))))
+
+    def rebuilt(groups, numbers):
+        begin = F.concat(F.array(F.lit(0)), F.transform(numbers, lambda c: c["last"] + 1))
+        end = F.concat(F.transform(numbers, lambda c: c["first"]), F.array(F.size(groups)))
+        between = F.zip_with(begin, end, lambda b, e: F.array_join(F.slice(groups, b + 1, e - b), ""))
+        new = F.transform(numbers, lambda c: F.struct(F.regexp_extract(groups[c["first"]], "^[ -]?", 0).alias("mark"), c["x"].alias("old"), refill(c["x"], pseudonym(only(c["x"], "0-9")), "0-9").alias("new")))
+
+        def put(v):
+            text = F.array_join(F.zip_with(between, v, lambda b, x: F.concat(b, F.coalesce(F.concat(x["mark"], x["new"]), F.lit("")))), "")
+            return F.struct(text.alias("new"), F.size(F.filter(v, lambda x: x["old"] != x["new"])).alias("n"))
+
+        return let(new, put)
+
+    def search(groups):
+        inner = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), lambda i: at(groups, i)))
+        mixed = F.filter(F.array(run), lambda x: x.contains(" ") & x.contains("-") & right(x))
+        found = F.concat(inner, F.transform(mixed, lambda x: candidate(x, F.lit(0))))
+        return let(found, lambda f: F.when(F.size(f) == 0, F.struct(run.alias("new"), F.lit(0).alias("n"))).otherwise(let(chosen(f), lambda c: rebuilt(groups, c))))
+
+    return let(F.split(run, r"(?<=\d)(?=[ -])", -1), search)
 
 
 def phone(m: Column, key: str) -> Column:
@@ -183,8 +255,11 @@ def whole(pattern: str) -> str:
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    kinds = ((EMAIL, email), (ADDRESS, address), (DATE, date), (SOCIAL, social), (ACCESS, access), (SECRET, secret), (CARD, card), (PHONE, phone))
-    return functools.reduce(lambda rest, k: F.when(m.rlike(whole(k[0])), k[1](m, key)).otherwise(rest), reversed(kinds), m)
+    """(new, n): the pseudonym of a match and the number of values replaced in it."""
+    kinds = ((EMAIL, email), (ADDRESS, address), (DATE, date), (SOCIAL, social), (ACCESS, access), (SECRET, secret), (rf"\+.*|{LOCAL}", phone))
+    one = functools.reduce(lambda rest, k: F.when(m.rlike(whole(k[0])), k[1](m, key)).otherwise(rest), reversed(kinds), m)
+    single = let(one, lambda v: F.struct(v.alias("new"), F.when(v != m, 1).otherwise(0).alias("n")))
+    return F.when(m.rlike(r"^\d[\d -]{11,}\d$"), card(m, key)).otherwise(single)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -200,21 +275,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     text = F.col(f"`{text_col}`").cast("string")
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(m, key))
-    rebuilt = F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    hit = text.rlike(ANY)
-    if count_col is None:
-        return docs.withColumn(text_col, F.when(hit, rebuilt).otherwise(text))
-    # one struct, so that pseudonyms are worked out once for both columns
-    changed = let(found, lambda f: F.zip_with(f, F.transform(f, lambda m: pseudonym(m, key)), lambda a, b: F.struct(b.alias("new"), (a != b).alias("moved"))))
-    parts = F.split(text, ANY, -1)
+    parts, hit = F.split(text, ANY, -1), text.rlike(ANY)
 
     def put(c):
         joined = F.array_join(F.zip_with(parts, c, lambda p, m: F.concat(p, F.coalesce(m["new"], F.lit("")))), "")
-        return F.struct(joined.alias("text"), F.size(F.filter(c, lambda m: m["moved"])).alias("n"))
+        return F.struct(joined.alias("text"), F.aggregate(c, F.lit(0), lambda n, m: n + m["n"]).alias("n"))
 
+    new = F.transform(found, lambda m: pseudonym(m, key))
+    if count_col is None:
+        return docs.withColumn(text_col, F.when(hit, let(new, put)["text"]).otherwise(text))
+    # one struct, so that pseudonyms are worked out once for both columns
     none = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    both = F.explode(F.array(F.when(hit, let(changed, put)).otherwise(none))).alias("__both")
+    both = F.explode(F.array(F.when(hit, let(new, put)).otherwise(none))).alias("__both")
     rest = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*rest, both)
     return out.withColumns({text_col: F.col("__both.text"), count_col: F.col("__both.n").cast("long")}).drop("__both")

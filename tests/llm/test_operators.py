@@ -416,6 +416,25 @@ def test_pseudonyms(spark, docs, empty):
     assert pii.pseudonymise(docs, "k").schema == docs.schema and pii.pseudonymise(empty, "k").count() == 0
 
 
+def replaced(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = collected(pii.pseudonymise(df, "k", count_col="n"))
+    return [(out[i]["text"], out[i]["n"]) for i in range(len(texts))]
+
+
+def test_pseudonyms_beside_other_values(spark):
+    values = [
+        "4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "7536784127813050", "+1 (826) 555-4081", "+49 151 12345678", "+33 6 12 34 56 78",
+        "826-555-4081", "190.137.223.204", "123-45-6789", "1987-02-28", "28/02/1987", "fakol.33@mail7.example.com",
+    ]
+    alone = {v: new for v, (new, _) in zip(values, replaced(spark, values), strict=True)}
+    assert all(v != new for v, new in alone.items())
+    plain = ["2", "12", "2024", "12/25", "items"]
+    pairs = [(a, b) for a in values for b in values + plain] + [(a, b) for a in plain for b in values]
+    for (a, b), (new, n) in zip(pairs, replaced(spark, [f"x {a} {b} y" for a, b in pairs]), strict=True):
+        assert (new, n) == (f"x {alone.get(a, a)} {alone.get(b, b)} y", (a in alone) + (b in alone)), (a, b)
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
