@@ -183,14 +183,9 @@ def card(run: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """All digits behind the country code are permuted, 7 of them at least."""
-    head = F.regexp_extract(m, r"^(\+\d{1,3}?(?=[ .(-]|\d{7}))?", 0)
-
-    def rest(h):
-        tail = F.substr(m, F.length(h) + 1)
-        return let(only(tail, "0-9"), lambda d: F.when(F.length(d) >= 7, F.concat(h, refill(tail, permute_text(d, DIGITS, key, "phone"), "0-9"))).otherwise(m))
-
-    return let(head, rest)
+    """All digits behind the country code, and behind a trunk 0 in parentheses, are permuted."""
+    head = F.regexp_extract(m, rf"^(?:\+(?:{CODE}{TRUNK})?)?", 0)
+    return let(head, lambda h: let(F.substr(m, F.length(h) + 1), lambda tail: F.concat(h, refill(tail, permute_text(only(tail, "0-9"), DIGITS, key, "phone"), "0-9"))))
 
 
 def address(m: Column, key: str) -> Column:

@@ -435,6 +435,14 @@ def test_pseudonyms_beside_other_values(spark):
         assert (new, n) == (f"x {alone.get(a, a)} {alone.get(b, b)} y", (a in alone) + (b in alone)), (a, b)
 
 
+def test_one_phone_in_two_notations(spark):
+    groups = [("+4915112345678", "+49 151 12345678", "+49 (0)151 12345678"), ("+442079460958", "+44 20 7946 0958"), ("+35312345678", "+353 1 234 5678"), ("+13755554393", "+1 (375) 555-4393")]
+    for group in groups:
+        new = [re.sub(r"\D", "", t.replace("(0)", "")) for t, _ in replaced(spark, group)]
+        code = re.match(r"\+(1|44|49|353)", group[0])[1]
+        assert len(set(new)) == 1 and new[0].startswith(code) and new[0] != group[0][1:], group
+
+
 def test_permutations_are_one_to_one(spark):
     from pyspark.sql import functions as F
 
