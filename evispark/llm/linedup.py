@@ -34,10 +34,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
     words = F.filter(numbered, lambda v: v["line"].rlike(r"\S"))
-    rows = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), F.posexplode(words).alias("idx", "v"))
+    rows = docs.select("doc_id", "text").distinct().select(F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__text"), F.posexplode(words).alias("idx", "v"))
     line = F.col("v.line")
     count = F.size(F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " "))
-    return rows.select(*DOC, "idx", F.col("v.no").alias("no"), F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2"), count.alias("words"))
+    return rows.select(*DOC, "idx", F.col("v.no").alias("no"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), count.alias("words"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:

@@ -539,3 +539,15 @@ def test_line_dedup_with_null_and_repeated_ids(spark):
     line = "one two three four five six seven eight"
     df = spark.createDataFrame([(None, line), (2, line), (3, f"{line}\nx"), (3, f"{line}\nx")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in linedup.drop_repeated_lines(df).collect()) == [(0, line), (2, ""), (3, "x"), (3, "x")]
+
+
+def test_line_dedup_of_repeated_rows_with_short_lines(spark):
+    run = "\n".join(f"w{i}" for i in range(8))
+    df = spark.createDataFrame([(1, run), (2, f"{run}\nx"), (2, f"{run}\nx"), (None, run), (None, run)], "doc_id long, text string").repartition(3)
+    out = linedup.drop_repeated_lines(df, count_col="n").collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n"]) for r in out) == [(0, run, 0), (0, run, 0), (1, "", 8), (2, "x", 8), (2, "x", 8)]
+
+
+def test_line_hashes_are_two(spark):
+    row = linedup.lines_of(spark.createDataFrame([(1, "a line")], "doc_id long, text string")).selectExpr("h2", "xxhash64('a line', 1) as chained").first()
+    assert row["h2"] != row["chained"]
