@@ -169,17 +169,20 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
 def fit(labelled: DataFrame, per_lang: int = 300, max_chars: int = 20_000, order: int = 4) -> Ppm:
     """Trees from a bounded sample of ``labelled`` (lang, text, doc_id).
 
-    The sample: for each language, the ``per_lang`` documents of at most
-    ``max_chars`` characters that come first by a hash of their text. These two
-    bounds, and nothing else, limit what is learnt, so the model has a fixed
+    The sample: for each language, the ``per_lang`` distinct texts that come
+    first by their hash, and of each the first ``max_chars`` characters. These
+    two bounds, and nothing else, limit what is learnt, so the model has a fixed
     size. Rows with a null language or text teach nothing; no rows give a model
     without languages.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    # narrow rows are ranked; only the chosen texts move
-    chosen = usable.select("lang", "doc_id", F.xxhash64("text").alias("_h")).withColumn("_r", rank).filter(F.col("_r") <= per_lang)
-    sample = usable.withColumn("_h", F.xxhash64("text")).join(F.broadcast(chosen.select("lang", "doc_id", "_h").distinct()), ["lang", "doc_id", "_h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
+    # copies fall together first; narrow rows are ranked; only the chosen texts move
+    distinct = usable.groupBy("lang", "_h").agg(F.min("doc_id").alias("_id"))
+    chosen = distinct.withColumn("_r", rank).filter(F.col("_r") <= per_lang).select(F.col("lang").alias("_lang"), F.col("_h").alias("_hash"), "_id")
+    same = (F.col("lang") == F.col("_lang")) & (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    found = usable.join(F.broadcast(chosen), same).select("lang", "_h", F.substring("text", 1, max_chars).alias("text"))
+    sample = found.dropDuplicates(["lang", "_h"])  # rows repeated with their id
     rows = count_grams(sample.select("lang", "text"), order).toPandas()
     langs = sorted(rows["lang"].unique())
     counts = []

@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.llm import bpe, coder, components, exactdup, langid, linedup, packing, pii, sharding, shingles, vectors
 from evispark.llm.common import crc32_join, prefix_sums, vocabulary
@@ -104,6 +105,19 @@ def test_code_lengths_are_exact(spark):
                 assert got[i, j] == pytest.approx(code_length(counts, order, t.encode()), rel=1e-5)
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    ddl = "doc_id long, lang string, text string"
+    texts = [r["t"] for r in spark.createDataFrame([(f"text {i} of {'abcdefgh'[i]}",) for i in range(8)], "t string").orderBy(F.xxhash64("t")).collect()]
+    rows = [(i, "aa", t) for i, t in enumerate(texts)] + [(50 + i, "aa", texts[0]) for i in range(5)] + [(0, "aa", texts[0])] * 2
+    asked = [t.encode() for t in texts]
+    got = langid.fit(spark.createDataFrame(rows, ddl), per_lang=3)
+    want = langid.fit(spark.createDataFrame([(i, "aa", t) for i, t in enumerate(texts[:3])], ddl))
+    assert np.array_equal(got.lengths(asked), want.lengths(asked))
+    long = langid.fit(spark.createDataFrame([(1, "bb", "ab é" * 20)], ddl), max_chars=7)
+    want = langid.fit(spark.createDataFrame([(1, "bb", "ab éab ")], ddl))
+    assert long.langs == ["bb"] and np.array_equal(long.lengths(asked), want.lengths(asked))
+
+
 def test_language_of_edge_cases(spark, docs, empty):
     out = collected(langid.identify(docs))
     assert len(out) == docs.count()
