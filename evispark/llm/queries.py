@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evispark.llm import bpe, coder, exactdup, langid, linedup, packing, pii, sharding, shingles, vectors
+from evispark.llm import bpe, coder, dialogue, exactdup, langid, linedup, packing, pii, sharding, shingles, vectors
 from evispark.llm.common import load, vocabulary
 
 QUERIES: dict = {}
@@ -123,3 +123,57 @@ def op9(spark, sf_dir):
 @query("op10_line_dedup")
 def op10(spark, sf_dir):
     return linedup.drop_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
+
+
+# crc32 bit by bit; each round of the recursion reads one turn and keeps the
+# cheapest edits for each letter put out last. An insertion (5) never pays: taking it and a neighbour out costs 2, or 4
+# with the system turn, so the recursion has none.
+SQL_OP12 = r"""
+with recursive src as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k from conversations
+), fate as (
+  select *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(k) + 1), lambda i: [256 + ascii(substring(k, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, b: case when b >= 0 then xor(c, b - 256) when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end), 4294967295) % 20 as f from src
+), damaged as (
+  select conv_id, turn, case when f = 4 then 'user' else role end as role,
+    case f when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when f = 3 then [1, 2] else [1] end) as copy
+  from fate where f <> 0
+), ranked as (
+  select *, row_number() over w as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again,
+    lag(left(role, 1)) over w as before, rtrim(text, E' \t\n\x0b\x0c\r') as kept
+  from damaged window w as (partition by conv_id order by turn nulls first, role, text, copy)
+), turns as (
+  select conv_id, turn, role, text, i, left(role, 1) as initial, before || left(role, 1) as pair,
+    case when kept = '' then 'blank' when again > 1 then 'duplicate' when right(kept, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from ranked
+), stats as (
+  select conv_id, max(i) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from turns group by 1
+), step(state, edit, role, cost, next) as (
+  values ('', 'D', null, 2, ''), ('s', 'D', null, 2, 's'), ('u', 'D', null, 2, 'u'), ('a', 'D', null, 2, 'a'),
+    ('', 'K', 's', 0, 's'), ('', 'K', 'u', 0, 'u'), ('', 'R', 'u', 1, 'u'), ('s', 'K', 'u', 0, 'u'), ('s', 'R', 'u', 1, 'u'),
+    ('u', 'K', 'a', 0, 'a'), ('u', 'R', 'a', 1, 'a'), ('a', 'K', 'u', 0, 'u'), ('a', 'R', 'u', 1, 'u')
+), walk as (
+  select conv_id, cast(0 as bigint) as i, '' as state, cast(0 as bigint) as cost, '' as audit, cast([] as varchar[]) as out from stats
+  union all
+  select conv_id, i, state, cost, audit, out from (
+    select w.conv_id, t.i, s.next as state, w.cost + s.cost + case when s.edit <> 'D' and t.fault = 'truncated' then 5 else 0 end as cost, w.audit || s.edit as audit,
+      case when s.edit = 'D' then w.out when s.edit = 'K' then list_append(w.out, t.role || ':' || t.text)
+        else list_append(w.out, case s.role when 'u' then 'user:' else 'assistant:' end || t.text) end as out
+    from walk w join turns t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1 join step s on s.state = w.state
+    where s.edit = 'D' or (t.fault not in ('blank', 'duplicate') and ((s.edit = 'K' and t.initial = s.role) or (s.edit = 'R' and t.initial <> s.role)))
+  ) qualify row_number() over (partition by conv_id, state order by cost, audit) = 1
+), best as (
+  select w.conv_id, w.cost, w.audit, array_to_string(w.out, chr(10)) as repaired from walk w join stats s on w.conv_id is not distinct from s.conv_id and w.i = s.n
+  where w.state in ('', 'a') qualify row_number() over (partition by w.conv_id order by w.cost, w.audit) = 1
+)
+select c.conv_id, coalesce(s.gaps, 0) as gaps, coalesce(s.blank, 0) as blank, coalesce(s.duplicate, 0) as duplicate, coalesce(s.truncated, 0) as truncated,
+  coalesce(s.illegal, 0) as illegal, coalesce(b.cost, 0) as cost, coalesce(b.audit, '') as audit, sha256(coalesce(b.repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join stats s on c.conv_id is not distinct from s.conv_id left join best b on c.conv_id is not distinct from b.conv_id
+"""
+
+
+@query("op12_dialogue_repair", SQL_OP12)
+def op12(spark, sf_dir):
+    return dialogue.repair_damaged(load(spark, sf_dir, "conversations"))
