@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evispark.llm import bpe, coder, dialogue, exactdup, langid, linedup, packing, pii, sharding, shingles, vectors
-from evispark.llm.common import load, vocabulary
+from evispark.llm import bpe, coder, dialogue, exactdup, langid, linedup, packing, phrases, pii, sharding, shingles, tokencount, vectors
+from evispark.llm.common import load, scratch_path, vocabulary
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -125,6 +125,12 @@ def op10(spark, sf_dir):
     return linedup.drop_repeated_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_removed")
 
 
+@query("op11_token_counts")
+def op11(spark, sf_dir):
+    # The cache starts empty, so that every run does its own work.
+    return tokencount.count_tokens(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), scratch_path(spark, "token-counts"))
+
+
 # crc32 bit by bit; each round of the recursion reads one turn and keeps the
 # cheapest edits for each letter put out last. An insertion (5) never pays: taking it and a neighbour out costs 2, or 4
 # with the system turn, so the recursion has none.
@@ -177,3 +183,34 @@ from (select distinct conv_id from conversations) c left join stats s on c.conv_
 @query("op12_dialogue_repair", SQL_OP12)
 def op12(spark, sf_dir):
     return dialogue.repair_damaged(load(spark, sf_dir, "conversations"))
+
+
+SQL_OP13 = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws from documents
+), gram as (
+  select lang, m, list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' ')) as g from piece, range(1, 6) t(m)
+), f as (
+  select lang, phrase, any_value(m) as m, count(*) as n from (select lang, m, unnest(g) as phrase from gram) group by lang, phrase
+), total as (select lang, sum(n) as n from f where m = 1 group by 1),
+candidate as (select lang, phrase, m, n, string_split(phrase, ' ') as ws from f where m > 1 and n >= 100),
+cut as (
+  select c.lang, c.phrase, c.n as a, k, array_to_string(c.ws[1:k], ' ') as x, array_to_string(c.ws[k + 1:], ' ') as y from candidate c, range(1, 5) t(k) where k < c.m
+), scored as (
+  select cut.lang, cut.phrase, cut.a, k, l.n as l, r.n as r, total.n as n, (1000 * cut.a::hugeint * total.n::hugeint) // (l.n::hugeint * r.n::hugeint) as score
+  from cut join f l on l.lang = cut.lang and l.phrase = x join f r on r.lang = cut.lang and r.phrase = y join total on total.lang = cut.lang
+), best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, array_to_string(ws[i:i + s - 1], ' ') as phrase, max(n) as longer from candidate, range(1, 5) t(i), range(2, 5) u(s) where s < m and i + s - 1 <= m group by 1, 2
+)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score from (
+  select best.*, row_number() over (partition by best.lang order by score desc, a desc, encode(best.phrase)) as rank
+  from best left join inside on inside.lang = best.lang and inside.phrase = best.phrase where longer is null or 100 * longer < 100 * a
+) where rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", SQL_OP13)
+def op13(spark, sf_dir):
+    return phrases.collocations(load(spark, sf_dir, "documents"), top=2000).drop("doc_id", "at")
