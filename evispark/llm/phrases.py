@@ -172,8 +172,14 @@ def likely(words: Words, seeds: np.ndarray, prints: Fingerprints, frequent: Bitm
     return first[whole], h[whole]
 
 
+def gathered(docs: DataFrame, splits: int = 4) -> DataFrame:
+    """``docs`` with up to ``splits`` neighbouring splits a task, so that more is added up before it moves."""
+    n = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // splits)))
+
+
 def count_prints(docs: DataFrame, sizes: list[int], frequent: Bitmap | None, least: int, prints: Fingerprints, step: int) -> DataFrame:
-    """(print) of phrases of these sizes that may occur ``least`` times; counted a batch, then over all batches."""
+    """(print) of phrases of these sizes that may occur ``least`` times; counted a batch, then a task, then over all tasks."""
 
     def run(batches):
         for data, starts, langs, _ in texts_of(batches, step):
@@ -183,7 +189,7 @@ def count_prints(docs: DataFrame, sizes: list[int], frequent: Bitmap | None, lea
                 h, count = np.unique(likely(words, seeds, prints, frequent, n)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], ["print", "n"])
 
-    counted = docs.select("lang", "text", "doc_id").mapInArrow(run, "print long, n long")
+    counted = gathered(docs).mapInArrow(run, "print long, n long")
     return counted.groupBy("print").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("print")
 
 
@@ -236,39 +242,47 @@ def grouped(words: Words, names: np.ndarray, langs: np.ndarray, first: np.ndarra
     return first[rep], count
 
 
-def read_phrases(docs: DataFrame, frequent: Bitmap, prints: Fingerprints, step: int) -> DataFrame:
+def read_phrases(docs: DataFrame, frequent: Bitmap, prints: Fingerprints, step: int, held: int = 300_000) -> DataFrame:
     """(lang, phrase, n, doc_id, at) of the phrases with a frequent fingerprint, from the text; '' counts all words.
 
-    ``doc_id`` and ``at`` (the byte in the lower-case text) point at the first occurrence in the smallest doc_id.
+    ``doc_id`` and ``at`` (the byte in the lower-case text) point at an occurrence. A task adds up its phrases before
+    it sends them, and sends what it holds when that passes ``held`` phrases.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
+        table: dict[tuple[str, bytes], list] = {}
         for data, starts, langs, docs_ in texts_of(batches, step):
             words = Words(data, starts)
             seeds, names = seeds_of(langs, words), word_names(words)
             kinds, code = np.unique(np.array(langs, object), return_inverse=True)
-            out = [(kinds[c], "", int(k), None, None) for c, k in enumerate(np.bincount(code[words.text], minlength=len(kinds)))]
+            for c, k in enumerate(np.bincount(code[words.text], minlength=len(kinds)).tolist()):
+                table.setdefault((kinds[c], b""), [0, None, None])[0] += k
             for n in range(1, LONGEST + 1):
                 first, h = likely(words, seeds, prints, frequent, n)
                 known = frequent(h)
                 for i, k in zip(*[x.tolist() for x in grouped(words, names, code, first[known], h[known], n)], strict=True):
                     t = words.text[i]
-                    out.append((langs[t], words.bytes_of(i, n).decode(), k, docs_[t], int(words.at[i] - starts[t])))
-            lang, phrase, count, doc, at = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(count, pa.int64()), pa.array(doc, to_arrow_type(doc_type)), pa.array(at, pa.int64())],
-                ["lang", "phrase", "n", "doc_id", "at"],
-            )
+                    entry = table.setdefault((langs[t], words.bytes_of(i, n)), [0, docs_[t], int(words.at[i] - starts[t])])
+                    entry[0] += k
+            if len(table) >= held:
+                yield rows_of(table)
+                table.clear()
+        yield rows_of(table)
+
+    def rows_of(table):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        n, doc, at = zip(*table.values(), strict=True) if table else ((), (), ())
+        cols = [pa.array([k[0] for k in table], pa.string()), pa.array([k[1].decode() for k in table], pa.string()), pa.array(n, pa.int64()), pa.array(doc, to_arrow_type(doc_type)), pa.array(at, pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "n", "doc_id", "at"])
 
     doc_type = docs.schema["doc_id"].dataType
-    found = docs.select("lang", "text", "doc_id").mapInArrow(run, f"lang string, phrase string, n long, doc_id {kind}, at long")
+    found = gathered(docs).mapInArrow(run, f"lang string, phrase string, n long, doc_id {kind}, at long")
     return found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, filter_bits: int = 26, hash_bits: int = 64, step: int = 16 << 20) -> DataFrame:
+def frequent_phrases(docs: DataFrame, least: int = 100, filter_bits: int = 26, hash_bits: int = 64, step: int = 8 << 20) -> DataFrame:
     """(lang, phrase, n, doc_id, at): every phrase of 1 to 5 words that occurs ``least`` times in its language, and '' for all words.
 
     Three passes count fingerprints: words, pairs of frequent words, then phrases of 3 to 5 words with frequent pairs.
