@@ -89,6 +89,37 @@ def draw_index(n: Column, *key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
 
 
+# Fixed values of the 32-bit mixing step.
+MIX_1, MIX_2, STRIDE = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B1
+
+
+def _mix32(h):
+    import numpy as np
+
+    h = h ^ (h >> np.uint32(16))
+    h = h * np.uint32(MIX_1)
+    h = h ^ (h >> np.uint32(13))
+    h = h * np.uint32(MIX_2)
+    return h ^ (h >> np.uint32(16))
+
+
+def stream(seed: int, repetition, part: int):
+    """Start of the random numbers of one repetition (or an array of them) in one part of the data."""
+    import numpy as np
+
+    low = lambda x: (np.atleast_1d(np.asarray(x, dtype=np.int64)) & 0xFFFFFFFF).astype(np.uint32)
+    return _mix32(_mix32(low(seed) + low(repetition) * np.uint32(STRIDE)) ^ low(part))
+
+
+def draws(n: int, start, nth, count: int | None = None):
+    """Numbers below ``n`` (at most 2 ** 32), the ``nth`` ones of their streams; with ``count`` so many from the ``nth`` on."""
+    import numpy as np
+
+    at = nth if count is None else np.arange(nth, nth + count)
+    h = _mix32(start + (np.asarray(at) & 0xFFFFFFFF).astype(np.uint32) * np.uint32(STRIDE))
+    return ((h.astype(np.uint64) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
 def seed_count(top_k: int, fraction: float = 0.5) -> int:
     """Seeds kept for link expansion: ceil(k * fraction), between 1 and k."""
     import math

@@ -111,6 +111,17 @@ def excluded(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return base.join(keys.select(key), key, "left_anti")
 
 
+def superseded(cells: DataFrame, keys, questions: DataFrame, single: DataFrame | None = None) -> DataFrame:
+    """Rows of ``cells`` that were withdrawn after review: by their question (column qid), or cell by cell.
+
+    A gate calls `require_empty` on it; both lists are short and hold no cell twice.
+    """
+    gone = cells.join(questions.select("qid").distinct(), "qid", "left_semi").select(*cells.columns)
+    if single is not None:
+        gone = gone.unionByName(cells.join(single.select(*keys).distinct(), list(keys), "left_semi").select(*cells.columns)).distinct()
+    return gone
+
+
 def pilot_sample(q: DataFrame, n: int) -> DataFrame:
     """Deterministic pilot: the first control, then the first answerable
     question of every unused category, then the rest in order.

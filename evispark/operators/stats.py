@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from evispark.functions import numeric
-from evispark.operators.ranking import attach_row, dense_index
+from evispark.errors import PairingError
+from evispark.operators.experiment import require_empty
+from evispark.operators.ranking import attach_row, dense_index, exact_percentiles, linear
 
 
 def binomial_tail_p(b: int, c: int) -> float:
@@ -76,8 +80,47 @@ def paired(cells: DataFrame, keys, arm: str, baseline: str, treatment: str, metr
     )
 
 
+# Groups of up to this many differences that are not zero have an exact p.
+EXACT_UPTO = 50
+
+
+def rank_sum_counts(doubled_ranks) -> np.ndarray:
+    """How many of the 2 ** n choices of signs give each doubled rank sum.
+
+    The product of (1 + x ** r) over the ranks, one factor a step; counts stay
+    below 2 ** 50, so they are exact.
+    """
+    counts = np.zeros(int(sum(doubled_ranks)) + 1, dtype=np.int64)
+    counts[0] = 1
+    for r in doubled_ranks:
+        more = counts.copy()
+        more[r:] += counts[: len(counts) - r]
+        counts = more
+    return counts
+
+
+@F.pandas_udf(DoubleType())
+def signed_rank_p(ranks: pd.Series, w_plus: pd.Series) -> pd.Series:
+    """Two-sided exact p of a rank sum; ``ranks`` holds (doubled rank, how many) of one group."""
+
+    def p(groups, w):
+        if groups is None:
+            return None
+        counts = rank_sum_counts([g["r"] for g in groups for _ in range(g["n"])])
+        at = int(round(2 * w))
+        tail = min(int(counts[: at + 1].sum()), int(counts[at:].sum()))
+        return min(1.0, 2 * tail / int(counts.sum()))
+
+    return pd.Series([p(g, w) for g, w in zip(ranks, w_plus)], dtype="float64")
+
+
 def wilcoxon(pairs: DataFrame, keys, difference: str = "difference") -> DataFrame:
-    """(keys, n_nonzero, w_plus, z, p): signed ranks, zeros dropped.
+    """(keys, n_nonzero, w_plus, z, p, p_exact, method): signed ranks, zeros dropped.
+
+    ``p_exact`` is there for groups of at most ``EXACT_UPTO`` differences that
+    are not zero, equal ones sharing their rank. ``p`` is the exact one where
+    no difference is zero and no two are equal, else the normal one, which
+    ``method`` names. A group without any difference has p 1.
 
     Equal magnitudes are counted before anything is ranked, so the window runs
     over distinct magnitudes; their average ranks follow from the counts.
@@ -87,52 +130,94 @@ def wilcoxon(pairs: DataFrame, keys, difference: str = "difference") -> DataFram
     nonzero = pairs.select(*keys, F.abs(d).alias("_m"), (d > 0).alias("_up")).filter("_m > 0")
     ties = nonzero.groupBy(*keys, "_m").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_up").alias("_u"))
     upto = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ties.withColumn("_rank", F.sum("_n").over(upto) - (F.col("_n") - 1) / F.lit(2.0))
+    ranked = ties.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0))
     n = F.sum("_n")
+    first = F.when(F.col("_upto") <= EXACT_UPTO, F.struct((2 * F.col("_rank")).cast("int").alias("r"), F.col("_n").cast("int").alias("n")))
     sums = ranked.groupBy(*keys).agg(
         n.alias("n_nonzero"), F.sum(F.col("_u") * F.col("_rank")).alias("w_plus"),
         F.sum(F.col("_n").cast("double") * F.col("_n") * F.col("_n") - F.col("_n")).alias("_t"),
+        # at most EXACT_UPTO entries, whatever the group
+        F.when(n <= EXACT_UPTO, F.collect_list(first)).alias("_ranks"), F.max("_n").alias("_most"),
     )
     k = F.col("n_nonzero").cast("double")
     mean = k * (k + 1) / 4
     var = k * (k + 1) * (2 * k + 1) / 24 - F.col("_t") / 48
-    every = pairs.select(*keys).distinct().join(sums, keys, "left")
+    every = pairs.groupBy(*keys).agg(F.count(difference).alias("_pairs")).join(sums, keys, "left")
     z = F.when(var > 0, (F.col("w_plus") - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
-    return every.select(
+    exact = F.col("_ranks").isNotNull() & (F.col("_most") == 1) & (F.col("_pairs") == F.col("n_nonzero"))
+    told = every.select(
         *keys, F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"),
-        F.coalesce(z, F.lit(0.0)).alias("z"),
-    ).withColumn("p", normal_two_sided("z"))
+        F.coalesce(z, F.lit(0.0)).alias("z"), signed_rank_p("_ranks", "w_plus").alias("p_exact"),
+        F.when(exact, F.lit("exact")).otherwise(F.lit("normal")).alias("method"),
+    )
+    p = F.when(F.col("method") == "exact", F.col("p_exact")).otherwise(normal_two_sided("z"))
+    return told.select(*keys, "n_nonzero", "w_plus", "z", p.alias("p"), "p_exact", "method")
+
+
+# Clusters of a block meet in one task of the bootstrap; so many repetitions or draws are one row of its work list.
+BLOCK_CLUSTERS, REPETITIONS_A_ROW, DRAWS_A_ROW = 4096, 64, 1 << 22
 
 
 def cluster_bootstrap(
     pairs: DataFrame, cluster: str, block: Column, repetitions: int = 10000, seed: int = 42,
-    confidence: float = 0.95, difference: str = "difference", keys=(),
+    confidence: float = 0.95, difference: str = "difference", keys=(), width: int = BLOCK_CLUSTERS,
 ) -> DataFrame:
     """Mean difference and its percentile interval over clusters, for each key.
 
     Each repetition draws as many clusters as there are, with replacement, and
-    pools all their differences. Draws are md5-indexed: every cluster row
-    emits its own share of each repetition, so nothing is crossed with
-    anything; sums are combined map-side, one row for each repetition remains.
-    With one row a cluster this is the plain row bootstrap.
+    pools all their differences. Draws are made in two levels: first only how
+    many fall on each block of ``width`` clusters, then, inside the block, which
+    clusters they take. What moves is a number for each repetition and block on
+    the way in and a partial (sum, count) on the way out; draws never do, and
+    clusters move once. With one row a cluster this is the plain row bootstrap.
+    A key may have up to 2 ** 32 clusters.
     """
     keys = list(keys)
     link = lambda many, one: many.join(one, keys) if keys else attach_row(many, one)
     sums = pairs.groupBy(*keys, cluster).agg(F.sum(difference).alias("_s"), F.count(difference).alias("_c"))
     placed = dense_index(sums, block, [cluster], "_i", keys)
+    placed = placed.select(*keys, F.expr(f"_i div {width}").alias("_b"), (F.col("_i") % width).alias("_in"), F.col("_s").cast("double").alias("_s"), "_c")
     total = sums.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_s").alias("_ts"), F.sum("_c").alias("_tc")
     )
-    reps = F.sequence(F.lit(0), F.lit(repetitions - 1))
-    draws = link(placed, total.select(*keys, "_n")).select(*keys, "_i", "_n", F.explode(reps).alias("_rep"))
-    drawn = draws.select(*keys, "_rep", numeric.draw_index(F.col("_n"), F.lit(seed), F.col("_rep"), F.col("_i")).alias("_i"))
-    # How often each cluster is drawn in each repetition; combined before the join.
-    times = drawn.groupBy(*keys, "_i", "_rep").agg(F.count(F.lit(1)).alias("_k"))
-    means = (
-        times.join(placed.select(*keys, "_i", "_s", "_c"), [*keys, "_i"])
-        .groupBy(*keys, "_rep")
-        .agg((F.sum(F.col("_k") * F.col("_s")) / F.sum(F.col("_k") * F.col("_c"))).alias("_mean"))
-    )
+    steps = lambda end, step: F.explode(F.sequence(F.lit(0).cast("bigint"), end, F.lit(step).cast("bigint")))
+    work = total.select(*keys, "_n", steps(F.lit(repetitions - 1).cast("bigint"), REPETITIONS_A_ROW).alias("_rep"))
+    work = work.select("*", steps(F.col("_n") - 1, DRAWS_A_ROW).alias("_first")).repartition(pairs.sparkSession.sparkContext.defaultParallelism)
+    fields = [total.schema[k] for k in keys]
+    schema = lambda *more: StructType([*fields, *[StructField(n, t) for n, t in more]])
+    repeated = lambda rows, i: [rows.column(k).take(pa.array(i)) for k in keys]
+
+    def fall(batches):
+        for rows in batches:
+            for i, (n, rep, first) in enumerate(zip(*[rows.column(c).to_pylist() for c in ("_n", "_rep", "_first")])):
+                for r in range(rep, min(rep + REPETITIONS_A_ROW, repetitions)):
+                    at = numeric.draws(n, numeric.stream(seed, r, 0), first, min(DRAWS_A_ROW, n - first))
+                    count = np.bincount((at // width).astype(np.int64))
+                    hit = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays([*repeated(rows, np.full(len(hit), i)), pa.array(hit), pa.array(np.full(len(hit), r)), pa.array(count[hit])], [*keys, "_b", "_rep", "_k"])
+
+    many = [(n, LongType()) for n in ("_b", "_rep", "_k")]
+    times = work.mapInArrow(fall, schema(*many)).groupBy(*keys, "_b", "_rep").agg(F.sum("_k").alias("_k"))
+
+    def pick(clusters, asked):
+        order = np.argsort(clusters.column("_in").to_numpy())
+        s, c = (clusters.column(n).to_numpy()[order].astype(float) for n in ("_s", "_c"))
+        b = clusters.column("_b")[0].as_py()
+        reps, k = asked.column("_rep").to_numpy(), asked.column("_k").to_numpy()
+        ss, cc = np.zeros(len(reps)), np.zeros(len(reps))
+        part = np.cumsum(k) // (1 << 20)
+        for p in np.unique(part):
+            here = np.flatnonzero(part == p)
+            kk = k[here]
+            owner = np.repeat(np.arange(len(here)), kk)
+            nth = np.arange(len(owner)) - np.repeat(np.cumsum(kk) - kk, kk)
+            at = numeric.draws(len(s), numeric.stream(seed, reps[here], b + 1)[owner], nth)
+            ss[here] = np.bincount(owner, s[at], len(here))
+            cc[here] = np.bincount(owner, c[at], len(here))
+        return pa.Table.from_arrays([*repeated(clusters, np.zeros(len(reps), int)), pa.array(reps), pa.array(ss), pa.array(cc)], [*keys, "_rep", "_s", "_c"])
+
+    drawn = placed.groupBy(*keys, "_b").cogroup(times.groupBy(*keys, "_b")).applyInArrow(pick, schema(("_rep", LongType()), ("_s", DoubleType()), ("_c", DoubleType())))
+    means = drawn.groupBy(*keys, "_rep").agg((F.sum("_s") / F.sum("_c")).alias("_mean"))
     tail = (1 - confidence) / 2
     # At most ``repetitions`` values a key, whatever the data.
     spread = means.groupBy(*keys).agg(
@@ -144,6 +229,66 @@ def cluster_bootstrap(
     )
 
 
+def matrix_gaps(pairs: DataFrame, cluster: str, arm: str) -> DataFrame:
+    """(cluster, arm, rule) where the matrix of clusters and arms lacks a cell or has it twice.
+
+    Each cluster is compared with the list of all arms, which is short; clusters are never crossed with arms in a join.
+    """
+    have = pairs.groupBy(cluster).agg(F.collect_list(arm).alias("_have"))
+    every = pairs.agg(F.collect_set(arm).alias("_all"))
+    told = attach_row(have, every).select(
+        cluster,
+        F.explode(
+            F.concat(
+                F.transform(F.array_except("_all", "_have"), lambda a: F.struct(a.alias("a"), F.lit("missing").alias("r"))),
+                F.transform(
+                    F.filter("_all", lambda a: F.size(F.filter("_have", lambda h: h == a)) > 1), lambda a: F.struct(a.alias("a"), F.lit("duplicate").alias("r"))
+                ),
+            )
+        ).alias("_g"),
+    )
+    return told.select(cluster, F.col("_g.a").alias(arm), F.col("_g.r").alias("rule"))
+
+
+def pooled_bootstrap(pairs: DataFrame, cluster: str, arm: str, block: Column, clusters: int | None = None, **how) -> DataFrame:
+    """`cluster_bootstrap` over all arms at once; a matrix that is not complete is refused.
+
+    Every cluster must have one difference in every arm, and, where ``clusters`` says how many there must be, none may lack.
+    """
+    require_empty(matrix_gaps(pairs, cluster, arm), PairingError, "pooled matrix")
+    if clusters is not None:
+        n = pairs.select(cluster).distinct().count()
+        if n != clusters:
+            raise PairingError(f"pooled matrix: {n} clusters where {clusters} are due")
+    return cluster_bootstrap(pairs, cluster, block, **how)
+
+
+def comparison_table(pairs: DataFrame, arm: str, cluster: str, block: Column, treatment: str, repetitions: int = 10000, expected: int | None = None) -> DataFrame:
+    """One row for each ``arm`` of paired differences: means, median, interval, counts, p, and p adjusted over all arms.
+
+    ``expected`` is the number of pairs that each arm must have; another number is refused.
+    """
+    if expected is not None:
+        short = pairs.groupBy(arm).agg(F.count(F.lit(1)).alias("n_pairs")).filter(F.col("n_pairs") != expected)
+        require_empty(short, PairingError, f"complete pairs of {treatment}")
+    d = F.round("difference", 12)
+    plain = pairs.groupBy(arm).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("raw").alias("raw_mean"), F.avg("treated").alias("treatment_mean"),
+        F.avg("difference").alias("mean_delta"), F.count_if(d > 0).alias("improved"), F.count_if(d == 0).alias("tied"), F.count_if(d < 0).alias("worse"),
+    )
+    median = exact_percentiles(pairs, [arm], "difference", {"median_delta": linear(0.5)})
+    interval = cluster_bootstrap(pairs, cluster, block, repetitions=repetitions, keys=[arm]).select(arm, "ci_low", "ci_high")
+    tests = wilcoxon(pairs, [arm]).select(arm, "p").withColumn("multiplicity_family", F.lit(treatment))
+    adjusted = holm(tests, ["multiplicity_family"], arm).withColumn("multiplicity_family_size", F.count(F.lit(1)).over(Window.partitionBy("multiplicity_family")))
+    return (
+        plain.join(median, arm).join(interval, arm).join(adjusted, arm).withColumnsRenamed({"p": "wilcoxon_p", "p_holm": "holm_p"})
+        .select(
+            arm, F.lit(treatment).alias("treatment"), "n_pairs", "raw_mean", "treatment_mean", "mean_delta", "median_delta", "ci_low", "ci_high",
+            "improved", "tied", "worse", "wilcoxon_p", "holm_p", "multiplicity_family", "multiplicity_family_size",
+        )
+    )
+
+
 def missing_and_extra(cells: DataFrame, keys, expected: DataFrame, metric: str) -> DataFrame:
     """(rule, keys) of every breach of a complete grid: missing, extra,
     duplicate, or not a finite number."""

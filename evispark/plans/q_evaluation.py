@@ -15,7 +15,7 @@ from evispark.plans import corpus, sql
 from evispark.plans.q_retrieval import arm_adjacent, arm_bm25, arm_dense, arm_native
 from evispark.plans.registry import query
 from evispark.plans.sql import compose, cte
-from evispark.session import broadcast_if, fits_broadcast, spread
+from evispark.session import broadcast_if, fits_broadcast, settle, spread
 
 
 def with_text(spark, sf, hits):
@@ -551,20 +551,48 @@ def paired_comparison(spark, sf):
         F.count_if(d < 0).alias("losses"),
     )
     median = ranking.exact_percentiles(p, ["flow"], "difference", {"median_delta": linear(0.5)})
-    w = stats.wilcoxon(p, ["flow"]).drop("p")
+    w = stats.wilcoxon(p, ["flow"]).select("flow", "n_nonzero", "w_plus", "z")
     return rounded(
         plain.join(median, "flow").join(w, "flow"), "raw_mean", "treated_mean", "mean_delta", "median_delta", "w_plus", "z"
     )
 
 
-@query("wilcoxon_p_values")
+sql.wilcoxon("wx", "flow", "pairs")
+TEST_COLS = "n_nonzero, round(w_plus, 6) AS w_plus, round(z, 6) AS z, round(p, 6) AS p, round(p_exact, 6) AS p_exact, method"
+
+
+@query(
+    "wilcoxon_p_values",
+    compose(f"SELECT flow, {TEST_COLS}, round(p_holm, 6) AS p_holm FROM ({sql.holm('SELECT *, 1 AS family FROM wx', 'family', 'flow')})", "wx"),
+)
 def wilcoxon_p_values(spark, sf):
-    """p needs erfc, which DuckDB lacks; rows-only (z is compared above)."""
     tests = stats.wilcoxon(pairs(spark, sf), ["flow"]).withColumn("family", F.lit("confirmatory"))
-    return rounded(stats.holm(tests, ["family"], "flow").drop("family"), "w_plus", "z", "p", "p_holm")
+    return rounded(stats.holm(tests, ["family"], "flow").drop("family"), "w_plus", "z", "p", "p_exact", "p_holm")
+
+
+cte(
+    "latency_pairs", ("trials",),
+    """SELECT r.qid, r.flow, t.latency - r.latency AS difference FROM (SELECT flow, qid, avg(latency) AS latency FROM trials WHERE arm = 'raw' GROUP BY ALL) r
+    JOIN (SELECT flow, qid, avg(latency) AS latency FROM trials WHERE arm = 'treated' GROUP BY ALL) t USING (flow, qid)""",
+)
+sql.wilcoxon("wx_question", "qid", "latency_pairs")
+
 
+@query("wilcoxon_by_question", compose(f"SELECT qid, {TEST_COLS} FROM wx_question", "wx_question"))
+def wilcoxon_by_question(spark, sf):
+    """Latencies of the two arms over the flows of each question: small groups, exact p."""
+    mean = trials(spark, sf).groupBy("flow", "qid", "arm").agg(F.avg("latency").alias("latency"))
+    p = stats.paired(mean, ["flow", "qid"], "arm", "raw", "treated", "latency")
+    return rounded(stats.wilcoxon(p, ["qid"]), "w_plus", "z", "p", "p_exact")
 
-BOOT = 200
+
+BOOT = 10000
+DRAWN = {"cl": (("pairs",), "SELECT row_number() OVER (ORDER BY qid) - 1 AS i, qid, sum(difference) AS s, count(*) AS n FROM pairs GROUP BY qid")}
+DRAWN_BY_FLOW = {
+    "cl_flow": (("pairs",), "SELECT flow, row_number() OVER (PARTITION BY flow ORDER BY qid) - 1 AS i, qid, sum(difference) AS s, count(*) AS n FROM pairs GROUP BY flow, qid"),
+    "ci_flow": (("cl_flow",), f"SELECT flow, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM ({sql.drawn('cl_flow', ('flow',), BOOT, 42, stats.BLOCK_CLUSTERS)}) GROUP BY flow"),
+}
+CI_COLS = ("mean_difference", "ci_low", "ci_high")
 
 
 @query(
@@ -573,36 +601,84 @@ BOOT = 200
         f"""SELECT (SELECT count(*) FROM cl) AS n_clusters, (SELECT count(difference) FROM pairs) AS n_differences,
         round((SELECT sum(difference) / count(*) FROM pairs), 6) AS mean_difference,
         round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
-        FROM (SELECT r.rep, sum(c.s) / sum(c.n) AS m FROM (SELECT rep, {sql.draw('(SELECT count(*) FROM cl)', '42', 'rep', 'i')} AS i
-           FROM cl, generate_series(0, {BOOT - 1}) t(rep)) r JOIN cl c ON c.i = r.i GROUP BY r.rep)""",
-        "cl",
-        extra={"cl": (("pairs",), "SELECT row_number() OVER (ORDER BY qid) - 1 AS i, qid, sum(difference) AS s, count(*) AS n FROM pairs GROUP BY qid")},
+        FROM ({sql.drawn('cl', (), BOOT, 42, stats.BLOCK_CLUSTERS)})""",
+        "cl", extra=DRAWN,
     ),
 )
 def cluster_bootstrap(spark, sf):
     block = F.floor(F.col("qid") / corpus.BLOCK)
-    b = stats.cluster_bootstrap(pairs(spark, sf), "qid", block, repetitions=BOOT)
-    return rounded(b, "mean_difference", "ci_low", "ci_high")
+    return rounded(stats.cluster_bootstrap(pairs(spark, sf), "qid", block, repetitions=BOOT), *CI_COLS)
 
 
 @query(
     "bootstrap_by_flow",
     compose(
-        f"""SELECT c0.flow, any_value(c0.nc) AS n_clusters, any_value(c0.nd)::BIGINT AS n_differences, round(any_value(c0.md), 6) AS mean_difference,
-        round(quantile_cont(x.m, 0.025), 6) AS ci_low, round(quantile_cont(x.m, 0.975), 6) AS ci_high
-        FROM (SELECT flow, count(*) AS nc, sum(n) AS nd, sum(s) / sum(n) AS md FROM cl GROUP BY flow) c0 JOIN (
-          SELECT r.flow, r.rep, sum(c.s) / sum(c.n) AS m FROM (SELECT cl.flow, rep, {sql.draw('z.nc', '42', 'rep', 'cl.i')} AS i
-            FROM cl JOIN (SELECT flow, count(*) AS nc FROM cl GROUP BY flow) z ON z.flow = cl.flow, generate_series(0, {BOOT - 1}) t(rep)) r
-          JOIN cl c ON c.flow = r.flow AND c.i = r.i GROUP BY r.flow, r.rep) x ON x.flow = c0.flow GROUP BY c0.flow""",
-        "cl",
-        extra={"cl": (("pairs",), "SELECT flow, row_number() OVER (PARTITION BY flow ORDER BY qid) - 1 AS i, qid, sum(difference) AS s, count(*) AS n FROM pairs GROUP BY flow, qid")},
+        """SELECT flow, count(*) AS n_clusters, sum(n)::BIGINT AS n_differences, round(sum(s) / sum(n), 6) AS mean_difference,
+        round(any_value(ci_low), 6) AS ci_low, round(any_value(ci_high), 6) AS ci_high FROM cl_flow JOIN ci_flow USING (flow) GROUP BY flow""",
+        "cl_flow", "ci_flow", extra=DRAWN_BY_FLOW,
     ),
 )
 def bootstrap_by_flow(spark, sf):
     """Row bootstrap of every flow: one difference a question."""
     block = F.floor(F.col("qid") / corpus.BLOCK)
-    b = stats.cluster_bootstrap(pairs(spark, sf), "qid", block, repetitions=BOOT, keys=["flow"])
-    return rounded(b, "mean_difference", "ci_low", "ci_high")
+    return rounded(stats.cluster_bootstrap(pairs(spark, sf), "qid", block, repetitions=BOOT, keys=["flow"]), *CI_COLS)
+
+
+@query(
+    "comparison_table",
+    compose(
+        f"""SELECT flow, 'treated' AS treatment, n_pairs, round(raw_mean, 6) AS raw_mean, round(treatment_mean, 6) AS treatment_mean,
+        round(mean_delta, 6) AS mean_delta, round(median_delta, 6) AS median_delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
+        improved, tied, worse, round(p, 6) AS wilcoxon_p, round(p_holm, 6) AS holm_p, family AS multiplicity_family, m AS multiplicity_family_size
+        FROM (SELECT flow, count(*) AS n_pairs, avg(raw) AS raw_mean, avg(treated) AS treatment_mean, avg(difference) AS mean_delta,
+            quantile_cont(difference, 0.5) AS median_delta, count(*) FILTER (round(difference, 12) > 0) AS improved,
+            count(*) FILTER (round(difference, 12) = 0) AS tied, count(*) FILTER (round(difference, 12) < 0) AS worse FROM pairs GROUP BY flow)
+        JOIN ci_flow USING (flow) JOIN ({sql.holm("SELECT flow, p, 'treated' AS family FROM wx", 'family', 'flow')}) USING (flow)""",
+        "pairs", "ci_flow", "wx", extra=DRAWN_BY_FLOW,
+    ),
+)
+def comparison_table(spark, sf):
+    """Every flow's paired comparison with its interval, exact or normal p, and the p adjusted within the treatment's family."""
+    block = F.floor(F.col("qid") / corpus.BLOCK)
+    table = stats.comparison_table(pairs(spark, sf), "flow", "qid", block, "treated", repetitions=BOOT)
+    return rounded(table, "raw_mean", "treatment_mean", "mean_delta", "median_delta", "ci_low", "ci_high", "wilcoxon_p", "holm_p")
+
+
+cte(
+    "whole_pairs", ("pairs",),
+    "SELECT * FROM pairs WHERE qid IN (SELECT qid FROM pairs GROUP BY qid HAVING count(*) = (SELECT count(DISTINCT flow) FROM pairs))",
+)
+
+
+@query(
+    "pooled_cluster_interval",
+    compose(
+        f"""SELECT (SELECT count(*) FROM cl_whole) AS n_clusters, (SELECT count(difference) FROM whole_pairs) AS n_differences,
+        round((SELECT sum(difference) / count(*) FROM whole_pairs), 6) AS mean_difference,
+        round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
+        FROM ({sql.drawn('cl_whole', (), BOOT, 42, stats.BLOCK_CLUSTERS)})""",
+        "cl_whole", "whole_pairs",
+        extra={"cl_whole": (("whole_pairs",), "SELECT row_number() OVER (ORDER BY qid) - 1 AS i, qid, sum(difference) AS s, count(*) AS n FROM whole_pairs GROUP BY qid")},
+    ),
+)
+def pooled_cluster_interval(spark, sf):
+    """All flows pooled over the questions that every flow has answered twice."""
+    p = pairs(spark, sf)
+    flows = p.agg(F.count_distinct("flow").alias("flows"))
+    whole = ranking.attach_row(p.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), flows).filter("n = flows").select("qid")
+    kept = settle(p.join(whole, "qid"))
+    block = F.floor(F.col("qid") / corpus.BLOCK)
+    return rounded(stats.pooled_bootstrap(kept, "qid", "flow", block, repetitions=BOOT), *CI_COLS)
+
+
+@query(
+    "pooled_matrix_gaps",
+    compose("SELECT q.qid, f.flow, 'missing' AS rule FROM (SELECT DISTINCT qid FROM pairs) q, (SELECT DISTINCT flow FROM pairs) f "
+            "WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.qid = q.qid AND p.flow = f.flow)", "pairs"),
+)
+def pooled_matrix_gaps(spark, sf):
+    """What keeps the pooled matrix from being complete."""
+    return stats.matrix_gaps(pairs(spark, sf), "qid", "flow")
 
 
 @query(

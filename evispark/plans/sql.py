@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evispark.functions import numeric
 from evispark.functions import text as T
 
 
@@ -138,6 +139,80 @@ def draw(n: str, *key: str) -> str:
     return f"(('0x' || substr(md5({parts}), 1, 8))::BIGINT % {n})"
 
 
+def mix32(rows: str, keep: str) -> str:
+    """Rows (keep, h) with h, a number below 2 ** 32, mixed."""
+    word = "4294967296::UBIGINT"
+    once = f"SELECT {keep}, (xor(h, h >> 16) * {numeric.MIX_1}::UBIGINT) % {word} AS h FROM ({rows})"
+    twice = f"SELECT {keep}, (xor(h, h >> 13) * {numeric.MIX_2}::UBIGINT) % {word} AS h FROM ({once})"
+    return f"SELECT {keep}, xor(h, h >> 16) AS h FROM ({twice})"
+
+
+def drawn(clusters: str, keys: tuple[str, ...], repetitions: int, seed: int, width: int) -> str:
+    """(keys, rep, m): mean of each repetition over CTE ``clusters`` (keys, i, s, n), drawn in two levels."""
+    k = "".join(f"{c}, " for c in keys)
+    by = lambda a, b: " AND ".join(["TRUE", *[f"{a}.{c} = {b}.{c}" for c in keys]])
+    step = f"{numeric.STRIDE}::UBIGINT"
+    begin = lambda rows, keep: mix32(
+        f"SELECT {keep}, xor(h, part) AS h FROM ({mix32(f'SELECT {keep}, ({seed}::UBIGINT + rep::UBIGINT * {step}) % 4294967296::UBIGINT AS h FROM ({rows})', keep)})", keep
+    )
+    spread = lambda rows, keep, most: mix32(f"SELECT {keep}, (h + j::UBIGINT * {step}) % 4294967296::UBIGINT AS h FROM (SELECT *, unnest(range({most})) AS j FROM ({rows}))", keep)
+    sizes = f"SELECT {k}count(*) AS size FROM {clusters}" + (f" GROUP BY {k[:-2]}" if keys else "")
+    blocks = f"SELECT {k}i // {width} AS b, count(*) AS size FROM {clusters} GROUP BY ALL"
+    level1 = begin(f"SELECT {k}size, rep, 0::UBIGINT AS part FROM ({sizes}), generate_series(0, {repetitions - 1}) t(rep)", f"{k}size, rep, part")
+    fell = f"SELECT {k}rep, ((h * size::UBIGINT) >> 32)::BIGINT // {width} AS b, count(*) AS hits FROM ({spread(level1, f'{k}size, rep', 'size')}) GROUP BY ALL"
+    asked = f"SELECT f.*, z.size, (f.b + 1)::UBIGINT AS part FROM ({fell}) f JOIN ({blocks}) z ON z.b = f.b AND {by('f', 'z')}"
+    level2 = begin(asked, f"{k}size, rep, b, hits, part")
+    taken = f"SELECT {k}rep, b * {width} + ((h * size::UBIGINT) >> 32)::BIGINT AS i FROM ({spread(level2, f'{k}size, rep, b', 'hits')})"
+    return f"SELECT {''.join(f't.{c}, ' for c in keys)}t.rep, sum(c.s) / sum(c.n) AS m FROM ({taken}) t JOIN {clusters} c ON c.i = t.i AND {by('t', 'c')} GROUP BY ALL"
+
+
+def normal_p(z: str) -> str:
+    """Two-sided tail of the normal distribution: one minus the error function, by its series of positive terms."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    terms = f"list_sum(list_transform(range(0, 400), lambda i: exp(2 * i * ln(2.0::DOUBLE) + lgamma(i + 1) - lgamma(2 * i + 2) + (2 * i + 1) * ln({x}))))"
+    return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {terms}) END"
+
+
+def wilcoxon(name: str, keys: str, pairs: str) -> None:
+    """CTE ``name`` (keys, n_nonzero, w_plus, z, p, p_exact, method) of the CTE ``pairs`` (keys, difference)."""
+    same = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
+    cte(
+        f"{name}_ranks", (pairs,),
+        f"""SELECT {keys}, d, c, rk, row_number() OVER (PARTITION BY {keys} ORDER BY abs(d)) AS i, (2 * rk)::BIGINT AS r, count(*) OVER (PARTITION BY {keys}) AS n
+        FROM (SELECT {keys}, d, rank() OVER (PARTITION BY {keys} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS rk,
+          count(*) OVER (PARTITION BY {keys}, abs(d)) AS c FROM (SELECT {keys}, round(difference, 12) AS d FROM {pairs}) WHERE d <> 0)""",
+    )
+    # Numbers of sign choices for each doubled rank sum, one rank a round.
+    cte(
+        f"{name}_walk", (f"{name}_ranks",),
+        f"""SELECT {keys}, 0::BIGINT AS i, [1::BIGINT] AS ways FROM (SELECT DISTINCT {keys} FROM {name}_ranks WHERE n <= 50)
+        UNION ALL
+        SELECT {', '.join('w.' + k.strip() for k in keys.split(','))}, x.i, list_transform(range(1, len(w.ways) + x.r + 1),
+          lambda j: coalesce(w.ways[j], 0) + CASE WHEN j > x.r THEN w.ways[j - x.r] ELSE 0 END)
+        FROM {name}_walk w JOIN {name}_ranks x ON {same('w', 'x')} AND x.i = w.i + 1""",
+    )
+    cte(
+        name, (f"{name}_ranks", f"{name}_walk", pairs),
+        f"""SELECT *, CASE WHEN method = 'exact' THEN p_exact ELSE {normal_p('z')} END AS p FROM (
+          SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, coalesce(s.n_nonzero, 0) AS n_nonzero, coalesce(s.w_plus, 0.0) AS w_plus, coalesce(s.z, 0.0) AS z,
+            CASE WHEN w.ways IS NOT NULL THEN least(1.0::DOUBLE, 2 * least(list_sum(w.ways[1:(2 * s.w_plus)::BIGINT + 1]), list_sum(w.ways[(2 * s.w_plus)::BIGINT + 1:])) / list_sum(w.ways)::DOUBLE) END AS p_exact,
+            CASE WHEN s.n_nonzero <= 50 AND s.most = 1 AND a.n = s.n_nonzero THEN 'exact' ELSE 'normal' END AS method
+          FROM (SELECT {keys}, count(difference) AS n FROM {pairs} GROUP BY ALL) a
+          LEFT JOIN (SELECT {keys}, count(*) AS n_nonzero, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, max(c) AS most,
+            CASE WHEN count(*) * (count(*) + 1.0::DOUBLE) * (2 * count(*) + 1) / 24 - sum(c * c - 1) / 48.0::DOUBLE > 0 THEN
+              (sum(CASE WHEN d > 0 THEN rk ELSE 0 END) - count(*) * (count(*) + 1) / 4.0::DOUBLE)
+              / sqrt(count(*) * (count(*) + 1.0::DOUBLE) * (2 * count(*) + 1) / 24 - sum(c * c - 1) / 48.0::DOUBLE) ELSE 0.0 END AS z
+            FROM {name}_ranks GROUP BY {keys}) s ON {same('a', 's')}
+          LEFT JOIN {name}_walk w ON {same('a', 'w')} AND w.i = s.n_nonzero)""",
+    )
+
+
+def holm(tests: str, family: str, label: str) -> str:
+    """``tests`` with p_holm, stepping down within each family."""
+    return f"""SELECT *, max(least(1.0::DOUBLE, (m - rn + 1) * p)) OVER (PARTITION BY {family} ORDER BY rn) AS p_holm FROM (
+      SELECT *, count(*) OVER (PARTITION BY {family}) AS m, row_number() OVER (PARTITION BY {family} ORDER BY round(p, 12), {label}) AS rn FROM ({tests}))"""
+
+
 def hashed(name: str, src: str, ident: str) -> None:
     cte(
         name, (src,),
