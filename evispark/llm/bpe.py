@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evispark.llm.common import KEPT_CHARS
+
 UNIT = r"\s*\S+|\s+"
 # Fixed value: the word pattern of this family of vocabularies.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,7 +166,7 @@ class TrieEncoder:
         known.batch = {u: b"".join([ids[w] if isinstance(w, bytes) else np.array([w], dtype="<u4").tobytes() for w in ws]) for u, ws in new.items()}
         room = self.memory - len(known)
         if room > 0:  # words met early are the common ones; no word is put out again
-            known.update(itertools.islice(known.batch.items(), room))
+            known.update(itertools.islice(((u, x) for u, x in known.batch.items() if len(u) <= KEPT_CHARS), room))
         get = known.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 

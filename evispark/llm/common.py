@@ -80,6 +80,20 @@ def tokenizer(path: str):
     return t
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, or where ``df`` has a column of that name, the name with as many underscores behind it as it takes."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+# Longer units between blanks are not kept from batch to batch, so a number of units bounds the bytes that are kept.
+KEPT_CHARS = 64
+
 # Blank to Python's str methods, but not to the tokenizers library.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
@@ -87,8 +101,8 @@ ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 class UnitEncoder:
     """The tokenizers library for vocabularies that drop blanks, asked once for each distinct unit between blanks.
 
-    Encodings of the first ``memory`` units met are kept for good, those of
-    others for the batch at hand, so memory is bounded.
+    Encodings of the first ``memory`` units of at most ``KEPT_CHARS`` characters
+    are kept for good, those of others for the batch at hand, so memory is bounded.
     """
 
     def __init__(self, path: str, memory: int = 400_000):
@@ -102,10 +116,9 @@ class UnitEncoder:
         known = self.known
         new = list({u for units in cut for u in units if u not in known})
         fresh = dict(zip(new, self.ask(new), strict=True))
-        room = self.memory - len(known)
-        known.update(itertools.islice(fresh.items(), max(room, 0)))
-        both = known | fresh if len(fresh) > room else known
-        get = both.__getitem__
+        known.update(itertools.islice(((u, x) for u, x in fresh.items() if len(u) <= KEPT_CHARS), max(self.memory - len(known), 0)))
+        rest = {u: x for u, x in fresh.items() if u not in known}
+        get = (known | rest if rest else known).__getitem__
         return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in cut]
 
 
@@ -151,34 +164,73 @@ def encode_texts(texts, path: str, step_chars: int = 4 << 20):
         yield from flush()
 
 
+# From so many blanks in a row on, the faster encoder's pattern runs out of stack; such texts go to the library.
+BLANK_RUN = 2000
+
+
+def ranks_say_merges(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> bool:
+    """Whether merging the pair with the lowest rank first is the same as merging in the order of ``merges``.
+
+    It is, if the tokens of the merges have rising ranks and each token's bytes, merged with the tokens of lower rank
+    only, end up as just the two parts its merge has: then no other pair can ever become that token.
+    """
+    order = [ranks.get(a + b, -1) for a, b in merges]
+    if order != sorted(set(order)) or order[:1] == [-1]:
+        return False
+    for (a, b), top in zip(merges, order, strict=True):
+        parts = [bytes([x]) for x in a + b]
+        while len(parts) > 2:
+            found = [(ranks.get(x + y, top), i) for i, (x, y) in enumerate(itertools.pairwise(parts))]
+            rank, i = min(found)
+            if rank >= top:
+                return False
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [a, b]:
+            return False
+    return True
+
+
 @functools.lru_cache(maxsize=2)
 def fast_encoder(path: str):
     """A function from text to ids for a byte-level vocabulary of the tokenizers library, or None.
 
-    Where ids follow the order of merges and the words are cut by the usual
-    pattern, ranks say the same as merges, and tiktoken gives the same ids
-    several times faster.
+    Where the words are cut by the usual pattern and `ranks_say_merges` holds
+    for the whole table, which is checked here, tiktoken gives the same ids
+    several times faster. Texts with ``BLANK_RUN`` blanks in a row, which it
+    cannot read, go to the library, in stretches that give the same ids.
     """
     import json
+    import re
 
     import public_tokenizers
     import tiktoken
 
     from evispark.llm.bpe import byte_letters
+    from evispark.llm.tokencount import cuts, cuts_at_blanks
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec["pre_tokenizer"] or {}
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-    order = [model["vocab"].get("".join(m), -1) for m in merges]
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec["normalizer"] and not model.get("end_of_word_suffix")
-    if not plain or order != sorted(order):
+    if not plain:
         return None
     letters = byte_letters()
+    raw = lambda token: bytes(letters[c] for c in token)
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    ranks = {raw(t): i for t, i in model["vocab"].items() if t not in special}
+    merges = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if not ranks_say_merges(ranks, merges):
+        return None
     enc = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: enc.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    library, blanks, safe = tokenizer(path), re.compile(rf"\s{{{BLANK_RUN}}}"), cuts_at_blanks(path)
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= BLANK_RUN and blanks.search(text):
+            parts = cuts(text, 1 << 20) if safe else [text]
+            return np.concatenate([np.array(library.encode(x, add_special_tokens=False).ids, np.uint32) for x in parts])
+        return enc.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+
+    return encode
 
 
 def _crc_shift_table(n: int) -> list[int]:

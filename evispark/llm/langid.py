@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.llm.common import free_names
+
 UNKNOWN = "und"
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)
@@ -112,16 +114,30 @@ class Ppm:
         bits[left] += np.log2(np.maximum(256 - tree[0]["kinds"].sum(), 1))
         return bits
 
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code lengths in bits, one row a text and one column a language; each text starts from an empty context."""
+    def lengths(self, texts: list[bytes], window: int = 1 << 18) -> np.ndarray:
+        """Code lengths in bits, one row a text and one column a language; each text starts from an empty context.
+
+        Bytes are read ``window`` at a time, those before a window giving its contexts, and the code lengths of a text's
+        windows are added up. So memory besides the texts does not depend on how long they are.
+        """
         out = np.zeros((len(texts), len(self.langs)))
         sizes = np.array([len(t) for t in texts], np.int64)
         if not sizes.sum() or not self.langs:
             return out
         pad = b"\0" * self.order
         data = np.frombuffer(pad + pad.join(texts), np.uint8)
-        grams = grams_of(data, self.order)
         ends = np.cumsum(sizes + self.order)
+        for lo in range(0, len(data), window):
+            hi, back = min(lo + window, len(data)), min(lo, self.order)
+            cost = self._window_costs(grams_of(data[lo - back : hi], self.order)[back:])
+            at = np.arange(lo, hi)
+            text = np.minimum(np.searchsorted(ends, at, "right"), len(texts) - 1)
+            cost[(at < ends[text] - sizes[text]) | (at >= ends[text])] = 0
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            out[text[first]] += np.add.reduceat(cost, first, axis=0, dtype=np.float64)
+        return out
+
+    def _window_costs(self, grams: np.ndarray) -> np.ndarray:
         slot = self._home(grams)
         for _ in range(64):
             wrong = np.flatnonzero((self.slot_key[slot] != grams) & (self.slot_key[slot] != ~U(0)))
@@ -133,20 +149,19 @@ class Ppm:
         if len(new):
             kinds, back = np.unique(grams[new], return_inverse=True)
             cost[new] = np.stack([self._costs(t, kinds) for t in self.trees], axis=1)[back]
-        sums = np.zeros((len(data) + 1, len(self.langs)))
-        np.cumsum(cost, axis=0, dtype=np.float64, out=sums[1:])
-        return sums[ends] - sums[ends - sizes]
-
-    def steps(self, sizes: list[int]):
-        """(begin, end) of runs of texts that fit the memory of one pass."""
-        most, at = (12 << 20) // max(4, len(self.langs)), 0
-        while at < len(sizes):
-            end, size = at, 0
-            while end < len(sizes) and (size < most or end == at):
-                size += sizes[end]
-                end += 1
-            yield at, end
-            at = end
+        return cost
+
+
+def steps(texts: list[str], most: int = 4 << 20):
+    """(begin, end) of runs of texts whose bytes are some megabytes, or one text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size < most or end == at):
+            size += 4 * len(texts[end])  # a character has at most four bytes
+            end += 1
+        yield at, end
+        at = end
 
 
 def count_grams(texts: DataFrame, order: int) -> DataFrame:
@@ -166,22 +181,28 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     return texts.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, per_lang: int = 300, max_chars: int = 20_000, order: int = 4) -> Ppm:
+def fit(labelled: DataFrame, per_lang: int = 300, text_bytes: int = 20_000, order: int = 4) -> Ppm:
     """Trees from a bounded sample of ``labelled`` (lang, text, doc_id).
 
-    The sample: for each language, the ``per_lang`` distinct texts that come
-    first by their hash, and of each the first ``max_chars`` characters. These
-    two bounds, and nothing else, limit what is learnt, so the model has a fixed
-    size. Rows with a null language or text teach nothing; no rows give a model
-    without languages.
+    The sample: for each language, the ``per_lang`` distinct whole texts that
+    come first by their hash, those of at most ``text_bytes`` bytes before all
+    longer ones; longer ones count only while all texts of the sample stay
+    within ``per_lang`` * ``text_bytes`` bytes. So a language's model has a
+    bounded size, and nothing else limits what is learnt. Rows with a null
+    language or text teach nothing; no rows give a model without languages.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64("text"))
-    # copies fall together first; narrow rows are ranked; only the chosen texts move
-    distinct = usable.groupBy("lang", "_h").agg(F.min("doc_id").alias("_id"))
-    chosen = distinct.withColumn("_r", rank).filter(F.col("_r") <= per_lang).select(F.col("lang").alias("_lang"), F.col("_h").alias("_hash"), "_id")
+    long = (F.col("_n") > text_bytes).cast("int")
+    order_by = [long, F.col("_h")]
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id", F.xxhash64("text").alias("_h"), F.octet_length("text").cast("long").alias("_n"))
+    # copies fall together first; narrow rows are ranked, within 64 parts of a language and then over these
+    distinct = usable.groupBy("lang", "_h", "_n").agg(F.min("doc_id").alias("_id")).withColumn("_part", F.pmod("_h", F.lit(64)))
+    first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
+    few = distinct.withColumn("_r", first("lang", "_part")).filter(F.col("_r") <= per_lang).withColumn("_r", first("lang")).filter(F.col("_r") <= per_lang)
+    total = F.sum("_n").over(Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+    few = few.withColumn("_total", total).filter((F.col("_n") <= text_bytes) | (F.col("_total") <= per_lang * text_bytes))
+    chosen = few.select(F.col("lang").alias("_lang"), F.col("_h").alias("_hash"), "_id")
     same = (F.col("lang") == F.col("_lang")) & (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    found = usable.join(F.broadcast(chosen), same).select("lang", "_h", F.substring("text", 1, max_chars).alias("text"))
+    found = usable.join(F.broadcast(chosen), same).select("lang", "_h", "text")  # per_lang rows a language
     sample = found.dropDuplicates(["lang", "_h"])  # rows repeated with their id
     rows = count_grams(sample.select("lang", "text"), order).toPandas()
     langs = sorted(rows["lang"].unique())
@@ -203,6 +224,7 @@ def predict(docs: DataFrame, model: Ppm) -> DataFrame:
     The language whose trees code the whole text shortest, ties by name; the
     score is its posterior under equal priors. A null text, one without letters
     or a model without languages gives ``und`` with score 0 and no code length.
+    Texts of any length are read whole, in windows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, see fit
 
@@ -211,8 +233,8 @@ def predict(docs: DataFrame, model: Ppm) -> DataFrame:
 
         ppm = shared.value
         for pdf in batches:
-            texts = [t.encode() if ok else b"" for t, ok in zip(pdf["text"], pdf["_ok"], strict=True)]
-            bits = [ppm.lengths(texts[at:end]) for at, end in ppm.steps([len(t) for t in texts])]
+            texts = [t if ok else "" for t, ok in zip(pdf["text"], pdf["_ok"], strict=True)]
+            bits = [ppm.lengths([t.encode() for t in texts[at:end]]) for at, end in steps(texts)]
             out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64")})
             known = pdf["_ok"].to_numpy(bool) & bool(ppm.langs)
             if ppm.langs:
@@ -222,7 +244,7 @@ def predict(docs: DataFrame, model: Ppm) -> DataFrame:
                 odds = np.exp2(np.maximum(least[:, None] - all_bits, -1000)).sum(axis=1)
                 out["lang_pred"] = np.where(known, np.array(ppm.langs, dtype=object)[best], UNKNOWN)
                 out["score"] = np.where(known, 1 / odds, 0.0)
-                out["bits_per_byte"] = np.where(known, least / np.maximum([len(t) for t in texts], 1), np.nan)
+                out["bits_per_byte"] = np.where(known, least / np.maximum([len(t.encode()) for t in texts], 1), np.nan)
             else:
                 out["lang_pred"], out["score"], out["bits_per_byte"] = UNKNOWN, 0.0, np.nan
             yield out
@@ -239,35 +261,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def identify(docs: DataFrame, per_lang: int = 300, max_chars: int = 20_000, order: int = 4) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 300, text_bytes: int = 20_000, order: int = 4) -> DataFrame:
     """Train on the documents that are not held out and predict all of them."""
     teach = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    out = predict(docs, fit(teach, per_lang, max_chars, order))
+    out = predict(docs, fit(teach, per_lang, text_bytes, order))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def keep_identified(docs: DataFrame, per_lang: int = 300, max_chars: int = 20_000, order: int = 4) -> DataFrame:
-    """Rows of ``docs`` that some language's trees code in fewer bits than plain bytes take.
+def keep_identified(docs: DataFrame, per_lang: int = 300, text_bytes: int = 20_000, order: int = 4) -> DataFrame:
+    """Rows of ``docs`` that some language's trees code in fewer bits than plain bytes take, with that language as ``lang``.
 
     Rejected: null texts, texts without letters, and texts that no language
-    codes below 8 bits a byte. Repeated ids are told apart by their text.
+    codes below 8 bits a byte. Repeated ids are told apart by their text; very
+    long texts are read whole, in windows; other columns may have any name.
     """
     teach = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    model = fit(teach, per_lang, max_chars, order)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size, see fit
+    model = fit(teach, per_lang, text_bytes, order)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size a language, see fit
+    (own,) = free_names(docs, "_text")
 
     def run(batches):
         import pyarrow as pa
 
         ppm = shared.value
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
-            keep = np.zeros(len(texts), bool)
+            texts = ["" if t is None else t for t in batch.column(own).to_pylist()]
+            keep, best = np.zeros(len(texts), bool), np.zeros(len(texts), int)
             if ppm.langs:
-                for at, end in ppm.steps([len(t) for t in texts]):
+                for at, end in steps(texts):
                     part = [t.encode() for t in texts[at:end]]
                     letters = np.array([any(c.isalpha() for c in t) for t in texts[at:end]], bool)
-                    keep[at:end] = letters & (ppm.lengths(part).min(axis=1) < 8.0 * np.array([len(t) for t in part]))
-            yield batch.filter(pa.array(keep)).drop_columns(["_text"])
-
-    return docs.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+                    bits = ppm.lengths(part)
+                    best[at:end] = bits.argmin(axis=1)
+                    keep[at:end] = letters & (bits.min(axis=1) < 8.0 * np.array([len(t) for t in part]))
+            at = batch.schema.get_field_index("lang")
+            told = pa.array([ppm.langs[i] if k else None for i, k in zip(best, keep, strict=True)], pa.string())
+            yield batch.set_column(at, "lang", told).filter(pa.array(keep)).drop_columns([own])
+
+    rows = docs.withColumn("lang", F.col("lang").cast("string"))
+    return rows.withColumn(own, F.col("text").cast("string")).mapInArrow(run, rows.schema)

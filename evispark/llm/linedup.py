@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evispark.llm.common import settle
+from evispark.llm.common import free_names, settle
 
 DOC = ("__doc", "__text")  # a document: its id and the hash of its text
 
@@ -116,21 +116,22 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 8, count_col: str | No
     are told apart as they are, blanks and case included; lines without words
     count in no run and stay. A text of which all goes becomes empty; a null
     text stays null; rows equal in doc_id and text are one document and are
-    treated alike. ``count_col``: lines deleted.
+    treated alike. ``count_col``: lines deleted; a column of that name in the table gives way to it.
     """
-    gone = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy(*DOC).agg(F.sort_array(F.collect_list("no")).alias("__gone"))
-    keyed = docs.withColumns({"__d": F.col("doc_id"), "__t": F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.join(gone, F.col("__d").eqNullSafe(F.col("__doc")) & (F.col("__t") == F.col("__text")), "left")
+    d, t, doc, text, cut = free_names(docs, "__d", "__t", "__doc", "__text", "__gone")
+    gone = repeated_runs(docs.select("doc_id", "text"), min_words).groupBy(*DOC).agg(F.sort_array(F.collect_list("no")).alias(cut))
+    gone = gone.withColumnsRenamed({"__doc": doc, "__text": text})
+    keyed = docs.withColumns({d: F.col("doc_id"), t: F.xxhash64(F.col("text").cast("string"))})
+    joined = keyed.join(gone, F.col(d).eqNullSafe(F.col(doc)) & (F.col(t) == F.col(text)), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
 
     def rest(x):
-        begin = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: g + 1))
-        end = F.concat(F.col("__gone"), F.array(F.size(x)))
+        begin = F.concat(F.array(F.lit(0)), F.transform(cut, lambda g: g + 1))
+        end = F.concat(F.col(cut), F.array(F.size(x)))
         return F.flatten(F.zip_with(begin, end, lambda b, e: F.slice(x, b + 1, e - b)))
 
-    kept = F.when(F.col("__gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(let(lines, rest), "\n"))
+    kept = F.when(F.col(cut).isNull(), F.col("text").cast("string")).otherwise(F.array_join(let(lines, rest), "\n"))
     out = joined.withColumn("text", kept)
     if count_col:
-        out = out.withColumn(count_col, F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        out = out.withColumn(count_col, F.when(F.col("__gone").isNull(), 0).otherwise(F.col(count_col)).cast("long"))
-    return out.drop("__d", "__t", "__doc", "__text", "__gone")
+        out = out.withColumn(count_col, F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long"))
+    return out.drop(d, t, doc, text, cut)

@@ -48,16 +48,17 @@ class Words:
 
     ``data`` is read some bytes at a time. A prefix polynomial over the letters of a stretch gives the fingerprint of
     every word in it by two look-ups; a word cut by the end of a stretch is carried over with the fingerprint of its
-    first part, so words of any length are whole and the memory besides ``data`` is bounded by a stretch and its words.
+    first part, so words of any length are whole and the memory besides ``data`` is a stretch's and some numbers a word.
+    ``kinds`` tells what each byte is.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, stretch: int = 1 << 20):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, stretch: int = 1 << 20, kinds: np.ndarray = KIND):
         self.data, parts, breaks = data, [], 0
         forward, back = _powers(BASE, stretch + 1), _powers(UNBASE, stretch + 1)
         head, head_hash, head_len = -1, U(0), 0
         for lo in range(0, len(data), stretch):
             part = data[lo : lo + stretch]
-            kind = KIND[part]
+            kind = kinds[part]
             inside = kind == WORD
             edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
             begin, end = edge[::2], edge[1::2]

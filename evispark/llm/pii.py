@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.llm.common import free_names
+
 ROUNDS = 8
 DIGITS, HEX, LOWER, UPPER = "0123456789", "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -265,7 +267,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     permuted within their format under ``key``: each value has one pseudonym,
     whatever document or notation it stands in, and no two values share one.
     What is not valid stays as it is. Null stays null; a text without values is
-    unchanged. ``count_col``: the number of values replaced (0 for null).
+    unchanged. ``count_col``: the number of values replaced (0 for null); a
+    column of that name in the table gives way to it.
     One pass, no shuffle.
     """
     text = F.col(f"`{text_col}`").cast("string")
@@ -281,7 +284,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
         return docs.withColumn(text_col, F.when(hit, let(new, put)["text"]).otherwise(text))
     # one struct, so that pseudonyms are worked out once for both columns
     none = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    both = F.explode(F.array(F.when(hit, let(new, put)).otherwise(none))).alias("__both")
+    (own,) = free_names(docs, "__both")
+    both = F.explode(F.array(F.when(hit, let(new, put)).otherwise(none))).alias(own)
     rest = [F.col(f"`{c}`") for c in docs.columns]
     out = docs.select(*rest, both)
-    return out.withColumns({text_col: F.col("__both.text"), count_col: F.col("__both.n").cast("long")}).drop("__both")
+    return out.withColumns({text_col: F.col(f"{own}.text"), count_col: F.col(f"{own}.n").cast("long")}).drop(own)

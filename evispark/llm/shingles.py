@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.common import settle
+from evispark.llm.common import free_names, settle
 from evispark.llm.components import connect, spanning_labels
+from evispark.llm.phrases import BLANK, Words
 
 U = np.uint64
 SHORT = 8  # a run of equal block keys up to this length gives all its pairs at once
@@ -24,35 +25,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(33))
 
 
-_LETTER = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_STEP = 0x9E3779B97F4A7C15 | 1
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_STEP = 0x9E3779B97F4A7C15
+# Blanks end words, and nothing ends pieces.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[32, 9, 10, 11, 12, 13]] = BLANK
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and the number of words of each text.
 
-    One pass over all bytes: a prefix polynomial gives each word's hash without
-    a loop over words. Letters A-Z count as lower case.
+    A prefix polynomial gives each word's hash without a loop over words, a
+    stretch of bytes at a time, so a very long text takes some numbers a word
+    beside its bytes. Letters A-Z count as lower case.
     """
-    joined = b" ".join(texts).lower() + b" "
-    data = np.frombuffer(joined, np.uint8)
-    blank = _BLANK[data]
-    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    ends = np.flatnonzero(blank & ~np.concatenate(([True], blank[:-1])))
-    back = pow(_STEP, -1, 1 << 64)
-    powers = np.full(len(data), back, U)
-    powers[0] = 1
-    np.multiply.accumulate(powers, out=powers)  # _STEP ** -i
-    prefix = np.concatenate((np.zeros(1, U), np.cumsum(_LETTER[data] * powers, dtype=U)))
-    forward = np.full(len(data), _STEP, U)
-    forward[0] = 1
-    np.multiply.accumulate(forward, out=forward)
-    words = mix((prefix[ends] - prefix[starts]) * forward[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], bounds))))
-    return words, counts
+    data = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+    starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    words = Words(data, starts, kinds=_KINDS)
+    return words.hash, np.bincount(words.text, minlength=len(texts))
 
 
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
@@ -397,17 +386,10 @@ def rest_edges(left: DataFrame, reps: DataFrame, texts: DataFrame, size: int = 5
     return cells.groupBy("crowd", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+def labelled(docs: DataFrame, size: int = 5, part_keys: int = 500_000) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id, c) for each row of ``docs``: `near_duplicates` with the hash of the text and a number of the component.
 
-    Documents link when 100 * intersection >= 75 * union of their sets of
-    ``size``-word shingles; ``component_id`` is the smallest doc_id reachable.
-    Equal sets form one class, whose smallest doc_id stands for all copies.
-    Classes that agree on a block of their parity sketches are candidates:
-    every linked pair does, as it differs in fewer shingles than there are
-    blocks. Empty sets (null text, no words) link with nothing. Rows with a null
-    doc_id get their count but link with nothing. Rows that repeat a doc_id are
-    documents of their own under one id. No rows give no rows.
+    Components that share an id, as their smallest rows do, have numbers of their own; rows that link with nothing have none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     info = settle(summarise(rows, size))
@@ -429,9 +411,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) ->
     # classes are numbered by hash; a component is named by its smallest doc_id
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc_id", F.coalesce("component", "rep").alias("c"))
     names = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(names, "c").select("rep", "component_id")
+    by_class = named.join(names, "c").select("rep", "component_id", "c")
     salted = info.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(32)))
     wide = salted.select("rep", "_s").distinct().join(by_class, "rep")
     out = salted.join(wide, ["rep", "_s"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "h", "n_shingles", own.alias("component_id"), "c")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, part_keys: int = 500_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
+
+    Documents link when 100 * intersection >= 75 * union of their sets of
+    ``size``-word shingles; ``component_id`` is the smallest doc_id reachable.
+    Equal sets form one class, whose smallest doc_id stands for all copies.
+    Classes that agree on a block of their parity sketches are candidates:
+    every linked pair does, as it differs in fewer shingles than there are
+    blocks. Empty sets (null text, no words) link with nothing. Rows with a null
+    doc_id get their count but link with nothing. Rows that repeat a doc_id are
+    documents of their own under one id. Very long texts are read whole, a
+    stretch at a time. No rows give no rows.
+    """
+    return labelled(docs, size, part_keys).drop("h", "c")
+
+
+def keep_first(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the one with the smallest doc_id, then the smallest hash of its text.
+
+    Rows are told apart by id and text, so of two different texts under one id
+    each has its own fate, and of equal rows one stays. Rows that link with
+    nothing (null ids, empty sets) all stay. Only the keys of rows that go, or
+    that are there more than once, meet the documents.
+    """
+    found = labelled(docs.select("doc_id", "text"), size).filter("doc_id is not null and c is not null")
+    keys = found.groupBy("doc_id", "h", "c").agg(F.count(F.lit(1)).alias("n"))
+    best = keys.groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("b"))
+    gone = F.struct("doc_id", "h") != F.col("b")
+    i, h, out = free_names(docs, "_id", "_hash", "_gone")
+    fate = keys.join(best, "c").select(F.col("doc_id").alias(i), F.col("h").alias(h), gone.alias(out), "n").filter(F.col(out) | (F.col("n") > 1)).drop("n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col(h))
+    kept = docs.join(settle(fate), same, "left").filter(~F.coalesce(F.col(out), F.lit(False)))
+    # rows met here without a fate of their own are there once; the others are few
+    once, more = kept.filter(F.col(out).isNull()), kept.filter(F.col(out).isNotNull())
+    return once.unionByName(more.dropDuplicates([i, h])).drop(i, h, out)

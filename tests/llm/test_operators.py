@@ -113,9 +113,42 @@ def test_language_sample_is_of_distinct_texts(spark):
     got = langid.fit(spark.createDataFrame(rows, ddl), per_lang=3)
     want = langid.fit(spark.createDataFrame([(i, "aa", t) for i, t in enumerate(texts[:3])], ddl))
     assert np.array_equal(got.lengths(asked), want.lengths(asked))
-    long = langid.fit(spark.createDataFrame([(1, "bb", "ab é" * 20)], ddl), max_chars=7)
-    want = langid.fit(spark.createDataFrame([(1, "bb", "ab éab ")], ddl))
-    assert long.langs == ["bb"] and np.array_equal(long.lengths(asked), want.lengths(asked))
+    # whole texts only: short ones first, long ones while all stay within the bound
+    bound = [(1, "bb", "ab é"), (2, "bb", "long " * 9), (3, "bb", "longer " * 9)]
+    got = langid.fit(spark.createDataFrame(bound, ddl), per_lang=2, text_bytes=30)
+    first = spark.createDataFrame(bound[1:], ddl).orderBy(F.xxhash64("text")).first()
+    want = langid.fit(spark.createDataFrame([bound[0], tuple(first)] if len(first["text"]) + 5 <= 60 else bound[:1], ddl))
+    assert got.langs == ["bb"] and np.array_equal(got.lengths(asked), want.lengths(asked))
+
+
+def test_code_lengths_do_not_depend_on_windows(spark):
+    table = spark.createDataFrame([(1, "aa", "the cat sat on the mat"), (2, "bb", "der hund und die katze")], "doc_id long, lang string, text string")
+    model = langid.fit(table)
+    texts = [b"the cat", b"", b"d" * 50, "die Mütze und".encode() * 9, b"x"]
+    one = model.lengths(texts)
+    for window in (1, 5, 64, 200):
+        assert model.lengths(texts, window) == pytest.approx(one)
+
+
+def test_long_text_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np\n"
+        "from evispark.llm import langid, shingles\n"
+        "g = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 1000).astype(np.uint64))\n"
+        "by = [[(np.unique(g & np.uint64((1 << 8 * (k + 1)) - 1)),) for k in range(5)] for _ in range(4)]\n"
+        "m = langid.Ppm(list('abcd'), 4, [[(u, np.ones(len(u), np.int64)) for (u,) in x] for x in by])\n"
+        "text = b'some words of text ' * 1_600_000\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "m.lengths([text])\n"
+        "middle = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "shingles.shingle_sets([text])\n"
+        "print((middle - before) // 1024, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[0]) < 200 and int(out[1]) < 900  # MB over the text of 30 MB; whole-text arrays took 3,000 and 1,200
 
 
 def test_language_of_edge_cases(spark, docs, empty):
@@ -371,6 +404,75 @@ def test_best_fit_and_bounds():
             assert bound <= best
 
 
+def test_ids_of_long_blank_runs_come_from_the_library():
+    from evispark.llm.common import encode_texts, tokenizer
+
+    texts = ["a" + " " * 5_000_000 + "b", "\n" * 1_000_000 + "x", (" " * 1999 + "y") * 3, " \n\t" * 2000 + "é z", "<|endoftext|>" + " " * 3000]
+    got = list(encode_texts(texts, BYTE))
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == tokenizer(BYTE).encode(text, add_special_tokens=False).ids
+
+
+def test_ranks_stand_for_merges_only_where_they_must():
+    from evispark.llm.common import ranks_say_merges
+
+    letters = {bytes([x]): i for i, x in enumerate(b"abc")}
+    good = [(b"a", b"b"), (b"ab", b"c")]
+    assert ranks_say_merges(letters | {b"ab": 3, b"abc": 4}, good)
+    assert not ranks_say_merges(letters | {b"ab": 4, b"abc": 3}, good)  # ranks fall
+    # 'bc' comes before 'ab', so 'abc' would be made of other parts
+    assert not ranks_say_merges(letters | {b"bc": 3, b"ab": 4, b"abc": 5}, [(b"b", b"c"), (b"a", b"b"), (b"ab", b"c")])
+    assert not ranks_say_merges(letters, good)
+
+
+def test_kept_encodings_are_bounded_in_bytes():
+    from evispark.llm.common import KEPT_CHARS, unit_encoder
+
+    long = "x" * 100_000
+    enc = bpe.TrieEncoder(BYTE)
+    units = unit_encoder(WORD)
+    for _ in range(2):
+        assert enc.decode(enc.encode([long + " short"])[0]) == long + " short"
+        assert len(units.encode([long + " short"])[0]) > 1
+    assert all(len(u) <= KEPT_CHARS for u in enc.known) and all(len(u) <= KEPT_CHARS for u in units.known)
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark):
+    rng = random.Random(1)
+    a, b, c = (words(rng, 60, 5000) for _ in range(3))
+    rows = [(1, a, "first"), (2, a, "second"), (2, b, "third"), (1, c, "x"), (1, a, "again"), (9, None, "n"), (9, None, "n"), (None, a, "null id"), (5, "", "e"), (3, "only", "w"), (3, "only", "w"), (4, a + " tail", "near")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string").repartition(3)
+    kept = sorted((tuple(r) for r in shingles.keep_first(df).collect()), key=repr)
+    others = [r for r in kept if r[1] != a or r[0] is None]
+    assert others == sorted([(2, b, "third"), (1, c, "x"), (9, None, "n"), (9, None, "n"), (None, a, "null id"), (5, "", "e"), (3, "only", "w")], key=repr)
+    assert len([r for r in kept if r[1] == a and r[0] == 1]) == 1 and len(kept) == len(others) + 1
+    assert shingles.keep_first(df).columns == df.columns
+
+
+def test_components_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 20)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 120) if i % 41] + [(1000, 1000 + k) for k in range(1, 60)] + [(rng.randrange(2000, 2050), rng.randrange(2000, 2050)) for _ in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    got = {r["node"]: r["component"] for r in components.connect(df).collect()}
+    want = {}
+    for x, y in edges * 60:
+        if x != y:
+            low = min(want.get(x, x), want.get(y, y))
+            want[x] = want[y] = low
+    assert got == want
+    assert components.connect(df.limit(0)).count() == 0
+
+
+def test_columns_of_the_table_keep_their_names(spark):
+    text = "call 4111111111111111 now"
+    df = spark.createDataFrame([(1, text, "aa", 7, "x", "y", "z")], "doc_id long, text string, lang string, __both long, _text string, __doc string, __gone string")
+    for out in (langid.keep_identified(df), pii.pseudonymise(df, "k"), linedup.drop_repeated_lines(df)):
+        assert out.columns == df.columns and tuple(out.first())[3:] == (7, "x", "y", "z")
+    counted = pii.pseudonymise(df, "k", count_col="n")
+    assert counted.columns == [*df.columns, "n"] and counted.first()["n"] == 1 and counted.first()["__both"] == 7
+
+
 def test_packing(docs, empty, rows):
     from tokenizers import Tokenizer
 
