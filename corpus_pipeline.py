@@ -19,7 +19,7 @@ def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; others (null, no letters, no language fits) go."""
+    """Documents whose language can be told, with it as ``lang``; others (null, no letters, no language fits) go."""
     return langid.keep_identified(docs)
 
 
@@ -30,9 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id; a null doc_id stays."""
-    groups = shingles.near_duplicates(docs.select("doc_id", "text")).filter("doc_id != component_id")
-    gone = groups.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return shingles.keep_first(docs)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
