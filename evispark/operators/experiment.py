@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.errors import EvidenceError
 from evispark.operators.ranking import attach_row, dense_index, top_k
+from evispark.session import settle
 
 
 def factorial_schedule(questions: DataFrame, order: str, block: Column, flows, conditions, seed: int = 42) -> DataFrame:
@@ -145,6 +146,22 @@ def stratified_pilot(q: DataFrame, strata, per_stratum: int, seed: int = 42) ->
     return top_k(q, list(strata), [order, F.col("qid")], per_stratum)
 
 
+def _digest_levels(rows: DataFrame, keys, path: str, sha: str, levels: int) -> list[DataFrame]:
+    """Nodes (keys, _h, _d, _n, _p) of the digest tree, the lowest first and the root last."""
+    name, out = F.col(path).cast("string"), []
+    level = rows.select(*keys, F.sha2(name, 256).alias("_h"), name.alias("_p"), F.col(sha).alias("_d"), F.lit(1).cast("bigint").alias("_n"))
+    for digits in range(3 * levels, -1, -3):
+        line = F.concat("_p", F.lit("\0"), "_d", F.lit("\n"))
+        lines = F.sort_array(F.collect_list(F.struct(F.col("_p").alias("p"), line.alias("l"))))
+        level = (
+            level.groupBy(*keys, F.substring("_h", 1, digits).alias("_h"))
+            .agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["l"]), ""), 256).alias("_d"), F.sum("_n").alias("_n"))
+            .withColumn("_p", F.col("_h"))
+        )
+        out.append(level)
+    return out
+
+
 def tree_digest(rows: DataFrame, keys, path: str, sha: str, levels: int = 3) -> DataFrame:
     """(keys, n_files, digest) of an inventory, as a tree of fixed depth.
 
@@ -156,17 +173,35 @@ def tree_digest(rows: DataFrame, keys, path: str, sha: str, levels: int = 3) ->
     files of a lowest node are as evenly dealt as the hash is.
     """
     keys = list(keys)
-    name = F.col(path).cast("string")
-    level = rows.select(*keys, F.sha2(name, 256).alias("_h"), name.alias("_p"), F.col(sha).alias("_d"), F.lit(1).cast("bigint").alias("_n"))
-    for digits in range(3 * levels, -1, -3):
-        line = F.concat("_p", F.lit("\0"), "_d", F.lit("\n"))
-        lines = F.sort_array(F.collect_list(F.struct(F.col("_p").alias("p"), line.alias("l"))))
-        level = (
-            level.groupBy(*keys, F.substring("_h", 1, digits).alias("_h"))
-            .agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["l"]), ""), 256).alias("_d"), F.sum("_n").alias("_n"))
-            .withColumn("_p", F.col("_h"))
-        )
-    return level.select(*keys, F.col("_n").alias("n_files"), F.col("_d").alias("digest"))
+    root = _digest_levels(rows, keys, path, sha, levels)[-1]
+    return root.select(*keys, F.col("_n").alias("n_files"), F.col("_d").alias("digest"))
+
+
+def tree_differences(before: DataFrame, after: DataFrame, path: str = "path", sha: str = "sha256", levels: int = 2) -> DataFrame:
+    """(path, problem) of two builds, found from the root of their digest trees down.
+
+    Each inventory is read once; both trees are built from it and settled. Where two nodes have the same digest,
+    nothing below them is read again: of equal builds two roots are compared and no file. ``before`` and ``after`` are
+    inventories (path, sha256); problems are those of `inventory_mismatch`.
+    """
+    before, after = (settle(rows.select(F.col(path).cast("string").alias("path"), F.col(sha).alias("sha256"))) for rows in (before, after))
+    path, sha = "path", "sha256"
+    trees = [[settle(n.select("_h", "_d")) for n in _digest_levels(rows, [], path, sha, levels)] for rows in (before, after)]
+    differ = None
+    for depth in range(levels, -1, -1):
+        sides = [t[depth] for t in trees]
+        if differ is not None:
+            # a node's name begins with that of the node above it
+            up = differ.select(F.col("_h").alias("_up"))
+            sides = [n.join(F.broadcast(up), F.substring("_h", 1, 3 * (levels - depth - 1)) == F.col("_up"), "left_semi") for n in sides]
+        new = sides[1].select("_h", F.col("_d").alias("_e"))
+        differ = sides[0].join(new, "_h", "full_outer").filter(~F.col("_d").eqNullSafe(F.col("_e"))).select("_h")
+        if depth:
+            differ = settle(differ)  # at most 4,096 names on the level above the files' nodes
+            if differ.isEmpty():
+                return before.sparkSession.createDataFrame([], "path string, problem string")
+    node = lambda rows: rows.withColumn("_h", F.substring(F.sha2(F.col(path).cast("string"), 256), 1, 3 * levels)).join(differ, "_h", "left_semi").drop("_h")
+    return inventory_mismatch(node(before), node(after), path, sha)
 
 
 def inventory_mismatch(expected: DataFrame, actual: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:

@@ -19,8 +19,8 @@ def outline_parents(rows: DataFrame, keys, levels: int, width: int = 4096) -> Da
     return c.withColumn("parent", F.array_max(above)).drop(*last)
 
 
-def outline_paths(nodes: DataFrame, keys, levels: int) -> DataFrame:
-    """Adds depth and title_path by joining up the parents, one level a join."""
+def outline_paths(nodes: DataFrame, keys, levels: int, titles: str | None = None) -> DataFrame:
+    """Adds depth and title_path by joining up the parents, one level a join; ``titles`` keeps the path as an array too."""
     keys = list(keys)
     up = nodes.select(*keys, F.col("ord").alias("_up"), F.col("parent").alias("_next"), F.col("title").alias("_t"))
     out = nodes.withColumn("_up", F.col("parent")).withColumn("_path", F.array("title"))
@@ -28,7 +28,8 @@ def outline_paths(nodes: DataFrame, keys, levels: int) -> DataFrame:
         out = out.join(up, [*keys, "_up"], "left").withColumn(
             "_path", F.when(F.col("_t").isNotNull(), F.concat(F.array("_t"), "_path")).otherwise(F.col("_path"))
         ).drop("_up", "_t").withColumnRenamed("_next", "_up")
-    return out.withColumn("depth", F.size("_path")).withColumn("title_path", F.array_join("_path", " > ")).drop("_up", "_path")
+    out = out.withColumn("depth", F.size("_path")).withColumn("title_path", F.array_join("_path", " > ")).drop("_up")
+    return out.withColumnRenamed("_path", titles) if titles else out.drop("_path")
 
 
 def child_counts(nodes: DataFrame, keys) -> DataFrame:
@@ -70,12 +71,13 @@ def sibling_suffix(nodes: DataFrame, keys, base: str) -> DataFrame:
     stem = F.regexp_replace(F.col(base), r"(-\d+)+$", "")
 
     def name(pdf):
-        used, out = set(), []
+        used, free, out = set(), {}, []
         pdf = pdf.sort_values("ord")
         for b in pdf[base]:
-            slug, n = b, 2
+            slug, n = b, free.get(b, 2)
             while slug in used:
                 slug, n = f"{b}-{n}", n + 1
+            free[b] = n  # lower numbers are taken for good
             used.add(slug)
             out.append(slug)
         return pdf.drop(columns=["_stem"]).assign(slug=out)

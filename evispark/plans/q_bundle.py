@@ -220,6 +220,31 @@ def page_links(spark, sf):
     return p.select("page_id", "pos", "target", kind.alias("kind"))
 
 
+@query(
+    "rebuild_differences",
+    compose(
+        """SELECT path, CASE WHEN doc_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS problem FROM concepts WHERE doc_id % 101 = 7 OR doc_id % 97 = 5
+        UNION ALL SELECT 'more-' || path, 'unexpected' FROM concepts WHERE doc_id % 103 = 9""",
+        "concepts",
+    ),
+)
+def rebuild_differences(spark, sf):
+    """The bundle built twice, the second time with known changes: what differs, by comparing digest trees from the top."""
+    built = lambda: concepts(spark, sf).select("doc_id", "path", F.sha2("content", 256).alias("sha256"))
+    d = F.col("doc_id")
+    again = built().filter(d % 101 != 7).withColumn("sha256", F.when(d % 97 == 5, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    extra = built().filter(d % 103 == 9).withColumn("path", F.concat(F.lit("more-"), "path"))
+    return experiment.tree_differences(built().drop("doc_id"), again.unionByName(extra).drop("doc_id"))
+
+
+@query("rebuild_is_the_same", compose("SELECT count(*) AS files, 0 AS differences FROM concepts", "concepts"))
+def rebuild_is_the_same(spark, sf):
+    """The bundle built twice from the same tables."""
+    built = lambda: concepts(spark, sf).select("path", F.sha2("content", 256).alias("sha256"))
+    found = experiment.tree_differences(built(), built())
+    return built().agg(F.count(F.lit(1)).alias("files")).join(F.broadcast(found.agg(F.count(F.lit(1)).cast("int").alias("differences"))))
+
+
 OUTLINE = """SELECT (r_regionkey * 100) * 10000000000 AS ord, 1 AS level, r_name AS title FROM region UNION ALL
   SELECT (n_regionkey * 100 + n_nationkey + 1) * 10000000000, 2, n_name FROM nation UNION ALL
   SELECT (n_regionkey * 100 + n_nationkey + 1) * 10000000000 + c_custkey + 1, 3, c_name FROM customer JOIN nation ON n_nationkey = c_nationkey"""
