@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def let(value: Column, body) -> Column:
@@ -71,6 +72,31 @@ def matches(actual: Column, expected, actual_is_list: bool = False) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def path_value(df: DataFrame, dotted: str) -> tuple[Column | None, bool]:
+    """(value, whether it is an array) behind a dotted key through structs and maps; no value where the schema has no such key.
+
+    A map that lacks the key gives null, as a struct field that is null does.
+    """
+    first, *rest = dotted.split(".")
+    if first not in df.columns:
+        return None, False
+    at, kind = F.col(f"`{first}`"), df.schema[first].dataType
+    for part in rest:
+        if isinstance(kind, StructType) and part in kind.fieldNames():
+            at, kind = at.getField(part), kind[part].dataType
+        elif isinstance(kind, MapType):
+            at, kind = F.try_element_at(at, F.lit(part)), kind.valueType
+        else:
+            return None, False
+    return at, isinstance(kind, ArrayType)
+
+
+def path_matches(df: DataFrame, dotted: str, expected) -> Column:
+    """`matches` for the value behind a dotted key of ``df``; a missing key never matches."""
+    value, is_list = path_value(df, dotted)
+    return F.lit(False) if value is None else matches(value, expected, is_list)
+
+
 def eligible(tenant: Column, corpus, status: Column | None = None, predicates=(), include_deprecated=False) -> Column:
     """Tenant equality, not deprecated, and every metadata predicate."""
     ok = F.coalesce(tenant == corpus, F.lit(False)) if corpus is not None else F.lit(True)

@@ -80,3 +80,10 @@ def parse_judge(raw, evaluation_id, answerable, version: str = SCHEMA_VERSION) -
 def lenient_object(text: Column) -> Column:
     """VARIANT of the first ``{`` to the last ``}``, NULL if that is no JSON."""
     return F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
+
+
+def key_report(raw: Column, keys=KEYS) -> Column:
+    """Struct of the keys that a JSON object lacks (missing) and has beyond ``keys`` (extra), both sorted; null if it is no single object."""
+    names = F.when(single_object(raw).isNotNull(), F.array_distinct(F.json_object_keys(F.trim(raw))))
+    due = F.array(*[F.lit(k) for k in sorted(keys)])
+    return F.when(names.isNotNull(), F.struct(F.array_sort(F.array_except(due, names)).alias("missing"), F.array_sort(F.array_except(names, due)).alias("extra")))

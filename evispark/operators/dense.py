@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evispark.functions import arrays, numeric
-from evispark.operators.ranking import by_score, top_k
+from evispark.operators.ranking import by_score, check_limits, top_k
 from evispark.session import spread
 
 BLOCK_BYTES = 64 << 20
@@ -120,6 +120,7 @@ def _search(block, matrix, k: int):
 
 
 def _top_k(rows: DataFrame, columns, matrix, queries: DataFrame, dim: int, k: int) -> DataFrame:
+    check_limits(k)
     spark = rows.sparkSession
     limit = max(1, BLOCK_BYTES // (8 * dim))
     queries = queries.select("qid", "tenant", "idx", "val")

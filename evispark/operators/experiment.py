@@ -123,6 +123,14 @@ def superseded(cells: DataFrame, keys, questions: DataFrame, single: DataFrame |
     return gone
 
 
+def store_snapshot(rows: DataFrame, corpus: str, vector: str) -> DataFrame:
+    """(corpus, n, dimensions, without_vector): the histogram of a store and the set of its vectors' sizes, as text."""
+    sizes = F.array_sort(F.collect_set(F.when(F.col(vector).isNotNull(), F.size(vector))))
+    return rows.groupBy(corpus).agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(sizes.cast("array<string>"), ",").alias("dimensions"), F.count_if(F.col(vector).isNull()).alias("without_vector")
+    )
+
+
 def pilot_sample(q: DataFrame, n: int) -> DataFrame:
     """Deterministic pilot: the first control, then the first answerable
     question of every unused category, then the rest in order.

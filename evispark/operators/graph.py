@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import numeric
 from evispark.operators.lexical import Bm25
-from evispark.operators.ranking import by_score, previous_and_next, top_k
+from evispark.operators.ranking import by_score, check_limits, previous_and_next, top_k
 from evispark.session import broadcast_if, settle
 
 
@@ -104,6 +104,7 @@ def native_search(bm25: Bm25, edges: DataFrame, k: int, seed_k: int | None = Non
     Seeds and links hold a few rows a question and feed several joins, so both
     are settled; only the linked pairs are scored a second time.
     """
+    check_limits(k, seed_k, max_depth, decay)
     if seed_k is None:
         seed_k = k if max_depth == 0 else max(1, (k + 1) // 2)
     seeds = top_k(bm25.scores(), ["qid"], by_score(), seed_k).drop("rank")
@@ -125,8 +126,14 @@ def native_search(bm25: Bm25, edges: DataFrame, k: int, seed_k: int | None = Non
 
 
 def hybrid_search(seeds: DataFrame, edges: DataFrame, k: int, max_depth: int = 1, decay: float = 0.35,
-                  eligible: DataFrame | None = None, small: bool = False) -> DataFrame:
-    """Vector seeds keep their raw similarity, others the decayed link score."""
+                  eligible: DataFrame | None = None, small: bool = False, seed_k: int | None = None) -> DataFrame:
+    """Vector seeds keep their raw similarity, others the decayed link score.
+
+    With ``seed_k`` only the best so many seeds of a question are followed; the
+    others are results of their own, and one that a link reaches as well keeps
+    its similarity and takes the link's score, depth and seeds along.
+    """
+    check_limits(k, seed_k, max_depth, decay)
     best = seeds.groupBy("qid", "tenant", "doc_id").agg(F.max("score").alias("score"))
     if eligible is not None:
         best = best.join(eligible.select("tenant", "doc_id"), ["tenant", "doc_id"], "left_semi")
@@ -137,11 +144,22 @@ def hybrid_search(seeds: DataFrame, edges: DataFrame, k: int, max_depth: int = 1
     )
     if max_depth == 0 or decay == 0:
         return top_k(direct, ["qid"], hit_order(), k)
-    via = expand_links(best, edges, max_depth, decay, eligible, small).select(
+    from_ = best if seed_k is None else settle(top_k(best, ["qid"], by_score(), seed_k).drop("rank"))
+    via = expand_links(from_, edges, max_depth, decay, eligible, small).select(
         "qid", "tenant", "doc_id", F.col("link_score").alias("score"), F.lit(0.0).alias("vector_score"),
         "link_score", "link_depth", "seed_ids",
     )
-    return top_k(direct.unionByName(via), ["qid"], hit_order(), k)
+    if seed_k is None:
+        return top_k(direct.unionByName(via), ["qid"], hit_order(), k)
+    # A seed that is not followed may be reached by a link.
+    followed = from_.select("qid", "doc_id", F.lit(True).alias("_f"))
+    own = direct.join(followed, ["qid", "doc_id"], "left").withColumn("seed_ids", F.when(F.col("_f"), F.col("seed_ids")).otherwise(F.array().cast(direct.schema["seed_ids"].dataType))).drop("_f")
+    linked = via.select("qid", "doc_id", F.col("tenant").alias("_t"), *[F.col(c).alias(f"_{c}") for c in ("link_score", "link_depth", "seed_ids")])
+    both = own.join(linked, ["qid", "doc_id"], "full_outer").select(
+        "qid", F.coalesce("tenant", "_t").alias("tenant"), "doc_id", F.coalesce("score", "_link_score").alias("score"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"),
+        *[F.coalesce(f"_{c}", c).alias(c) for c in ("link_score", "link_depth", "seed_ids")],
+    )
+    return top_k(both, ["qid"], hit_order(), k)
 
 
 def adjacency_search(ranked: DataFrame, ordinals: DataFrame, k: int, fraction: float = 0.5, decay: float = 0.35,
@@ -151,6 +169,7 @@ def adjacency_search(ranked: DataFrame, ordinals: DataFrame, k: int, fraction: f
     ``ordinals`` is (tenant, doc_id, ordinal); a NULL ordinal has no neighbours.
     The band join is an equi-join on the two shifted ordinals.
     """
+    check_limits(k, None, 0, decay)
     seeds = ranked.filter(F.col("rank") <= numeric.seed_count(k, fraction)).select("qid", "tenant", "doc_id", "score", "rank")
     seeds = settle(seeds)
     placed = ordinals.filter("ordinal is not null")

@@ -83,6 +83,18 @@ def rubric_summary(trials: DataFrame, keys, cost: str = "cost") -> DataFrame:
     )
 
 
+def range_violations(rows: DataFrame, keys, ranges: dict[str, tuple[float, float | None]]) -> DataFrame:
+    """(rule, keys, value) of numbers outside their range: ``{"calls": (0, None), "accuracy": (1, 5)}``; nulls are no numbers and pass."""
+
+    def outside(c, low, high):
+        v = F.col(c).cast("double")
+        bad = (v < low) | F.isnan(v) | (F.lit(False) if high is None else v > high)
+        return F.when(bad, F.struct(F.lit(c).alias("rule"), v.alias("value")))
+
+    found = F.array_compact(F.array(*[outside(c, low, high) for c, (low, high) in ranges.items()]))
+    return rows.select(*keys, F.explode(found).alias("_f")).select("_f.rule", *keys, "_f.value")
+
+
 def run_judge(tasks: DataFrame, judge: Callable[[str, int], str], max_attempts: int = 3) -> DataFrame:
     """Ask ``judge(prompt, attempt)`` until the reply parses, at most ``max_attempts`` times.
 

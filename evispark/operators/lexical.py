@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import numeric, text
-from evispark.operators.ranking import by_score, top_k
+from evispark.operators.ranking import by_score, check_limits, top_k
 from evispark.session import broadcast_if, fits_broadcast, spread
 
 PLAIN = (("text", 1.0),)
@@ -132,4 +132,5 @@ def bm25_scores(docs: DataFrame, questions: DataFrame, fields=PLAIN, **options)
 
 def bm25_top_k(docs: DataFrame, questions: DataFrame, k: int = 10, **options) -> DataFrame:
     """(qid, tenant, doc_id, score, rank): top k by score, ties by id."""
+    check_limits(k)
     return top_k(bm25_scores(docs, questions, **options), ["qid"], by_score(), k)

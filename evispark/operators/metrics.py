@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import numeric
+from evispark.operators.ranking import exact_percentiles, linear
 
 
 def page_metrics(hits: DataFrame, questions: DataFrame, expected: DataFrame, keys=("qid",)) -> DataFrame:
@@ -103,3 +104,54 @@ def link_mechanism(packed: DataFrame, questions: DataFrame, expected: DataFrame,
     return _measured(packed, questions, expected, keys).filter("retrieved > 0").select(
         *keys, F.col("retrieved").alias("packed"), F.col("linked").alias("traversed"), "pages_only_by_links"
     )
+
+
+def hits_ndcg(hits: Column, expected: Column) -> Column:
+    """Binary page-nDCG of a row's stored hits, in their order.
+
+    ``hits`` is an array of structs with page_number and page_numbers, ``expected`` an array of pages. A hit gains once,
+    where it is the first to show some expected page; the ideal shows a new page at each of the first ranks.
+    """
+    pages = lambda h: F.array_distinct(F.array_compact(F.concat(F.array(h["page_number"].cast("int")), F.coalesce(h["page_numbers"].cast("array<int>"), F.array().cast("array<int>")))))
+    want = F.array_distinct(expected.cast("array<int>"))
+    indexed = F.transform(hits, lambda h, i: F.struct(pages(h).alias("p"), (i + 1).alias("rank")))
+    start = F.struct(want.alias("left"), F.lit(0.0).alias("dcg"))
+    step = lambda s, h: F.struct(
+        F.array_except(s["left"], h["p"]).alias("left"),
+        (s["dcg"] + F.when(F.size(F.array_intersect(s["left"], h["p"])) > 0, numeric.discount(h["rank"])).otherwise(0.0)).alias("dcg"),
+    )
+    dcg = F.aggregate(indexed, start, step)["dcg"]
+    n = F.least(F.size(want), F.size(hits))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda t, i: t + numeric.discount(i))
+    return F.when(n > 0, dcg / ideal).otherwise(F.lit(0.0))
+
+
+def frozen_arms(records: DataFrame, top_k: int) -> DataFrame:
+    """(condition, qid, metrics, ndcg) of stored per-question records of one depth.
+
+    ``records``: condition, qid, top_k (null: that depth), metrics, hits, expected_pages. nDCG was not stored with them
+    and is worked out from the stored hits.
+    """
+    return records.filter(F.coalesce("top_k", F.lit(top_k)) == top_k).select("condition", "qid", "metrics", hits_ndcg(F.col("hits"), F.col("expected_pages")).alias("ndcg"))
+
+
+def describe(answers: DataFrame, keys, latency: str, judge_cost: str) -> DataFrame:
+    """Nineteen columns a condition: counts, graded means, refusals, evidence at context, calls, latencies and costs.
+
+    ``answers`` has answerable, the four outcomes, refused (0 or 1), negative_refusal_correct, page_hit, page_recall,
+    calls and generation_cost. Graded and evidence means are over answerable questions and skip nulls. Two aggregates
+    and one exact selection of the latencies; no group is ever held.
+    """
+    yes = F.col("answerable")
+    of = lambda c: F.avg(F.when(yes, F.col(c).cast("double")))
+    mean = lambda c: F.avg(c)
+    plain = answers.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(yes).alias("n_answerable"), F.count_if(~yes).alias("n_controls"),
+        *[of(c).alias(c) for c in ("answer_correctness", "answer_completeness", "groundedness", "citation_quality")],
+        of("refused").alias("positive_refusal_rate"), F.avg(F.when(~yes, F.col("negative_refusal_correct"))).alias("control_refusal_accuracy"),
+        of("page_hit").alias("page_hit_at_context"), of("page_recall").alias("expected_page_recall_at_context"), mean("calls").alias("mean_generator_calls"),
+        mean("generation_cost").alias("mean_generation_cost_usd"), mean(judge_cost).alias("mean_judge_cost_usd"),
+        F.avg(F.col("generation_cost") + F.col(judge_cost)).alias("mean_total_cost_usd"),
+    )
+    waits = exact_percentiles(answers, keys, latency, {"median_latency_ms": linear(0.5), "p95_latency_ms": linear(0.95)})
+    return plain.join(waits, list(keys))

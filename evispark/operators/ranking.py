@@ -16,6 +16,19 @@ def top_k(df: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
+def check_limits(k: int, seed_k: int | None = None, max_depth: int = 0, decay: float = 0.0) -> None:
+    """Refuse search arguments that mean nothing, before any plan is built."""
+    whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
+    if not whole(k) or k < 1:
+        raise ValueError("k must be a positive integer")
+    if seed_k is not None and (not whole(seed_k) or seed_k < 1):
+        raise ValueError("seed_k must be a positive integer or None")
+    if not whole(max_depth) or max_depth < 0:
+        raise ValueError("max_depth must be an integer of 0 or more")
+    if isinstance(decay, bool) or not 0.0 <= float(decay) <= 1.0:
+        raise ValueError("decay must be between 0 and 1")
+
+
 def by_score(score: str = "score", ident: str = "doc_id"):
     """Score descending on 9 decimals, then id, so engines agree on ties."""
     return [F.round(F.col(score), 9).desc(), F.col(ident).asc()]

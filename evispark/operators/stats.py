@@ -289,6 +289,21 @@ def comparison_table(pairs: DataFrame, arm: str, cluster: str, block: Column, tr
     )
 
 
+def dimension_deltas(cells: DataFrame, keys, arm: str, baseline: str, treatment: str, dimensions) -> DataFrame:
+    """(dimension, n_pairs, raw_mean, treatment_mean, delta, p, p_holm): each graded dimension compared over the cells both arms have.
+
+    All dimensions are one family; they are compared in one pass over long rows, not in one job each.
+    """
+    keys, dimensions = list(keys), list(dimensions)
+    long = cells.select(*keys, arm, F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("v")) for d in dimensions])).alias("s"))
+    p = paired(long.select(*keys, arm, "s.dimension", "s.v"), [*keys, "dimension"], arm, baseline, treatment, "v")
+    means = p.groupBy("dimension").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg("raw").alias("raw_mean"), F.avg("treated").alias("treatment_mean"), F.avg("difference").alias("delta")
+    )
+    tests = wilcoxon(p, ["dimension"]).select("dimension", "p").withColumn("_family", F.lit(treatment))
+    return means.join(holm(tests, ["_family"], "dimension").drop("_family"), "dimension")
+
+
 def missing_and_extra(cells: DataFrame, keys, expected: DataFrame, metric: str) -> DataFrame:
     """(rule, keys) of every breach of a complete grid: missing, extra,
     duplicate, or not a finite number."""

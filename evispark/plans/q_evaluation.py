@@ -681,6 +681,74 @@ def pooled_matrix_gaps(spark, sf):
     return stats.matrix_gaps(pairs(spark, sf), "qid", "flow")
 
 
+DIMENSIONS = ("answer_correctness", "answer_completeness", "groundedness", "citation_quality", "refusal_fraction")
+cte(
+    "dimension_pairs", ("cells",),
+    " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, r.flow, r.qid, r.{d} AS raw, t.{d} AS treated, t.{d} - r.{d} AS difference FROM cells r JOIN cells t ON t.flow = r.flow AND t.qid = r.qid "
+        f"WHERE r.arm = 'raw' AND t.arm = 'treated' AND r.{d} IS NOT NULL AND t.{d} IS NOT NULL" for d in DIMENSIONS
+    ),
+)
+sql.wilcoxon("wx_dimension", "dimension", "dimension_pairs")
+
+
+@query(
+    "dimension_deltas",
+    compose(
+        f"""SELECT dimension, n_pairs, round(raw_mean, 6) AS raw_mean, round(treatment_mean, 6) AS treatment_mean, round(delta, 6) AS delta, round(p, 6) AS p, round(p_holm, 6) AS p_holm
+        FROM (SELECT dimension, count(*) AS n_pairs, avg(raw) AS raw_mean, avg(treated) AS treatment_mean, avg(difference) AS delta FROM dimension_pairs GROUP BY 1)
+        JOIN ({sql.holm('SELECT dimension, p, 1 AS family FROM wx_dimension', 'family', 'dimension')}) USING (dimension)""",
+        "dimension_pairs", "wx_dimension",
+    ),
+)
+def dimension_deltas(spark, sf):
+    d = stats.dimension_deltas(cells(spark, sf), ["flow", "qid"], "arm", "raw", "treated", DIMENSIONS)
+    return rounded(d, "raw_mean", "treatment_mean", "delta", "p", "p_holm")
+
+
+cte(
+    "described", ("trials",),
+    """SELECT *, k % 3 <> 0 AS page_hit, (k % 5) / 4.0::DOUBLE AS page_recall, 1 + k % 4 AS calls, (k % 7) / 100.0::DOUBLE AS generation_cost FROM trials""",
+)
+FULL_MEANS = {
+    "answer_correctness": "avg(answer_correctness)", "answer_completeness": "avg(answer_completeness)", "groundedness": "avg(o_groundedness)", "citation_quality": "avg(o_citation_quality)",
+    "positive_refusal_rate": "avg((disposition = 'refusal')::INT) FILTER (answerable)", "control_refusal_accuracy": "avg(negative_refusal_correct)",
+    "page_hit_at_context": "avg(page_hit::INT) FILTER (answerable)", "expected_page_recall_at_context": "avg(page_recall) FILTER (answerable)", "mean_generator_calls": "avg(calls)",
+    "median_latency_ms": "quantile_cont(latency, 0.5)", "p95_latency_ms": "quantile_cont(latency, 0.95)", "mean_generation_cost_usd": "avg(generation_cost)", "mean_judge_cost_usd": "avg(cost)",
+    "mean_total_cost_usd": "avg(generation_cost + cost)",
+}
+
+
+@query(
+    "descriptive_table_full",
+    compose(
+        "SELECT flow, arm, count(*) AS n, count(*) FILTER (answerable) AS n_answerable, count(*) FILTER (NOT answerable) AS n_controls, "
+        + ", ".join(f"round({e}, 6) AS {n}" for n, e in FULL_MEANS.items()) + " FROM described GROUP BY flow, arm", "described",
+    ),
+)
+def descriptive_table_full(spark, sf):
+    """All nineteen columns of a condition's description, over its answers."""
+    k = F.col("k")
+    t = trials(spark, sf).withColumns({
+        "page_hit": k % 3 != 0, "page_recall": (k % 5) / 4.0, "calls": 1 + k % 4, "generation_cost": (k % 7) / 100.0, "refused": (F.col("disposition") == "refusal").cast("double"),
+    })
+    table = metrics.describe(t, ["flow", "arm"], latency="latency", judge_cost="cost")
+    return rounded(table, *FULL_MEANS)
+
+
+@query(
+    "range_violations",
+    compose(
+        "SELECT 'attempts' AS rule, trial, attempts::DOUBLE AS value FROM trials WHERE attempts > 2 UNION ALL SELECT 'correctness', trial, correctness FROM trials WHERE correctness < 2 "
+        "UNION ALL SELECT 'net_calls', trial, (k % 6 - 1)::DOUBLE FROM trials WHERE k % 6 - 1 < 0", "trials",
+    ),
+)
+def range_violations(spark, sf):
+    """Numbers outside their range, under ranges that some of the given ones break."""
+    t = trials(spark, sf).withColumn("net_calls", F.col("k") % 6 - 1).withColumn("correctness", F.col("raw_correctness"))
+    return judging.range_violations(t, ["trial"], {"attempts": (0, 2), "correctness": (2, 5), "net_calls": (0, None)})
+
+
 @query(
     "control_table",
     compose(

@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evispark.functions import jsonx
-from evispark.operators import experiment, gates, judging
+from evispark.operators import experiment, gates, judging, metrics
 from evispark.operators.ranking import attach_row, dense_index
 from evispark.plans import corpus
 from evispark.plans.q_evaluation import judge_raw, trials
+from evispark.plans.q_retrieval import arm_bm25
 from evispark.plans.registry import query
 from evispark.plans.sql import compose, cte
 from evispark.session import settle
@@ -275,3 +276,62 @@ def superseded_cells(spark, sf):
     questions = c.filter("qid % 89 = 3").select("qid").distinct()
     single = c.filter("flow = 'view' and qid % 101 = 4").select(*KEYS)
     return experiment.superseded(c.select(*KEYS), KEYS, questions, single)
+
+
+KEY_LIST = "['citation_quality', 'completeness', 'correctness', 'evaluation_id', 'explanation', 'groundedness', 'response_disposition', 'schema_version']"
+
+
+@query(
+    "judge_key_report",
+    compose(
+        f"""SELECT trial, array_to_string(list_sort(list_filter({KEY_LIST}, lambda x: NOT list_contains(json_keys(j), x))), ',') AS missing,
+        array_to_string(list_sort(list_filter(list_distinct(json_keys(j)), lambda x: NOT list_contains({KEY_LIST}, x))), ',') AS extra
+        FROM (SELECT trial, CASE WHEN json_valid(raw2) AND NOT contains(raw2, ': NaN') THEN raw2::JSON END AS j FROM (SELECT trial, CASE WHEN k % 11 IN (0, 3) AND trial % 4 = 0 THEN replace(raw, '"correctness"', '"score"') ELSE raw END AS raw2 FROM j_raw
+          WHERE k % 11 <> 7)) WHERE j IS NOT NULL""",
+        "j_raw",
+    ),
+)
+def judge_key_report(spark, sf):
+    """Which keys a judge's reply lacks and which it has too many; one key renamed in some."""
+    r = judge_raw(trials(spark, sf)).filter("k % 11 <> 7")
+    renamed = F.when((F.col("k") % 11).isin(0, 3) & (F.col("trial") % 4 == 0), F.replace("raw", F.lit('"correctness"'), F.lit('"score"'))).otherwise(F.col("raw"))
+    k = r.select("trial", jsonx.key_report(renamed).alias("k")).filter("k is not null")
+    return k.select("trial", F.array_join("k.missing", ",").alias("missing"), F.array_join("k.extra", ",").alias("extra"))
+
+
+cte(
+    "frozen_hits", ("bm25_10", "chunks"),
+    "SELECT h.qid, h.rank, c.pages FROM bm25_10 h JOIN chunks c ON c.doc_id = h.doc_id",
+)
+
+
+@query(
+    "frozen_arms",
+    compose(
+        """SELECT 'bm25' AS condition, qid, n_hits, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0.0) / ideal ELSE 0.0 END, 6) AS ndcg FROM (
+          SELECT g.qid, h.n AS n_hits, (SELECT sum(1.0::DOUBLE / log2(i + 1.0::DOUBLE)) FROM generate_series(1, least(g.n, h.n)::BIGINT) t(i)) AS ideal,
+            (SELECT sum(1.0::DOUBLE / log2(r + 1.0::DOUBLE)) FROM (SELECT DISTINCT min(f.rank) AS r FROM frozen_hits f JOIN expected e ON e.qid = f.qid AND list_contains(f.pages, e.page) WHERE f.qid = g.qid GROUP BY e.page)) AS dcg
+          FROM (SELECT qid, count(*) AS n FROM expected GROUP BY qid) g JOIN (SELECT qid, count(*) AS n FROM frozen_hits GROUP BY qid) h USING (qid))""",
+        "frozen_hits", "expected",
+    ),
+)
+def frozen_arms(spark, sf):
+    """Stored records of one condition, hits in an array, and the nDCG that was not stored with them."""
+    hits = arm_bm25(spark, sf, 10).join(corpus.chunks(spark, sf).select("tenant", "doc_id", "pages", "page_number"), ["tenant", "doc_id"])
+    stored = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "page_number", F.col("pages").alias("page_numbers")))).alias("hits"))
+    gold = corpus.expected_pages(spark, sf).groupBy("qid").agg(F.collect_list("page").alias("expected_pages"))
+    rows = stored.join(gold, "qid").select(F.lit("bm25").alias("condition"), "qid", F.lit(10).alias("top_k"), F.struct(F.size("hits").cast("long").alias("n_hits")).alias("metrics"), "hits", "expected_pages")
+    other = rows.withColumn("top_k", F.lit(5))  # another depth, which is left out
+    f = metrics.frozen_arms(rows.unionByName(other), 10)
+    return f.select("condition", "qid", "metrics.n_hits", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query(
+    "store_snapshot",
+    """SELECT CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS corpus, count(*) AS n, array_to_string(list_sort(list_distinct(list(len(embedding)))), ',') AS dimensions,
+    count(*) FILTER (embedding IS NULL) AS without_vector FROM embeddings GROUP BY 1""",
+)
+def store_snapshot(spark, sf):
+    """What a vector store holds: rows, dimensions and missing vectors of each corpus."""
+    e = corpus.table(spark, sf, "embeddings").withColumn("corpus", F.when(F.col("label") % 2 == 0, "even").otherwise("odd"))
+    return experiment.store_snapshot(e, "corpus", "embedding")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evispark.functions import arrays, numeric
+from evispark.functions import text as T
 from evispark.operators import dense, fusion, graph, lexical
 from evispark.operators.ranking import by_score, top_k
 from evispark.plans import corpus
@@ -213,6 +214,63 @@ def hybrid_retrieval(spark, sf):
     return out(graph.hybrid_search(seeds, edges(spark, sf), 10, small=small(spark, sf)), "link_depth", origins())
 
 
+def _wide_sql():
+    from evispark.plans import sql
+
+    sql.ranked("dense_20", "dense", 20)
+    sql.cte("wide_seeds", ("dense_20",), "SELECT qid, tenant, doc_id, score FROM dense_20 WHERE rank <= 5")
+    sql.expanded("wide_links", "wide_seeds")
+    sql.cte(
+        "wide_all", ("dense_20", "wide_links"),
+        """SELECT qid, coalesce(d.tenant, l.tenant) AS tenant, doc_id, coalesce(d.score, l.link_score) AS score, coalesce(l.link_depth, 0) AS link_depth,
+        coalesce(l.seed_ids, CASE WHEN d.rank <= 5 THEN [doc_id] ELSE [] END) AS seed_ids FROM dense_20 d FULL JOIN wide_links l USING (qid, doc_id)""",
+    )
+    sql.ranked("wide_15", "wide_all", 15, "link_depth, ")
+    return hits_sql("wide_15", "link_depth", ORIGINS)
+
+
+@query("hybrid_wide_seeds", _wide_sql())
+def hybrid_wide_seeds(spark, sf):
+    """Twenty vector seeds, of which the best five are followed."""
+    seeds = arm_dense(spark, sf, 20).select("qid", "tenant", "doc_id", "score")
+    return out(graph.hybrid_search(seeds, edges(spark, sf), 15, small=small(spark, sf), seed_k=5), "link_depth", origins())
+
+
+ALL_FIELDS = (("text", 1.0), ("title", 3.0), ("description", 2.0), ("type", 1.0), ("section", 1.5), ("tags", 2.5))
+
+
+def _six_sql():
+    from evispark.plans import sql
+
+    label = "CASE WHEN len(pages) = 1 THEN 'page ' ELSE 'pages ' END || array_to_string(pages, ', ')"
+    name = sql.CHUNK_NAME
+    sql.cte(
+        "six_fields", ("chunks",),
+        f"""SELECT tenant, doc_id, text, {name} || ' — ' || replace({label}, 'page', 'Page') AS title, 'Source chunk ' || {name} || ' from ' || document || ', ' || {label} || '.' AS description,
+        'Source Passage' AS type, CASE WHEN doc_id % 3 = 0 THEN 'Part ' || doc_id % 7 END AS section, 'source-passage corpus-' || tenant AS tags FROM chunks""",
+    )
+    parts = " UNION ALL ".join(f"SELECT tenant, doc_id, unnest({sql.toks(f)}) AS term, {w}::DOUBLE AS w FROM six_fields" for f, w in ALL_FIELDS)
+    sql.cte("tf_six", ("six_fields",), f"SELECT tenant, doc_id, term, sum(w) AS tf FROM ({parts}) GROUP BY ALL")
+    sql.cte("dl_six", ("chunks", "tf_six"), "SELECT c.tenant, c.doc_id, coalesce(sum(t.tf), 0.0) AS dl FROM chunks c LEFT JOIN tf_six t USING (tenant, doc_id) GROUP BY ALL")
+    sql.bm25("bm25six", "tf_six", "dl_six")
+    sql.ranked("bm25six_10", "bm25six", 10)
+    return hits_sql("bm25six_10")
+
+
+@query("bm25_all_fields", _six_sql())
+def bm25_all_fields(spark, sf):
+    """The six fields of a concept, each with its weight."""
+    c = corpus.chunks(spark, sf).withColumn("chunk_id", corpus.chunk_name())
+    none = F.lit(None).cast("string")
+    d = c.select(
+        "tenant", "doc_id", "text", T.passage_title(F.col("chunk_id"), none, F.col("pages")).alias("title"),
+        T.passage_description(F.col("chunk_id"), F.col("document"), F.col("pages")).alias("description"), F.lit("Source Passage").alias("type"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Part "), (F.col("doc_id") % 7).cast("string"))).alias("section"),
+        F.concat(F.lit("source-passage corpus-"), "tenant").alias("tags"),
+    )
+    return out(lexical.bm25_top_k(d, corpus.questions(spark, sf), 10, fields=ALL_FIELDS))
+
+
 FILTERED = {
     "eligible": (("chunks",),
                  "SELECT c.* FROM chunks c LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1 "

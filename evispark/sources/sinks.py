@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from evispark.errors import BundleFormatError, EvidenceError
 from evispark.operators import experiment
@@ -72,9 +73,25 @@ def write_csv(rows: DataFrame, path: str) -> None:
         rows.write.mode("overwrite").option("header", True).csv(path)
 
 
-def canonical_json(row_columns) -> Column:
-    """JSON with its keys in sorted order, for hashing."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(row_columns)]))
+def _sorted(value: Column, kind) -> Column:
+    """``value`` with the fields of every struct, and the keys of every map, in sorted order."""
+    if isinstance(kind, StructType):
+        fields = [_sorted(value.getField(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _sorted(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0)))
+    return value
+
+
+def canonical_json(row_columns, schema: StructType | None = None) -> Column:
+    """JSON with its keys in sorted order, for hashing; with the table's ``schema`` at every depth, and nulls written out."""
+    names = sorted(row_columns)
+    if schema is None:
+        return F.to_json(F.struct(*[F.col(c) for c in names]))
+    return F.to_json(F.struct(*[_sorted(F.col(f"`{c}`"), schema[c].dataType).alias(c) for c in names]), {"ignoreNullFields": "false"})
 
 
 def _place(path: str) -> tuple[str, str, str]:
