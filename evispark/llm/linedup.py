@@ -50,7 +50,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
     enough; longer runs are the union of these. Suffixes that share h lines are
     one interval of the suffix array with a longest common prefix of h or more,
     and ranks of two overlapping powers of two name it. In each interval, every
-    place but the first (by doc_id, text hash, line) is a later copy.
+    place but the first (by doc_id, text hash, line), and but those that overlap
+    the first, is a later copy: nine equal lines are no two runs of eight.
     """
     lines = settle(lines_of(docs))
     seen = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -96,7 +97,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
             lo, hi = a[w["s"]], a[w["s"] + w["h"] - F.element_at(F.array(*[F.lit(1 << i) for i in range(len(levels))]), k + 1)]
             rank = lambda x: F.element_at(F.array(*[x[r] for r in levels]), k + 1)
             spans = F.transform(F.slice(a, w["s"] + 1, w["h"]), lambda x: x["no"])
-            return F.struct(w["h"].alias("h"), rank(lo).alias("lo"), rank(hi).alias("hi"), lo["no"].alias("first"), spans.alias("nos"))
+            return F.struct(w["h"].alias("h"), rank(lo).alias("lo"), rank(hi).alias("hi"), lo["idx"].alias("first"), spans.alias("nos"))
 
         both = F.array_distinct(F.concat(ahead, F.transform(spots, back)))
         return F.filter(F.transform(F.filter(both, lambda w: w["h"] > 0), full), lambda w: w["lo"].isNotNull() & w["hi"].isNotNull())
@@ -104,7 +105,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
     found = settle(places.select(*DOC, F.explode(let(F.col("a"), windows)).alias("w")).select(*DOC, "w.*"))
     spot = F.struct("__doc", "__text", "first")
     firsts = found.groupBy("h", "lo", "hi").agg(F.min(spot).alias("_spot"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    later = found.join(firsts, ["h", "lo", "hi"]).filter(spot > F.col("_spot"))
+    inside = (F.struct("__doc", "__text") == F.struct("_spot.__doc", "_spot.__text")) & (F.col("first") < F.col("_spot.first") + F.col("h"))
+    later = found.join(firsts, ["h", "lo", "hi"]).filter((spot > F.col("_spot")) & ~F.coalesce(inside, F.lit(False)))
     return later.select(*DOC, F.explode("nos").alias("no")).distinct()
 
 
@@ -112,7 +114,8 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 8, count_col: str | No
     """``docs`` without later copies of repeated line runs.
 
     A run counts from ``min_words`` words on, within one document or across
-    several; the copy with the smallest (doc_id, hash of text, line) stays. Lines
+    several; the copy with the smallest (doc_id, hash of text, line) stays whole,
+    as far as it is no later copy of another run. Lines
     are told apart as they are, blanks and case included; lines without words
     count in no run and stay. A text of which all goes becomes empty; a null
     text stays null; rows equal in doc_id and text are one document and are

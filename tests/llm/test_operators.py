@@ -620,18 +620,18 @@ def test_token_files_with_null_and_repeated_ids(spark):
 
 
 def brute_lines(rows, least):
-    spots = []
-    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
-        own = [(n, x) for n, x in enumerate(t.split("\n")) if re.search(r"\S", x)]
-        spots += [(i, k, own) for k in range(len(own))]
-    gone = set()
-    for q, (i, k, own) in enumerate(spots):
-        for _, m, other in spots[:q]:
-            n = 0
-            while k + n < len(own) and m + n < len(other) and own[k + n][1] == other[m + n][1]:
-                n += 1
-            if sum(len(own[k + j][1].split()) for j in range(n)) >= least:
-                gone |= {(i, own[k + j][0]) for j in range(n)}
+    """Every run of lines with ``least`` words or more but its first copy, and but those that overlap the first copy."""
+    first, gone = {}, set()
+    docs = [(i, [(n, x) for n, x in enumerate(t.split("\n")) if re.search(r"\S", x)]) for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0])]
+    for i, own in docs:
+        for k in range(len(own)):
+            for n in range(1, len(own) - k + 1):
+                run = tuple(x for _, x in own[k : k + n])
+                if sum(len(x.split()) for x in run) < least:
+                    continue
+                d, m = first.setdefault(run, (i, k))
+                if (d, m) != (i, k) and not (d == i and k < m + n):
+                    gone |= {(i, no) for no, _ in own[k : k + n]}
     return gone
 
 
