@@ -258,9 +258,37 @@ def lexical_audit(spark, sf):
     return rounded(audited(spark, sf), "page_coverage", "token_coverage").withColumn("flags", F.array_join("flags", ","))
 
 
-@query("gold_evidence")
+cte(
+    "ge_overlap", ("expected", "chunks", "questions"),
+    f"""SELECT qid, doc_id, len(list_intersect(r, b)) / greatest(len(r), 1)::DOUBLE AS overlap FROM (
+      SELECT DISTINCT e.qid, c.doc_id, list_distinct({sql.toks('q.text')}) AS r, list_distinct({sql.toks('c.text')}) AS b
+      FROM expected e JOIN chunks c ON list_contains(c.pages, e.page) JOIN questions q ON q.qid = e.qid)""",
+)
+cte(
+    "ge_pages", ("ge_overlap", "expected", "chunks"),
+    """SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY page) AS i, docs FROM (
+      SELECT e.qid, e.page, list(o.doc_id ORDER BY round(o.overlap, 9) DESC, o.doc_id) AS docs FROM expected e JOIN chunks c ON list_contains(c.pages, e.page)
+      JOIN ge_overlap o ON o.qid = e.qid AND o.doc_id = c.doc_id GROUP BY e.qid, e.page)""",
+)
+cte(
+    "ge_walk", ("ge_pages",),
+    """SELECT qid, 0::BIGINT AS i, []::BIGINT[] AS chosen FROM (SELECT DISTINCT qid FROM ge_pages)
+    UNION ALL SELECT w.qid, p.i, list_concat(w.chosen, list_filter(p.docs, lambda d: NOT list_contains(w.chosen, d))[1:1]) FROM ge_walk w JOIN ge_pages p ON p.qid = w.qid AND p.i = w.i + 1""",
+)
+
+
+@query(
+    "gold_evidence",
+    compose(
+        """SELECT qid, unnest(taken) AS doc_id, generate_subscripts(taken, 1)::INT AS position FROM (
+          SELECT qid, list_concat(chosen, list_filter(docs, lambda d: NOT list_contains(chosen, d)))[1:6] AS taken FROM (
+            SELECT w.qid, w.chosen, o.docs FROM ge_walk w JOIN (SELECT qid, max(i) AS i FROM ge_pages GROUP BY qid) m ON m.qid = w.qid AND m.i = w.i
+            JOIN (SELECT qid, list(doc_id ORDER BY round(overlap, 9) DESC, doc_id) AS docs FROM ge_overlap GROUP BY qid) o ON o.qid = w.qid))""",
+        "ge_walk", "ge_pages", "ge_overlap",
+    ),
+)
 def gold_evidence(spark, sf):
-    """Sequential choice; compared with a plain Python model in the tests."""
+    """Sequential choice: one best unused passage a page, then the best rest."""
     expected = corpus.expected_pages(spark, sf)
     chunks = corpus.chunks(spark, sf).select("doc_id", "pages", "text")
     on = audit.page_overlap(expected, chunks)
