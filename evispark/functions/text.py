@@ -9,16 +9,16 @@ from evispark.functions.arrays import let
 
 # --- fixed values -----------------------------------------------------------
 # Query stop words.
-STOP_WORDS = (
-    "a an and are as at be by for from how in is it of on or that the this to "
-    "was were what when where which who with"
-).split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or",
+    "that", "the", "this", "to", "was", "were", "what", "when", "where", "which", "who", "with",
+]
 
 # Stop words of the gold audit, a second and different list.
-AUDIT_STOP_WORDS = (
-    "a an and are as at be by for from has in is it of on or that the this to "
-    "was were what which with"
-).split()
+AUDIT_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "of", "on", "or",
+    "that", "the", "this", "to", "was", "were", "what", "which", "with",
+]
 
 # Phrases that mark an answer as a refusal.
 REFUSAL_MARKERS = [

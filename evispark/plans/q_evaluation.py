@@ -321,13 +321,15 @@ def unit_size_statistics(spark, sf):
 # --- cells derived from events ----------------------------------------------
 # pipeline -> event type, question -> user, arm -> parity, trial -> event.
 
-TRIAL_SQL = """SELECT event_type AS flow, user_id AS qid, CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'treated' END AS arm,
+# Models of the price table, dearest first, as test values.
+DEAR, MIDDLE, CHEAP = (next(m for m in numeric.PRICES if name in m) for name in ("sonnet", "haiku", "4o-mini"))
+TRIAL_SQL = f"""SELECT event_type AS flow, user_id AS qid, CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'treated' END AS arm,
   event_id AS trial, user_id % 5 <> 0 AS answerable,
   CASE WHEN k % 4 = 0 THEN 'refusal' ELSE 'substantive_answer' END AS disposition,
   1 + k % 5 AS correctness, 1 + (k // 5) % 5 AS completeness, 1 + (k // 7) % 5 AS groundedness, 1 + (k // 3) % 5 AS citation_quality,
   1 + k % 3 AS attempts, value AS latency, k * 100 AS tokens_in, k * 10 AS tokens_out,
-  CASE event_type WHEN 'click' THEN 'gpt-4o-mini' WHEN 'view' THEN 'us.anthropic.claude-haiku-4-5-20251001-v1:0'
-    WHEN 'error' THEN 'unlisted' WHEN 'signup' THEN 'mock' ELSE 'us.anthropic.claude-sonnet-4-5-20250929-v1:0' END AS model, k
+  CASE event_type WHEN 'click' THEN '{CHEAP}' WHEN 'view' THEN '{MIDDLE}'
+    WHEN 'error' THEN 'unlisted' WHEN 'signup' THEN 'mock' ELSE '{DEAR}' END AS model, k
 FROM (SELECT *, (props::JSON->>'k')::INT AS k FROM events)"""
 PRICE_SQL = "CASE model " + " ".join(
     f"WHEN '{m}' THEN tokens_in / 1e6::DOUBLE * {i}::DOUBLE + tokens_out / 1e6::DOUBLE * {o}::DOUBLE"
@@ -359,11 +361,11 @@ def trials(spark, sf):
     kk = F.col("k")
     part = lambda d: (F.expr(f"cast(k div {d} as int)") % 5 + 1)
     model = (
-        F.when(F.col("event_type") == "click", "gpt-4o-mini")
-        .when(F.col("event_type") == "view", "us.anthropic.claude-haiku-4-5-20251001-v1:0")
+        F.when(F.col("event_type") == "click", CHEAP)
+        .when(F.col("event_type") == "view", MIDDLE)
         .when(F.col("event_type") == "error", "unlisted")
         .when(F.col("event_type") == "signup", "mock")
-        .otherwise("us.anthropic.claude-sonnet-4-5-20250929-v1:0")
+        .otherwise(DEAR)
     )
     t = e.select(
         F.col("event_type").alias("flow"), F.col("user_id").alias("qid"),

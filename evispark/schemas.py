@@ -9,6 +9,8 @@ def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+# --- fixed values -----------------------------------------------------------
+# Field names of the input files.
 MANIFEST = (
     "corpus string, corpus_version string, source_pdf string, source_sha256 string, n_chunks int, "
     "embed_model string, embed_dim int, n_paragraphs int, target_tokens int, overlap_tokens int"
@@ -30,7 +32,6 @@ QUESTION_CSV = (
     "qid string, utility string, category string, difficulty int, topic string, topic2 string, question string, "
     "is_negative string, is_table string, is_image string"
 )
-# --- fixed values -----------------------------------------------------------
 # Keys that would leak the evaluation into a corpus.
 FORBIDDEN_FIELDS = (
     "question", "questions", "answer", "answers", "reference_answer", "expected_answer", "gold_answer",
