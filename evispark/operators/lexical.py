@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import numeric, text
 from evispark.operators.ranking import by_score, check_limits, top_k
-from evispark.session import broadcast_if, fits_broadcast, spread
+from evispark.session import broadcast_if, fits_broadcast, settle, spread
 
 PLAIN = (("text", 1.0),)
 SALTS = 16
@@ -97,9 +97,11 @@ class Bm25:
     """Hits and weights of a question set; scores come from joins of the two."""
 
     def __init__(self, docs: DataFrame, questions: DataFrame, fields=PLAIN, k1: float = 1.2, b: float = 0.75,
-                 from_postings: bool = False):
+                 from_postings: bool = False, keep: bool = False):
+        """``keep`` settles the hits, for searches that score twice: texts are then tokenised once."""
         self.small = fits_broadcast(questions)
-        self.hits = term_hits(docs, questions, fields, from_postings)
+        hits = term_hits(docs, questions, fields, from_postings)
+        self.hits = settle(hits) if keep else hits
         self.part = F.col("w") * numeric.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
         weights = question_terms(questions).join(term_statistics(self.hits), ["tenant", "term"]).select(
             "qid", "tenant", "term",

@@ -22,8 +22,8 @@ def titled(spark, sf):
     return corpus.chunks(spark, sf).withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
 
 
-def weighted(spark, sf):
-    return lexical.Bm25(titled(spark, sf), corpus.questions(spark, sf), FIELDS)
+def weighted(spark, sf, keep=False):
+    return lexical.Bm25(titled(spark, sf), corpus.questions(spark, sf), FIELDS, keep=keep)
 
 
 def scores_weighted(spark, sf):
@@ -52,7 +52,7 @@ def edges(spark, sf):
 
 
 def arm_native(spark, sf, k, seed_k=None):
-    return graph.native_search(weighted(spark, sf), edges(spark, sf), k, seed_k, small=small(spark, sf))
+    return graph.native_search(weighted(spark, sf, True), edges(spark, sf), k, seed_k, small=small(spark, sf))
 
 
 def arm_adjacent(spark, sf, k):
@@ -204,7 +204,7 @@ def native_retrieval(spark, sf):
 
 @query("native_evidence_only", hits_sql("evidence_10", "link_depth", ORIGINS))
 def native_evidence_only(spark, sf):
-    bm25 = lexical.Bm25(corpus.chunks(spark, sf), corpus.questions(spark, sf))
+    bm25 = lexical.Bm25(corpus.chunks(spark, sf), corpus.questions(spark, sf), keep=True)
     return out(graph.native_search(bm25, edges(spark, sf), 10, small=small(spark, sf)), "link_depth", origins())
 
 
