@@ -151,5 +151,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds
 
 
 def pack_documents(docs: DataFrame, vocab: str, capacity: int = 2048, per_part: int = 20_000, rounds: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text) packed: one row a piece, see `token_pieces` and `pack`. An empty table gives no rows."""
+    """``docs`` (doc_id, text) packed: one row a piece, see `token_pieces` and `pack`.
+
+    A null text is the empty one and has its end id alone; repeated rows are documents of their own; an empty table gives
+    no rows. A very long text is encoded at once by one task, which then holds its ids (four bytes each) besides the text,
+    and cut into pieces; long runs of blanks in it do not matter.
+    """
     return pack(settle(token_pieces(docs, vocab, capacity)), capacity, per_part, rounds)
