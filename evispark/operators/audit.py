@@ -17,9 +17,10 @@ def page_overlap(expected: DataFrame, chunk_pages: DataFrame) -> DataFrame:
 
 def evidence_overlap(evidence: DataFrame, references: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, doc_id, overlap): share of reference tokens found in the passage."""
-    body = chunks.select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("_b"))
     ref = references.select("qid", F.array_distinct(T.tokens(F.col("reference"))).alias("_r"))
-    j = evidence.select("qid", "doc_id").distinct().join(body, "doc_id").join(ref, "qid")
+    # only passages on expected pages are tokenised
+    found = evidence.select("qid", "doc_id").distinct().join(chunks.select("doc_id", "text"), "doc_id")
+    j = found.withColumn("_b", F.array_distinct(T.tokens(F.col("text")))).join(ref, "qid")
     share = F.size(F.array_intersect("_r", "_b")) / F.greatest(F.size("_r"), F.lit(1))
     return j.select("qid", "doc_id", share.alias("overlap"))
 
@@ -80,8 +81,9 @@ def lexical_audit(questions: DataFrame, expected: DataFrame, chunks: DataFrame,
     found = shared.groupBy("qid").agg(F.count_distinct("page").alias("found_pages"))
     ref = questions.select("qid", F.explode(T.audit_terms(F.col("reference"))).alias("term"))
     n_ref = ref.groupBy("qid").agg(F.count("term").alias("n_terms"))
-    bodies = chunks.select("doc_id", F.explode_outer(T.audit_terms(F.col("text"))).alias("term"))
     evidence = shared.select("qid", "doc_id").distinct()
+    needed = chunks.join(evidence.select("doc_id").distinct(), "doc_id", "left_semi")
+    bodies = needed.select("doc_id", F.explode_outer(T.audit_terms(F.col("text"))).alias("term"))
     hit = bodies.join(evidence, "doc_id").join(ref, ["qid", "term"]).select("qid", "term").distinct()
     n_hit = hit.groupBy("qid").agg(F.count("term").alias("hit_terms"))
     j = questions

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import numeric
 from evispark.functions import text as T
-from evispark.operators import audit, experiment, stats
+from evispark.operators import audit, experiment, stats, tree
 from evispark.operators.ranking import attach_row
 from evispark.plans import corpus, sql
 from evispark.plans.q_evaluation import PRICE_SQL, cells, rounded, trials
@@ -258,6 +258,18 @@ def lexical_audit(spark, sf):
     return rounded(audited(spark, sf), "page_coverage", "token_coverage").withColumn("flags", F.array_join("flags", ","))
 
 
+@query(
+    "audit_summary",
+    compose(
+        """SELECT count(*) AS questions, count(*) FILTER (answerable) AS answerable, count(*) FILTER (page_coverage = 1.0) AS full_page_coverage,
+        count(*) FILTER (answerable AND token_coverage < 0.25) AS flagged, round(avg(token_coverage), 6) AS mean_token_coverage FROM audit""",
+        "audit",
+    ),
+)
+def audit_summary(spark, sf):
+    return rounded(audit.audit_summary(audited(spark, sf)), "mean_token_coverage")
+
+
 cte(
     "ge_overlap", ("expected", "chunks", "questions"),
     f"""SELECT qid, doc_id, len(list_intersect(r, b)) / greatest(len(r), 1)::DOUBLE AS overlap FROM (
@@ -317,3 +329,47 @@ def record_violations(spark, sf):
     )
     planned = e.filter("event_type <> 'error'").select("event_id", "event_type")
     return experiment.record_violations(records, planned, ["event_id", "event_type"])
+
+
+@query(
+    "formatted_statistics",
+    compose(
+        """SELECT trial, printf('%.1f%%', (k / 7.0::DOUBLE) * 100.0::DOUBLE) AS percent, printf('%+.3f [%+.3f, %+.3f]', k / 7.0::DOUBLE - 5, k / 7.0::DOUBLE - 6, k / 7.0::DOUBLE) AS interval,
+        CASE WHEN k % 5 = 0 THEN 'n/a' WHEN (k % 13) / 7000.0::DOUBLE < 0.001 THEN '< 0.001' ELSE printf('%.3f', (k % 13) / 7000.0::DOUBLE) END AS p FROM trials""",
+        "trials",
+    ),
+)
+def formatted_statistics(spark, sf):
+    """Shares, intervals and p-values as a report prints them."""
+    x, k = F.col("k") / F.lit(7.0), F.col("k")
+    p = F.when(k % 5 != 0, (k % 13) / F.lit(7000.0))
+    return trials(spark, sf).select("trial", T.format_percent(x).alias("percent"), T.format_interval(x - 5, x - 6, x).alias("interval"), T.format_p(p).alias("p"))
+
+
+@query(
+    "normalised_times",
+    compose(
+        """SELECT trial, CASE trial % 5 WHEN 0 THEN d || 'T10:11:12Z' WHEN 1 THEN d || 'T08:11:12Z' WHEN 2 THEN d || 'T15:41:12Z' END AS utc, CASE WHEN trial % 4 = 0 THEN d END AS day
+        FROM (SELECT trial, strftime(DATE '2020-01-01' + (trial % 2000)::INT, '%Y-%m-%d') AS d FROM trials)""",
+        "trials",
+    ),
+)
+def normalised_times(spark, sf):
+    """Timestamps with a zone in UTC, others refused; dates only in their strict form."""
+    d = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("trial") % 2000).cast("int")), "yyyy-MM-dd")
+    tail = F.element_at(F.array(*[F.lit(x) for x in ("T10:11:12Z", "T10:11:12+02:00", "T10:11:12.5-0530", "T10:11:12", " 10:11:12Z")]), (F.col("trial") % 5 + 1).cast("int"))
+    day = F.element_at(F.array(d, F.concat(d, F.lit(" ")), F.concat(F.lit("x"), d), F.replace(d, F.lit("-"), F.lit("/"))), (F.col("trial") % 4 + 1).cast("int"))
+    return trials(spark, sf).select("trial", T.utc_timestamp(F.concat(d, tail)).alias("utc"), F.date_format(T.iso_date(day), "yyyy-MM-dd").alias("day"))
+
+
+@query(
+    "sibling_names",
+    """SELECT c_custkey AS ord, c_nationkey AS parent, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (
+      SELECT *, row_number() OVER (PARTITION BY c_nationkey, base ORDER BY c_custkey) AS n FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'north' WHEN c_custkey % 7 = 0 THEN 'south' ELSE 'east' END AS base FROM customer))""",
+)
+def sibling_names(spark, sf):
+    """Customers of a nation under three names, numbered where a name is taken."""
+    k = F.col("c_custkey")
+    base = F.when(k % 3 == 0, "north").when(k % 7 == 0, "south").otherwise("east")
+    nodes = corpus.table(spark, sf, "customer").select(F.lit(1).alias("doc"), k.alias("ord"), F.col("c_nationkey").alias("parent"), base.alias("base"))
+    return tree.sibling_suffix(nodes, ["doc"], "base").select("ord", "parent", "slug")
