@@ -73,7 +73,7 @@ def test_stretches_give_the_same_tokens():
     for t in ts:
         assert "".join(tokencount.cuts(t, 7)) == t
     assert tokencount.cuts_at_blanks(BYTE) and not tokencount.cuts_at_blanks(WORD)
-    assert tokencount.counter(BYTE)([" " * 5_000_000 + "x"]) == [tokencount.counter(BYTE, step=10**9)([" " * 5_000_000 + "x"])[0]]
+    assert tokencount.counter(BYTE)([" " * 300_000 + "x"]) == [tokencount.counter(BYTE, step=10**9)([" " * 300_000 + "x"])[0]]
 
 
 def test_version_follows_the_file(tmp_path):
