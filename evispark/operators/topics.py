@@ -34,13 +34,15 @@ def front_matter(blocks: DataFrame, outline: DataFrame, keys) -> DataFrame:
     """
     keys = list(keys)
     first = outline.groupBy(*keys).agg(F.min("page").alias("_first"))
-    before = blocks.join(first, keys)
     place = F.struct("page", F.round("y", 1).alias("r"), "x", "y")
-    line = F.get(F.filter(F.transform(F.split("text", "\n"), flat), lambda x: x != ""), F.lit(0))
-    cover = F.min_by(line, F.when((F.col("page") == 0) & line.isNotNull(), place)).alias("cover")
-    upper = F.upper(flat(F.col("text")))
-    named = [F.min(F.when((F.col("page") < F.col("_first")) & F.contains(upper, F.lit(h)), place)).alias(f"h{i}") for i, h in enumerate(FRONT_HEADINGS)]
-    at = before.groupBy(*keys).agg(cover, *named)
+    line = F.when(F.col("page") == 0, F.get(F.filter(F.transform(F.split("text", "\n"), flat), lambda x: x != ""), F.lit(0)))
+    # Only blocks with a heading's first word are looked at in full.
+    upper = F.upper("text")
+    said = [F.when(F.contains(upper, F.lit(h.split()[0])), F.contains(F.upper(flat(F.col("text"))), F.lit(h))) for h in FRONT_HEADINGS]
+    marks = blocks.select(*keys, line.alias("_line"), F.when(F.col("page") == 0, place).alias("_at"), *[F.when(c & F.col("page").isNotNull(), place).alias(f"h{i}") for i, c in enumerate(said)])
+    # Places begin with their page, so a document's first place decides whether any is before the outline; no text is shuffled.
+    at = marks.groupBy(*keys).agg(F.min_by("_line", F.when(F.col("_line").isNotNull(), F.col("_at"))).alias("cover"), *[F.min(f"h{i}").alias(f"h{i}") for i in range(len(FRONT_HEADINGS))])
+    at = at.join(first, keys).select(*keys, "cover", *[F.when(F.col(f"h{i}.page") < F.col("_first"), F.col(f"h{i}")).alias(f"h{i}") for i in range(len(FRONT_HEADINGS))])
     found = F.array_sort(
         F.filter(
             F.array(*[F.when(F.col(f"h{i}").isNotNull(), F.struct(F.col(f"h{i}").alias("at"), F.lit(i).alias("i"), F.lit(h.title()).alias("title"))) for i, h in enumerate(FRONT_HEADINGS)]),
@@ -91,7 +93,7 @@ def _named(shape: DataFrame, keys, levels: int) -> DataFrame:
     name = T.topic_slug(F.when(F.col("section_number").isNotNull(), bare).otherwise(F.col("title")))
     number = F.lpad((F.col("_at") + 1).cast("string"), F.greatest(F.lit(2), F.length((F.col("_at") + 1).cast("string"))), F.lit("0"))
     base = F.when(F.col("section_number").isNotNull(), F.concat_ws("-", T.topic_slug(F.col("section_number")), name)).when(F.col("parent").isNull(), F.concat_ws("-", number, name)).otherwise(name)
-    named = tree.sibling_suffix(shape.join(roots, [*keys, "ord"], "left").withColumn("base", base).drop("_at"), keys, "base").drop("base")
+    named = settle(tree.sibling_suffix(shape.join(roots, [*keys, "ord"], "left").withColumn("base", base).drop("_at"), keys, "base").drop("base"))
     paths = tree.outline_paths(named.select(*keys, "ord", "parent", F.col("slug").alias("title")), keys, levels)
     path = F.concat(F.lit("concepts/"), F.replace("title_path", F.lit(" > "), F.lit("/")), F.lit(".md"))
     return named.join(paths.select(*keys, "ord", path.alias("path")), [*keys, "ord"])

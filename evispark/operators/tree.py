@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,25 +66,36 @@ def sibling_suffix(nodes: DataFrame, keys, base: str) -> DataFrame:
 
     Siblings take their names in ``ord`` order. Only names that agree up to
     trailing numbers can meet, so these are one group, not all of a parent's
-    children.
+    children. Groups travel as rows, many to a batch; one without equal bases
+    keeps them and is not renamed in Python.
     """
     keys = list(keys)
     stem = F.regexp_replace(F.col(base), r"(-\d+)+$", "")
 
-    def name(pdf):
-        used, free, out = set(), {}, []
-        pdf = pdf.sort_values("ord")
-        for b in pdf[base]:
-            slug, n = b, free.get(b, 2)
-            while slug in used:
-                slug, n = f"{b}-{n}", n + 1
-            free[b] = n  # lower numbers are taken for good
-            used.add(slug)
-            out.append(slug)
-        return pdf.drop(columns=["_stem"]).assign(slug=out)
-
-    columns = ", ".join(f"`{n}` {t}" for n, t in nodes.dtypes)
-    return nodes.withColumn("_stem", stem).groupBy(*keys, "parent", "_stem").applyInPandas(name, f"{columns}, slug string")
+    @F.pandas_udf("array<string>")
+    def renamed(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda g: None if g is None else unique_names(g))
+
+    rest = [c for c in nodes.columns if c not in (*keys, "parent", "ord")]
+    groups = nodes.groupBy(*keys, "parent", stem.alias("_stem")).agg(F.collect_list(F.struct("ord", *rest)).alias("_g"))
+    groups = groups.withColumn("_g", F.array_sort("_g", lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)))
+    names = F.col("_g")[base]
+    groups = groups.withColumn("_slugs", renamed(F.when(F.size(F.array_distinct(names)) < F.size(names), names)))
+    rows = F.arrays_zip(F.col("_g").alias("row"), F.coalesce("_slugs", names).alias("slug"))
+    return groups.select(*keys, "parent", F.explode(rows).alias("_e")).select(*[F.col(c) if c in (*keys, "parent") else F.col(f"_e.row.{c}") for c in nodes.columns], F.col("_e.slug").alias("slug"))
+
+
+def unique_names(bases) -> list[str]:
+    """Each base as it is, or with the first unused of -2, -3, ..."""
+    used, free, out = set(), {}, []
+    for b in bases:
+        slug, n = b, free.get(b, 2)
+        while slug in used:
+            slug, n = f"{b}-{n}", n + 1
+        free[b] = n  # lower numbers are taken for good
+        used.add(slug)
+        out.append(slug)
+    return out
 
 
 def slug_collisions(nodes: DataFrame, keys) -> DataFrame:

@@ -77,6 +77,28 @@ def test_many_equal_names_are_numbered_in_order(spark):
     assert got == ["name", *[f"name-{i}" for i in range(2, 3001)]]
 
 
+def test_front_matter_shuffles_no_text(spark):
+    blocks = spark.createDataFrame([("d", 0, 2.0, 0.0, "Second"), ("d", 0, 1.0, 0.0, " \n First\tline \nmore"), ("d", 2, 0.0, 0.0, "list\n of  tables"), ("d", 4, 0.0, 0.0, "table of contents"), ("e", 7, 0.0, 0.0, "x"), ("f", 0, 0.0, 0.0, "no outline"), ("d", None, 0.0, 0.0, "List of tables")], BLOCKS)
+    outline = spark.createDataFrame([("d", 0, 1, "A", 3, 0.0), ("e", 0, 1, "B", 7, 0.0), ("g", 0, 1, "no blocks", 0, 0.0)], OUTLINE)
+    got = topics.front_matter(blocks, outline, ["doc"])
+    assert sorted((r.doc, r.ord, r.title, r.page) for r in got.collect()) == [("d", 0, "Front Matter", 0), ("d", 1, "First line", 0), ("d", 2, "List Of Tables", 2), ("e", 0, "Front Matter", 0), ("e", 1, "Cover", 0)]
+    big = topics.front_matter(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("lang AS doc", "doc_id AS page", "0D AS y", "0D AS x", "text"), outline, ["doc"])
+    exchanges = [p for p in big._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in p]
+    assert exchanges and not any("text#" in p for p in exchanges)
+    plan = big._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("min(")  # places are gathered before they meet the outline
+
+
+def test_many_small_groups_of_names_share_batches(spark):
+    df = spark.range(4000).select(F.expr("id div 4").alias("doc"), F.col("id").alias("ord"), F.lit(None).cast("long").alias("parent"), F.when(F.col("id") % 4 == 3, "name").otherwise(F.concat(F.lit("name-"), (F.col("id") % 4 + 1).cast("string"))).alias("b"), F.array(F.col("id")).alias("more"))
+    df = df.unionByName(spark.sql("SELECT id div 2 AS doc, 9000 + id AS ord, NULL AS parent, 'name' AS b, array(id) AS more FROM range(2)"))
+    got = tree.sibling_suffix(df, ["doc"], "b")
+    assert got.columns == [*df.columns, "slug"] and got.filter("more[0] <> ord % 9000").count() == 0
+    assert [r.slug for r in got.filter("doc = 0").orderBy("ord").collect()] == ["name-1", "name-2", "name-3", "name", "name-4", "name-5"]
+    assert got.filter("doc > 0 AND slug <> b").count() == 0 and got.count() == 4002
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # a call of Python for each group
+
+
 def plain_pieces(word, vocab):
     out, at = 0, 0
     if len(word) > 100:
