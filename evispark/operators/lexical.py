@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from evispark.functions import numeric, text
 from evispark.operators.ranking import by_score, check_limits, top_k
-from evispark.session import broadcast_if, fits_broadcast, settle, spread
+from evispark.session import broadcast_if, fits_broadcast, parts_for, settle, spread
 
 PLAIN = (("text", 1.0),)
 SALTS = 16
+# Input behind a task that counts and scores hits: a passage can match every question of its tenant.
+PART_BYTES = 8 << 20
 
 
 def term_rows(docs: DataFrame, fields=PLAIN) -> DataFrame:
@@ -62,15 +64,17 @@ def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings
     rows = docs.withColumnRenamed("tf", "w") if from_postings else term_rows(docs, fields)
     keys = ["tenant", "doc_id", "dl", "term"]
     hits = rows.join(broadcast_if(wanted, small), ["tenant", "term"]).select(*keys, "w")
+    parts = parts_for(docs, PART_BYTES)
+    n = [] if parts is None else [parts]
     if small:
         # (qid, doc_id) groups of the scoring step are co-located by this shuffle.
-        hits = hits.repartition("doc_id")
+        hits = hits.repartition(*n, "doc_id")
     else:
         # The weights will be shuffled too: meet them on the term, with every
         # term spread over SALTS partitions, as one may be in most documents.
         keys.append("salt")
         hits = hits.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-        hits = hits.repartition("tenant", "term", "salt")
+        hits = hits.repartition(*n, "tenant", "term", "salt")
     return hits.groupBy(*keys).agg(F.sum("w").alias("tf"))
 
 

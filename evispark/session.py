@@ -40,6 +40,24 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def scan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size of the inputs behind a plan, whatever joins and projections make of them; None where one has no figure."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    sizes = [int(str(x.stats().sizeInBytes())) for x in leaves]
+    return None if max(sizes, default=0) >= 1 << 50 or any(x.nodeName() == "LogicalRDD" for x in leaves) else sum(sizes)
+
+
+def parts_for(df: DataFrame, part_bytes: int) -> int | None:
+    """Partitions of at most ``part_bytes`` of the input behind ``df``; None where each core has at most one, or sizes are not known.
+
+    AQE joins partitions by the bytes that were shuffled, which says nothing of
+    steps that make many rows of one, so these count their own.
+    """
+    n = -(-(scan_bytes(df) or 0) // part_bytes)
+    return n if n > df.sparkSession.sparkContext.defaultParallelism else None
+
+
 def fits_broadcast(source: DataFrame, growth: float = 1.0) -> bool:
     """Whether data derived from ``source`` stays below the broadcast bound.
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from evispark.functions.text import STOP_WORDS
 from evispark.operators import containment, dense, fusion, graph, lexical
 from evispark.operators.ranking import by_score, top_k
+from evispark.plans import corpus as tables
+from evispark.session import settle
 
 WORDS = "alpha beta gamma delta the of pole wire grid risk fire plan".split()
 
@@ -210,3 +212,17 @@ def test_tenants_come_from_the_documents(spark, tmp_path):
     spark.createDataFrame([(1, "uno", "it"), (2, "one", "en"), (3, "x", None)], "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(7, "uno")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted(r["qid"] for r in corpus.questions(spark, str(tmp_path)).collect()) == ["en-7", "it-7"]
+
+
+def test_hits_get_partitions_by_the_size_of_the_input(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    docs, asked = tables.chunks(spark, sf), tables.questions(spark, sf)
+    best = lambda: sorted((r.qid, r.doc_id, r.rank, round(r.score, 9)) for r in lexical.bm25_top_k(docs, asked, 3).collect())
+    want = best()
+    monkeypatch.setattr(lexical, "PART_BYTES", 100_000, raising=False)
+    parts = lambda d: re.findall(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", lexical.term_hits(d, asked)._jdf.queryExecution().executedPlan().toString())
+    one, two = int(parts(docs)[0]), int(parts(docs.union(docs))[0])
+    assert one >= 10 and abs(two - 2 * one) <= 1
+    assert best() == want
+    local = spark.createDataFrame([("en", 1, "a b")], "tenant string, doc_id bigint, text string")
+    assert not parts(local) and not parts(settle(docs))  # no figure: left to AQE
