@@ -14,6 +14,8 @@ MOST_PIECES = 500_000
 # Longer words are one unknown piece; the pieces of so many words are kept by each task.
 LONGEST_WORD, KEPT_WORDS = 100, 200_000
 CONTINUED = "##"
+# Rows whose words are Python objects at one time: a batch of 10,000 passages has millions of words.
+ROWS_AT_ONCE = 64
 
 
 class Trie:
@@ -82,9 +84,11 @@ def piece_counts(docs: DataFrame, vocabulary: DataFrame, words: Column | None =
 
         for b in batches:
             out = []
-            for ws in b.column("_words").to_pylist():
-                sizes = [size(w) for w in ws or ()]
-                out.append((len(sizes), sum(sizes) + sizes.count(0), sizes.count(0)))
+            words = b.column("_words")
+            for at in range(0, len(words), ROWS_AT_ONCE):
+                for ws in words.slice(at, ROWS_AT_ONCE).to_pylist():
+                    sizes = [size(w) for w in ws or ()]
+                    out.append((len(sizes), sum(sizes) + sizes.count(0), sizes.count(0)))
             n, pieces, unknown = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], *[pa.array(x, pa.int64()) for x in (n, pieces, unknown)]], [*keep, "n_words", "n_pieces", "n_unknown"])
 

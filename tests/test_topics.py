@@ -140,3 +140,20 @@ def test_digest_trees_are_compared_from_the_top(spark):
     assert experiment.tree_differences(files, files.repartition(5)).count() == 0
     assert experiment.tree_differences(files.limit(0), files.limit(0)).count() == 0
     assert experiment.tree_differences(files.limit(0), files).filter("problem = 'unexpected'").count() == 400
+
+
+def test_word_pieces_make_few_rows_python_objects_at_once(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    docs, taken = spark.sql("SELECT 1L AS doc_id, 'a' AS text"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    wordpiece.piece_counts(docs, spark.sql("SELECT 'alpha' AS piece"))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "_words": [["alpha"] * 100 + [f"b{i}"] for i in range(2999)] + [None]})
+    tracemalloc.start()
+    (out,) = taken[0]([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("n_words").to_pylist() == [101] * 2999 + [0] and out.column("n_unknown").to_pylist() == [1] * 2999 + [0]
+    assert peak < 8e6  # 16.7 MB if the batch is turned as a whole
