@@ -17,6 +17,8 @@ from evispark.session import spread
 BLOCK_BYTES = 64 << 20
 # Scores a task holds at once.
 SCORES_AT_ONCE = 4 << 20
+# Rows a task turns into vectors at once, and words whose bucket it remembers.
+ROWS_AT_ONCE, KEPT_WORDS = 2048, 100_000
 RESULT = "qid string, tenant string, doc_id bigint, score double"
 
 
@@ -63,7 +65,7 @@ def hashing_encode(dim: int = 384):
     known: dict[str, int] = {}
 
     def encode(texts) -> np.ndarray:
-        if len(known) > 1_000_000:
+        if len(known) > KEPT_WORDS:
             known.clear()
         out = np.zeros((len(texts), dim))
         for row, t in enumerate(texts):
@@ -98,7 +100,7 @@ def _search(block, matrix, k: int):
                     continue
                 qids, q = by_tenant[tenant]
                 kept = best.setdefault(tenant, [(np.empty(0, np.int64), np.empty(0))] * len(qids))
-                step = max(k, SCORES_AT_ONCE // len(qids))
+                step = max(k, min(ROWS_AT_ONCE, SCORES_AT_ONCE // len(qids)))
                 for lo in range(0, len(group), step):
                     part = group.iloc[lo : lo + step]
                     ids = part["doc_id"].to_numpy()

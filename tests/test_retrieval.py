@@ -226,3 +226,23 @@ def test_hits_get_partitions_by_the_size_of_the_input(spark, monkeypatch):
     assert best() == want
     local = spark.createDataFrame([("en", 1, "a b")], "tenant string, doc_id bigint, text string")
     assert not parts(local) and not parts(settle(docs))  # no figure: left to AQE
+
+
+def test_dense_search_holds_few_rows_and_words_at_once():
+    import inspect
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng, sizes = np.random.default_rng(5), []
+    vectors, q = rng.normal(size=(9000, 4)), rng.normal(size=(3, 4))
+    matrix = lambda p: sizes.append(len(p)) or vectors[p["doc_id"]]
+    rows = pd.DataFrame({"doc_id": np.arange(9000), "tenant": "t"})
+    got = pd.concat(dense._search(SimpleNamespace(value={"t": (["a", "b", "c"], q)}), matrix, 5)([rows]))
+    for i, name in enumerate("abc"):
+        assert sorted(got[got.qid == name].doc_id) == sorted(np.argsort(-(vectors @ q[i]))[:5])
+    assert sum(sizes) == 9000 and max(sizes) <= 2048
+    encode = dense.hashing_encode(8)
+    encode([" ".join(f"w{i}" for i in range(200_000))])
+    encode(["a"])
+    assert len(inspect.getclosurevars(encode).nonlocals["known"]) == 1
