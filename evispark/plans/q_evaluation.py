@@ -305,7 +305,7 @@ def oversized_units(spark, sf):
     ),
 )
 def unit_size_statistics(spark, sf):
-    s = sized(spark, sf)
+    s = settle(sized(spark, sf))  # three passes read the counts
     plain = s.groupBy("tenant").agg(
         F.count(F.lit(1)).alias("n"), F.max("tokens").alias("largest"), F.min("tokens").alias("smallest"),
         F.floor(F.sum("tokens") / F.count(F.lit(1))).alias("integer_mean"),

@@ -287,3 +287,10 @@ def test_joined_export_encodes_nested_columns(spark):
     j = spark.createDataFrame([(1, {"s": 5})], "k int, scores map<string,int>")
     got = {r["k"]: (r["ids"], r["scores"]) for r in experiment.joined_export(a, j, ["k"]).collect()}
     assert got == {1: ('["x","y"]', '{"s":5}'), 2: (None, None)}
+
+
+def test_unit_sizes_are_counted_once(spark):
+    from evispark.plans import q_evaluation
+
+    got = q_evaluation.unit_size_statistics(spark, "/root/testdata/sf0.001")
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()  # the texts were read three times
