@@ -17,8 +17,8 @@ from evispark.session import broadcast_if, fits_broadcast, parts_for, settle, sp
 
 PLAIN = (("text", 1.0),)
 SALTS = 16
-# Input behind a task that counts and scores hits: a passage can match every question of its tenant.
-PART_BYTES = 8 << 20
+# Input and passages behind a task that counts and scores hits: a passage can match every question of its tenant.
+PART_BYTES, PART_ROWS = 8 << 20, 4096
 
 
 def term_rows(docs: DataFrame, fields=PLAIN) -> DataFrame:
@@ -57,6 +57,16 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings: bool = False) -> DataFrame:
     """Postings that some question of the tenant asks for, shuffled once."""
+    return _term_hits(docs, questions, fields, from_postings, _parts(docs, from_postings))
+
+
+def _parts(docs: DataFrame, from_postings: bool) -> list:
+    """First argument of repartition for the hits of ``docs``, if any; postings have one row a passage with the empty term."""
+    n = parts_for(docs.filter("term = ''") if from_postings else docs, PART_BYTES, PART_ROWS)
+    return [] if n is None else [n]
+
+
+def _term_hits(docs: DataFrame, questions: DataFrame, fields, from_postings: bool, n: list) -> DataFrame:
     small = fits_broadcast(questions)
     wanted = questions.select(
         "tenant", F.explode(F.concat(F.array(F.lit("")), text.query_terms(F.col("text")))).alias("term")
@@ -64,8 +74,6 @@ def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings
     rows = docs.withColumnRenamed("tf", "w") if from_postings else term_rows(docs, fields)
     keys = ["tenant", "doc_id", "dl", "term"]
     hits = rows.join(broadcast_if(wanted, small), ["tenant", "term"]).select(*keys, "w")
-    parts = parts_for(docs, PART_BYTES)
-    n = [] if parts is None else [parts]
     if small:
         # (qid, doc_id) groups of the scoring step are co-located by this shuffle.
         hits = hits.repartition(*n, "doc_id")
@@ -104,13 +112,21 @@ class Bm25:
                  from_postings: bool = False, keep: bool = False):
         """``keep`` settles the hits, for searches that score twice: texts are then tokenised once."""
         self.small = fits_broadcast(questions)
-        hits = term_hits(docs, questions, fields, from_postings)
-        self.hits = settle(hits) if keep else hits
+        n = _parts(docs, from_postings)
+        hits = _term_hits(docs, questions, fields, from_postings, n)
+        if keep:
+            hits = settle(hits)
+        self.hits = self.read = hits
         self.part = F.col("w") * numeric.saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
         weights = question_terms(questions).join(term_statistics(self.hits), ["tenant", "term"]).select(
             "qid", "tenant", "term",
             (F.col("qf") * numeric.idf(F.col("n_docs"), F.col("df"))).alias("w"), "avgdl",
         )
+        if keep:
+            weights = settle(weights)
+            if self.small:
+                # Every pair is scored here. What was settled has lost its partitions: meet on doc_id again, as hits are fewer than the pairs they make.
+                self.hits = hits.repartition(*n, "doc_id")
         self.on = ["tenant", "term"]
         if not self.small:
             weights = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -127,7 +143,7 @@ class Bm25:
 
     def scores_of(self, pairs: DataFrame, pairs_small: bool = False) -> DataFrame:
         """(qid, doc_id, score) of the given (qid, doc_id) pairs only."""
-        few = self.hits.join(broadcast_if(pairs.select("qid", "doc_id"), pairs_small), "doc_id")
+        few = (self.read if pairs_small else self.hits).join(broadcast_if(pairs.select("qid", "doc_id"), pairs_small), "doc_id")
         return few.join(broadcast_if(self.weights, self.small), [*self.on, "qid"]).groupBy("qid", "doc_id").agg(F.sum(self.part).alias("score"))
 
 

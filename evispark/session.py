@@ -48,13 +48,15 @@ def scan_bytes(df: DataFrame) -> int | None:
     return None if max(sizes, default=0) >= 1 << 50 or any(x.nodeName() == "LogicalRDD" for x in leaves) else sum(sizes)
 
 
-def parts_for(df: DataFrame, part_bytes: int) -> int | None:
-    """Partitions of at most ``part_bytes`` of the input behind ``df``; None where each core has at most one, or sizes are not known.
+def parts_for(df: DataFrame, part_bytes: int, part_rows: int) -> int | None:
+    """Partitions of at most ``part_rows`` rows of ``df`` and ``part_bytes`` of the input behind it; None where each core has at most one.
 
     AQE joins partitions by the bytes that were shuffled, which says nothing of
-    steps that make many rows of one, so these count their own.
+    steps that make many rows of one, so these count their own. Files say little
+    too where a few bytes of a dictionary stand for many long texts, so the rows
+    are counted, which reads no text.
     """
-    n = -(-(scan_bytes(df) or 0) // part_bytes)
+    n = max(-(-(scan_bytes(df) or 0) // part_bytes), -(-df.count() // part_rows))
     return n if n > df.sparkSession.sparkContext.defaultParallelism else None
 
 

@@ -246,3 +246,23 @@ def test_dense_search_holds_few_rows_and_words_at_once():
     encode([" ".join(f"w{i}" for i in range(200_000))])
     encode(["a"])
     assert len(inspect.getclosurevars(encode).nonlocals["known"]) == 1
+
+
+def test_hits_get_partitions_by_rows_where_files_are_small(spark, tmp_path, monkeypatch):
+    # A dictionary holds the one text of many passages in a few bytes.
+    path = str(tmp_path / "docs.parquet")
+    text = F.lit("pole wire grid risk " * 50)
+    spark.range(0, 3000, 1, 1).select(F.lit("en").alias("tenant"), F.col("id").alias("doc_id"), text.alias("text")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    spark.createDataFrame([("q1", "en", "pole risk"), ("q2", "en", "wire")], "qid string, tenant string, text string").write.parquet(str(tmp_path / "q"))
+    asked = spark.read.parquet(str(tmp_path / "q"))
+    monkeypatch.setattr(lexical, "PART_ROWS", 100, raising=False)
+    parts = lambda d: re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", d._jdf.queryExecution().executedPlan().toString())
+    assert parts(lexical.term_hits(docs, asked)) == ["30"]
+    postings = lexical.postings(docs)
+    assert parts(lexical.term_hits(postings, asked, from_postings=True)) == ["30"]
+    # Hits that were settled are dealt out again, before pairs are made of them.
+    plain, kept = lexical.Bm25(docs, asked), lexical.Bm25(docs, asked, keep=True)
+    assert set(parts(kept.scores())) == {"30"}
+    rows = lambda b: sorted((r.qid, r.doc_id, round(r.score, 9)) for r in b.scores().collect())
+    assert rows(kept) == rows(plain) and len(rows(plain)) == 6000
