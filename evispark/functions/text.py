@@ -130,6 +130,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def has_words(text: Column) -> Column:
+    """Whether `words` finds any, without cutting the text."""
+    return F.coalesce(text.rlike("[^" + SPACE[1:-1]), F.lit(False))
+
+
 def token_count(text: Column) -> Column:
     """Approximate model tokens: floor(words * 1.3) + 1, and 1 for empty text.
 

@@ -80,7 +80,8 @@ def bm25_field_weighted(spark, sf):
             "FROM d_vec GROUP BY doc_id", "d_vec"),
 )
 def hashing_vectors(spark, sf):
-    v = dense.hashing_vectors(corpus.chunks(spark, sf), "doc_id").filter(F.size("idx") > 0)
+    # Not a filter on idx: Spark pushes it below the exchange of texts and makes every vector twice.
+    v = dense.hashing_vectors(corpus.chunks(spark, sf).filter(T.has_words(F.col("text"))), "doc_id")
     return v.select(
         "doc_id", F.size("idx").alias("n_buckets"), F.round(F.array_max("val"), 6).alias("peak"),
         F.array_min("idx").alias("first_bucket"),

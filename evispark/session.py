@@ -12,6 +12,8 @@ from evispark.errors import EvidenceError
 
 # A side is broadcast only when the bytes behind it are at most this.
 BROADCAST_BYTES = 8 << 20
+# Rows of a task where texts are cut into words; a scan split of usual texts has fewer than SPLIT_ROWS.
+SPREAD_ROWS, SPLIT_ROWS = 8192, 1 << 16
 
 
 def local_session(app: str = "evispark", cpus: str | int = "8", memory: str = "8g") -> SparkSession:
@@ -76,18 +78,22 @@ def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Fan a tiny input out over the cores.
+    """Fan out an input that few tasks would read.
 
     A file with one row group is scanned by one task. Below one scan split of
-    data that costs all parallelism, so such inputs are redistributed first;
-    larger inputs already come in many splits and are left alone.
+    data that costs all parallelism, so such inputs are redistributed first,
+    at most SPREAD_ROWS rows a task: a small file can stand for many long
+    texts. Larger inputs come in many splits and are left alone, unless a row
+    group leaves more than SPLIT_ROWS rows in one of them.
     """
     spark = df.sparkSession
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if plan_bytes(df) >= split:
+    rows = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.sum("count"), F.max("count")).first()
+    total, most = rows[0] or 0, rows[1] or 0
+    if plan_bytes(df) >= split and most <= SPLIT_ROWS:
         return df
-    n = spark.sparkContext.defaultParallelism
-    return df.repartition(n, *keys) if keys else df.repartition(n)
+    n = max(spark.sparkContext.defaultParallelism, -(-total // SPREAD_ROWS))
+    return df.repartition(n, *keys)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.functions.text import STOP_WORDS
+from evispark.functions.text import STOP_WORDS, has_words, words
 from evispark.operators import containment, dense, fusion, graph, lexical
 from evispark.operators.ranking import by_score, top_k
 from evispark.plans import corpus as tables
+from evispark import session
 from evispark.session import settle
 
 WORDS = "alpha beta gamma delta the of pole wire grid risk fire plan".split()
@@ -266,3 +267,26 @@ def test_hits_get_partitions_by_rows_where_files_are_small(spark, tmp_path, monk
     assert set(parts(kept.scores())) == {"30"}
     rows = lambda b: sorted((r.qid, r.doc_id, round(r.score, 9)) for r in b.scores().collect())
     assert rows(kept) == rows(plain) and len(rows(plain)) == 6000
+
+
+def test_hashing_vectors_are_made_once_in_tasks_of_few_rows(spark, tmp_path, monkeypatch):
+    from evispark.plans import q_retrieval
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100, raising=False)
+    plan = q_retrieval.hashing_vectors(spark, "/root/testdata/sf0.01")._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("md5(") == 1
+    assert "RoundRobinPartitioning(10)" in plan.executedPlan().toString()
+    # A row group with too many rows for a scan split is dealt out as well.
+    path = str(tmp_path / "docs.parquet")
+    spark.range(0, 1000, 1, 1).select("id", F.lit("a b").alias("text")).write.parquet(path)
+    docs = spark.read.parquet(path)
+    monkeypatch.setattr(session, "plan_bytes", lambda df: 1 << 40)
+    assert session.spread(docs) is docs
+    monkeypatch.setattr(session, "SPLIT_ROWS", 500, raising=False)
+    assert session.spread(docs).rdd.getNumPartitions() == 10
+
+
+def test_has_words_agrees_with_words(spark):
+    texts = ["", " ", "\u00a0\u2003\n\x0b\x1c\x85", "a", " \u3000x\t", "\u200b", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(has_words(F.col("t")).alias("h"), F.size(words(F.coalesce("t", F.lit("")))).alias("n"))
+    assert all(r.h == (r.n > 0) for r in rows.collect())
