@@ -22,6 +22,8 @@ def verbatim_pairs(docs: DataFrame, items: DataFrame, item_id: str) -> DataFrame
     inner = items.withColumn("_t", toks).withColumn("_in", F.slice("_t", 2, F.greatest(F.size("_t") - 2, F.lit(0))))
     named = inner.filter(F.size("_in") > 0).select(item_id, F.explode(F.array_distinct("_in")).alias("tok"))
     vocabulary = named.select("tok").distinct()
+    # Both readers of the pairs found ask for ids that are not null, so that Spark reuses their exchange.
+    docs = docs.filter("doc_id is not null")
     d = spread(docs.select("doc_id", "tenant", "text"), "doc_id")
     found = (
         d.select("doc_id", F.explode_outer(F.array_distinct(toks)).alias("tok"))

@@ -290,3 +290,14 @@ def test_has_words_agrees_with_words(spark):
     texts = ["", " ", "\u00a0\u2003\n\x0b\x1c\x85", "a", " \u3000x\t", "\u200b", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(has_words(F.col("t")).alias("h"), F.size(words(F.coalesce("t", F.lit("")))).alias("n"))
     assert all(r.h == (r.n > 0) for r in rows.collect())
+
+
+def test_texts_are_cut_once_for_both_readers_of_quotations(spark, tmp_path):
+    text = F.concat(F.lit("the pole wire grid fell "), F.col("doc_id").cast("string"))
+    spark.range(0, 40).select(F.col("id").alias("doc_id"), F.lit("en").alias("tenant")).withColumn("text", text).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(1, "pole wire grid"), (2, "grid fell 7")], "item_id bigint, text string").write.parquet(str(tmp_path / "i"))
+    pairs = containment.verbatim_pairs(spark.read.parquet(str(tmp_path / "d")), spark.read.parquet(str(tmp_path / "i")), "item_id")
+    assert len(pairs.collect()) == 41
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    scans = re.findall(r"FileScan parquet \[doc_id#\d+L,text#\d+\]", plan)
+    assert len(scans) == 1 and "ReusedExchange [doc_id#" in plan
