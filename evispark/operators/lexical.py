@@ -17,8 +17,8 @@ from evispark.session import broadcast_if, fits_broadcast, parts_for, settle, sp
 
 PLAIN = (("text", 1.0),)
 SALTS = 16
-# Input and passages behind a task that counts and scores hits: a passage can match every question of its tenant.
-PART_BYTES, PART_ROWS = 8 << 20, 4096
+# Input, passages and (question, passage) pairs behind a task that counts and scores hits: a passage can match every question of its tenant.
+PART_BYTES, PART_ROWS, PART_PAIRS = 8 << 20, 4096, 800_000
 
 
 def term_rows(docs: DataFrame, fields=PLAIN) -> DataFrame:
@@ -57,12 +57,14 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 def term_hits(docs: DataFrame, questions: DataFrame, fields=PLAIN, from_postings: bool = False) -> DataFrame:
     """Postings that some question of the tenant asks for, shuffled once."""
-    return _term_hits(docs, questions, fields, from_postings, _parts(docs, from_postings))
+    return _term_hits(docs, questions, fields, from_postings, _parts(docs, questions, from_postings))
 
 
-def _parts(docs: DataFrame, from_postings: bool) -> list:
+def _parts(docs: DataFrame, questions: DataFrame, from_postings: bool) -> list:
     """First argument of repartition for the hits of ``docs``, if any; postings have one row a passage with the empty term."""
-    n = parts_for(docs.filter("term = ''") if from_postings else docs, PART_BYTES, PART_ROWS)
+    asked = questions.groupBy("tenant").count().agg(F.max("count")).first()[0] or 1
+    rows = max(1, min(PART_ROWS, PART_PAIRS // asked))
+    n = parts_for(docs.filter("term = ''") if from_postings else docs, PART_BYTES, rows)
     return [] if n is None else [n]
 
 
@@ -112,7 +114,7 @@ class Bm25:
                  from_postings: bool = False, keep: bool = False):
         """``keep`` settles the hits, for searches that score twice: texts are then tokenised once."""
         self.small = fits_broadcast(questions)
-        n = _parts(docs, from_postings)
+        n = _parts(docs, questions, from_postings)
         hits = _term_hits(docs, questions, fields, from_postings, n)
         if keep:
             hits = settle(hits)

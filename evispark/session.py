@@ -51,7 +51,7 @@ def scan_bytes(df: DataFrame) -> int | None:
 
 
 def parts_for(df: DataFrame, part_bytes: int, part_rows: int) -> int | None:
-    """Partitions of at most ``part_rows`` rows of ``df`` and ``part_bytes`` of the input behind it; None where each core has at most one.
+    """Partitions of at most ``part_rows`` rows of ``df`` and ``part_bytes`` of the input behind it, one a core at least; None where one will do.
 
     AQE joins partitions by the bytes that were shuffled, which says nothing of
     steps that make many rows of one, so these count their own. Files say little
@@ -59,7 +59,7 @@ def parts_for(df: DataFrame, part_bytes: int, part_rows: int) -> int | None:
     are counted, which reads no text.
     """
     n = max(-(-(scan_bytes(df) or 0) // part_bytes), -(-df.count() // part_rows))
-    return n if n > df.sparkSession.sparkContext.defaultParallelism else None
+    return max(n, df.sparkSession.sparkContext.defaultParallelism) if n > 1 else None
 
 
 def fits_broadcast(source: DataFrame, growth: float = 1.0) -> bool:

@@ -301,3 +301,23 @@ def test_texts_are_cut_once_for_both_readers_of_quotations(spark, tmp_path):
     plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     scans = re.findall(r"FileScan parquet \[doc_id#\d+L,text#\d+\]", plan)
     assert len(scans) == 1 and "ReusedExchange [doc_id#" in plan
+
+
+def test_hits_get_partitions_by_the_pairs_they_can_make(spark, tmp_path, monkeypatch):
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    docs = table("docs", [("en", i, f"pole wire w{i % 7}") for i in range(600)], "tenant string, doc_id bigint, text string")
+    ask = lambda n: [(f"q{i}", "en", f"pole w{i % 7}") for i in range(n)] + [("x", "de", "wire")]
+    few, many = (table(f"q{n}", ask(n), "qid string, tenant string, text string") for n in (10, 40))
+    best = lambda: sorted((r.qid, r.doc_id, r.rank, round(r.score, 9)) for r in lexical.bm25_top_k(docs, many, 3).collect())
+    parts = lambda q: re.findall(r"hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", lexical.term_hits(docs, q)._jdf.queryExecution().executedPlan().toString())
+    want = best()
+    assert not parts(many)  # one partition will do
+    monkeypatch.setattr(lexical, "PART_PAIRS", 1000, raising=False)
+    # 100 and 25 passages a partition: four times the questions, four times the partitions.
+    assert parts(few) == ["6"] and parts(many) == ["24"]
+    assert best() == want and len(want) == 120
+    monkeypatch.setattr(lexical, "PART_PAIRS", 12_000, raising=False)
+    assert parts(many) == ["4"]  # two would do; one a core
