@@ -94,32 +94,89 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 # Longer units between blanks are not kept from batch to batch, so a number of units bounds the bytes that are kept.
 KEPT_CHARS = 64
 
-# Blank to Python's str methods, but not to the tokenizers library.
-ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+# Texts of so many times as many characters are taken at a time where they are cut in units.
+UNITS_STEP = 4
+
+# ASCII marks that a word may stand between. No apostrophe, which may begin a contraction, and none of "<>" of special tokens.
+MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
+
+# The one letter whose lower case is a letter and a mark.
+FALLS_APART = "\u0130"
 
 
 class UnitEncoder:
-    """The tokenizers library for vocabularies that drop blanks, asked once for each distinct unit between blanks.
+    """The tokenizers library for vocabularies that drop blanks, asked once for each distinct word between blanks.
 
-    Encodings of the first ``memory`` units of at most ``KEPT_CHARS`` characters
+    A unit between blanks that is marks, letters, marks is asked for in these three parts, as the library cuts it there.
+    ``ends`` says which ids end a word. Encodings of the first ``memory`` words of at most ``KEPT_CHARS`` characters
     are kept for good, those of others for the batch at hand, so memory is bounded.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
-        self.library, self.memory, self.known, self.batch = tokenizer(path), memory, {}, {}
+    def __init__(self, path: str, ends: np.ndarray, memory: int = 400_000):
+        self.library, self.memory, self.known, self.ends = tokenizer(path), memory, {"": b""}, ends
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[t] if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
+    def ask_words(self, words: list[str], at_once: int = 500) -> list[bytes]:
+        """As `ask` for words of letters only: many a text, which ids that end a word tell apart again."""
+        groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
+        out = []
+        for group, e in zip(groups, self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                out += [raw[x:y] for x, y in itertools.pairwise(cuts)]
+            else:  # a word that the library cuts in more parts
+                out += self.ask(group)
+        return out
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         known = self.known
-        new = list({u for units in cut for u in units if u not in known})
-        fresh = dict(zip(new, self.ask(new), strict=True))
-        known.update(itertools.islice(((u, x) for u, x in fresh.items() if len(u) <= KEPT_CHARS), max(self.memory - len(known), 0)))
-        rest = {u: x for u, x in fresh.items() if u not in known}
-        get = (known | rest if rest else known).__getitem__
-        return [np.frombuffer(b"".join(map(get, units)), "<u4") for units in cut]
+        new = [x for x in pieces if x not in known]
+        words = {x for x in new if x.isalpha() and FALLS_APART not in x}
+        rest = [x for x in new if x not in words]
+        fresh = dict(zip(rest, self.ask(rest), strict=True)) | dict(zip(words, self.ask_words(list(words)), strict=True))
+        known.update(itertools.islice(((x, ids) for x, ids in fresh.items() if len(x) <= KEPT_CHARS), max(self.memory - len(known), 0)))
+        return [known[x] if x in known else fresh[x] for x in pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # At ASCII blanks only: others stay inside a unit, where the library drops them.
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        units = coded.dictionary
+        core = pc.ascii_lower(pc.ascii_trim(units, characters=MARKS))
+        word = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring(core, FALLS_APART)))
+        keys = pc.if_else(word, core, units).dictionary_encode()
+        pieces = {x: i for i, x in enumerate(keys.dictionary.to_numpy(zero_copy_only=False))}
+        parts = np.full((len(units), 3), pieces.setdefault("", len(pieces)), np.int32)
+        parts[:, 1] = keys.indices.to_numpy()
+        for column, trim in ((0, pc.ascii_ltrim), (2, pc.ascii_rtrim)):
+            marks = pc.subtract(pc.binary_length(units), pc.binary_length(trim(units, characters=MARKS))).to_numpy()
+            at = np.flatnonzero((marks > 0) & word.to_numpy(zero_copy_only=False))
+            found = units.take(pa.array(at)).to_numpy(zero_copy_only=False)
+            cuts = zip(found, marks[at].tolist(), strict=True)
+            parts[at, column] = [pieces.setdefault(u[len(u) - k :] if column else u[:k], len(pieces)) for u, k in cuts]
+        ids = self.pieces(list(pieces))
+        flat, ends = gathered(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), parts.ravel())
+        flat, ends = gathered(flat, np.diff(ends[::3]), coded.indices.to_numpy())
+        bounds = ends[np.cumsum(cut.value_lengths().to_numpy())]
+        return [flat[x:y] for x, y in itertools.pairwise([0, *bounds.tolist()])]
+
+
+def gathered(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``flat``, given by their sizes, in the order of ``which``, and where each begins and the last ends."""
+    size = sizes[which]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[which] - ends[:-1]).astype(kind), size)
+    at += np.arange(len(at), dtype=kind)
+    return flat[at], ends
 
 
 @functools.lru_cache(maxsize=2)
@@ -133,7 +190,12 @@ def unit_encoder(path: str) -> UnitEncoder | None:
     first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
     blanks = [n["type"] for n in parts] == ["NFC", "Replace", "Lowercase"] and parts[1]["pattern"] == {"Regex": r"\s+"}
     drops = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]+" in first["pattern"]["Regex"]
-    return UnitEncoder(path) if blanks and drops else None
+    suffix = spec["model"].get("end_of_word_suffix")
+    if not (blanks and drops and suffix):
+        return None
+    ends = np.zeros(max(spec["model"]["vocab"].values()) + len(spec["added_tokens"]) + 1, bool)
+    ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+    return UnitEncoder(path, ends)
 
 
 def encode_texts(texts, path: str, step_chars: int = 4 << 20):
@@ -145,6 +207,7 @@ def encode_texts(texts, path: str, step_chars: int = 4 << 20):
         return
     units = unit_encoder(path)
     t = tokenizer(path)
+    step = UNITS_STEP * step_chars if units else step_chars
     part, size = [], 0
 
     def flush():
@@ -157,7 +220,7 @@ def encode_texts(texts, path: str, step_chars: int = 4 << 20):
     for x in texts:
         part.append(x or "")
         size += len(part[-1])
-        if size >= step_chars:
+        if size >= step:
             yield from flush()
             part, size = [], 0
     if part:

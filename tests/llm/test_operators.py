@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evispark.llm import bpe, coder, components, exactdup, langid, linedup, packing, pii, sharding, shingles, vectors
-from evispark.llm.common import crc32_join, prefix_sums, vocabulary
+from evispark.llm.common import crc32_join, prefix_sums, tokenizer, vocabulary
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, _h string, rep string, part string"
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -582,6 +582,61 @@ def test_lanes_round_trip():
     assert max(map(len, coder.encode_lanes(alike))) < 5000 * 2 / 10
 
 
+def test_coded_ids_take_what_their_counts_say():
+    rng = np.random.default_rng(9)
+    grid = rng.zipf(1.3, (64, 2000)) % 3000 * 16
+    q = np.unique(grid, return_counts=True)[1] / grid.size
+    payloads = coder.encode_lanes(grid)
+    assert (coder.decode_lanes(payloads, 2000) == grid).all()
+    assert 8 * sum(map(len, payloads)) < 1.1 * -(q * np.log2(q)).sum() * grid.size
+    # orders 1 and 2: words of three ids, of which the last follows from the two before
+    words = rng.integers(0, 9, (64, 1000, 2))
+    grid = np.dstack([words, words[:, :, :1] * 10 + words[:, :, 1:] + 100]).reshape(64, 3000)
+    payloads = coder.encode_lanes(grid)
+    assert (coder.decode_lanes(payloads, 3000) == grid).all()
+    q = np.unique(grid, return_counts=True)[1] / grid.size
+    assert 8 * sum(map(len, payloads)) < 0.6 * -(q * np.log2(q)).sum() * grid.size
+
+
+def test_documents_cross_groups_of_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, words(rng, n, 400)) for i, n in enumerate([3, 900, 1, 40, 2500, 0, 128])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    coder.write_ids(df, str(tmp_path / "ids"), WORD, block_ids=64, lanes=2)
+    files = spark.read.parquet(str(tmp_path / "ids"))
+    assert max(len(r["frames"]) for r in files.collect()) == 2
+    got = sorted(tuple(r) for r in coder.read_documents(files).collect())
+    at = 0
+    for (i, text), row in zip(rows, got, strict=True):
+        ids = np.array([*tokenizer(WORD).encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert row == (i, at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_words_are_asked_for_once():
+    from evispark.llm.common import UnitEncoder, unit_encoder
+
+    asked = []
+
+    class Noted(UnitEncoder):
+        def ask(self, texts):
+            asked.extend(texts)
+            return super().ask(texts)
+
+        def ask_words(self, words):
+            asked.extend(words)
+            return super().ask_words(words)
+
+    units, library = Noted(WORD, unit_encoder(WORD).ends), tokenizer(WORD)
+    texts = ["Word word, (WORD) word. wORD", "", "word...", "don't \u0130[ \u0130 x2 <|endoftext|> a\u00a0b a\x1cb \u00c9tat. \u03a3\u03a3", "|a| .\u00e9. --b-- c\u0301. \u1100\u1161! ..'s"]
+    assert [x.tolist() for x in units.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(x.lower() == "word" for x in asked) == 1
+    rng = random.Random(6)
+    letters = [*"abIS\u00df\u00e9\u03a3\u03c2\u0130\u0131\u212a\uac00\u1100\u4e2d\u00bd\u06630 \t\n\x1c\x85\u3000\u200b\u0301\u0307'.,-<|>[", "'s", "the", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    assert [x.tolist() for x in units.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_damage_is_found():
     data = coder.frame(2, np.array([(5, 0, 2)], coder.ENTRY), b"abcd")
     assert coder.unframe(data)[0] == 2
