@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm.common import crc32_join, encode_texts, scratch_path, settle
 
-LIST = 4  # ids a context lists
+LIST = 4  # ids a context lists; the places of their shares fill a number of 64 bits
 LIST_BITS, ID_BITS = 14, 20  # a list's shares, and those of order 0, are out of two to this power
 SLOTS = 1 << 16  # for contexts of order 2
 SEEN = 3  # times an id has to follow a context to be listed
@@ -24,6 +24,7 @@ PAYS = 0.05  # bits that a list has to save each time its context is met
 # The coder's window has 53 bits, which a double holds exactly, and moves on by 32.
 WINDOW, KEPT = 53, 21
 LOW = 1 << KEPT
+EACH, TOPS = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
 PARTS = (("ids", "<u2"), ("widths", "<u4"), ("one", "<u2"), ("two", "<u4"), ("listed", "<u2"), ("shares", "<u2"))
 
 
@@ -41,7 +42,7 @@ def contexts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slot(c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
-    return (c1 * 40503 + c2 * 10007 >> 3) & (SLOTS - 1)
+    return (c1 * 40503 ^ c2) & (SLOTS - 1)
 
 
 class Model:
@@ -75,9 +76,11 @@ class Model:
         np.cumsum(shares, axis=1, out=cum[:, 1:-1])
         cum[:, -1] = 1 << LIST_BITS
         self.lists = len(shares) - 1
-        self.listed, self.cum = listed.astype(np.int64).ravel(), cum.astype(np.int64).ravel()
-        self.ends = [np.ascontiguousarray(cum[:, k + 1]) for k in range(LIST)]
-        self.by_rank = [np.ascontiguousarray(listed[:, k]) for k in range(LIST)]
+        # per list and rank the id, where its share begins, and its share: one number each
+        self.entry = (listed.astype(np.int64) << 32 | cum[:, :-1].astype(np.int64) << 16 | np.diff(cum, axis=1)).ravel()
+        # per list the LIST places where shares end, in 16 bits each
+        self.ends = np.ascontiguousarray(cum[:, 1:-1]).view(np.uint64).ravel()
+        self.by_rank = [listed[:, k].astype(np.int64) for k in range(LIST)]
         self.one = np.zeros(1 << 16, np.int64)
         self.one[one] = np.arange(1, len(one) + 1)
         self.key, self.two = np.full(SLOTS, -1), np.zeros(SLOTS, np.int64)
@@ -93,11 +96,15 @@ class Model:
             out = np.where(self.key[at] == (c2 << 16 | c1), self.two[at], out)
         return out
 
+    def rank_at(self, lists: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """How many shares of the lists end at ``v`` or before it: all four are compared at once."""
+        return np.bitwise_count((v.view(np.uint64) * EACH | TOPS) - self.ends[lists] & TOPS)
+
     def rank(self, lists: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Place of ``x`` in the lists; LIST where it is not in its list."""
-        out = np.full(x.shape, LIST, np.int32)
-        for k in range(LIST):
-            out[self.by_rank[k][lists] == x] = k
+        out = np.full(x.shape, LIST, np.int8)
+        for k, ids in enumerate(self.by_rank):
+            out -= (ids[lists] == x) * np.int8(LIST - k)
         return out
 
 
@@ -150,12 +157,17 @@ def fit(x: np.ndarray) -> bytes:
         return context[pays], listed[pays], shares[pays], saved[pays]
 
     c1, c2 = contexts(x)
-    key = c1.astype(np.uint32) << np.uint32(16) | x
+    key = c1.astype(np.uint32)
+    key <<= 16
+    key |= x
     pairs = np.sort(key, axis=None)
     one, listed, shares, _ = lists(pairs, lambda k: share[k & 0xFFFF], lambda k: bits[k & 0xFFFF], lambda c: np.zeros(len(c)))
     parts |= {"one": one, "listed": listed, "shares": shares}
     first, n = runs(pairs)
-    pairs, after = pairs[first], counts_of_contexts(x)
+    pairs = pairs[first]
+    # how often each id stands ahead of another; 0 stands ahead of each row too
+    after = counts - np.bincount(x[:, -1], minlength=1 << 16)
+    after[0] += len(x)
     model = Model(pack(parts))
     left = np.zeros(1 << 16)
     if len(one):
@@ -169,12 +181,13 @@ def fit(x: np.ndarray) -> bytes:
         c, y = k >> 16 & 0xFFFF, k & 0xFFFF
         number = model.one[c]
         rank = model.rank(number, y)
-        at = number * (LIST + 2) + rank
-        width = model.cum[at + 1] - model.cum[at]
+        width = model.entry[number * (LIST + 1) + rank] & 0xFFFF
         return np.where(rank < LIST, LIST_BITS - np.log2(width), left[c] + bits[y])
 
-    triples = c2.astype(np.uint64) << np.uint64(32) | key
-    triples.shape = (-1,)
+    triples = c2.astype(np.uint64).ravel()
+    triples <<= 32
+    triples |= key.ravel()
+    del c1, c2, key
     triples.sort()
     two, listed2, shares2, saved = lists(triples, lower, known, lambda c: left[c & 0xFFFF])
     if len(two):
@@ -186,14 +199,7 @@ def fit(x: np.ndarray) -> bytes:
     return pack(parts)
 
 
-def counts_of_contexts(x: np.ndarray) -> np.ndarray:
-    """How often each id stands ahead of another; 0 stands ahead of each row too."""
-    out = np.bincount(x[:, :-1].ravel(), minlength=1 << 16)
-    out[0] += len(x)
-    return out
-
-
-def encode_lanes(ids: np.ndarray, columns: int = 256) -> list[bytes]:
+def encode_lanes(ids: np.ndarray, columns: int = 64) -> list[bytes]:
     """Payloads of the rows of ``ids`` (uint16 range), a group; the first begins with the model of all."""
     x = ids.astype(np.uint16)
     lanes, n = x.shape
@@ -217,28 +223,30 @@ def encode_lanes(ids: np.ndarray, columns: int = 256) -> list[bytes]:
     for begin in range(0, n, columns):
         after = steps[begin : begin + columns + 2].astype(np.int64)
         here, c1, c2 = after[2:], after[1:-1], after[:-2]
-        start, width = model.start[here], model.width[here]
         if model.lists:
             lists = model.list_of(c1, c2)
             rank = model.rank(lists, here)
-            at = lists * (LIST + 2) + rank
-            share = model.cum[at]
-            part, other = model.cum[at + 1] - share, rank == LIST
-        for j in range(len(here)):
-            if model.lists:
+            entry = model.entry[lists * (LIST + 1) + rank]
+            share, part, other = entry >> 16 & 0xFFFF, entry & 0xFFFF, rank == LIST
+            here = here[other]
+            start, width, e = model.start[here], model.width[here], 0
+            for j, missed in enumerate(other):
                 r = rng >> LIST_BITS
                 low += r * share[j]
                 np.multiply(r, part[j], out=rng)
                 move()
-                m = other[j].nonzero()[0]
+                m = missed.nonzero()[0]
+                b, e = e, e + len(m)
                 r = rng[m] >> ID_BITS
-                low[m] += r * start[j][m]
-                rng[m] = r * width[j][m]
-            else:
+                low[m] += r * start[b:e]
+                rng[m] = r * width[b:e]
+                move()
+        else:
+            for start, width in zip(model.start[here], model.width[here], strict=True):
                 r = rng >> ID_BITS
-                low += r * start[j]
-                np.multiply(r, width[j], out=rng)
-            move()
+                low += r * start
+                np.multiply(r, width, out=rng)
+                move()
     # a value of the last interval that needs one word more
     words[used] = low + LOW - 1 >> KEPT
     sizes = used % room + 1
@@ -284,15 +292,11 @@ def decode_lanes(payloads: list[bytes], n: int) -> np.ndarray:
             lists = model.list_of(c1, c2)
             r = rng >> LIST_BITS
             v = (code / r).astype(np.int64)  # below 2**53, so exact
-            rank = np.zeros(lanes, np.int64)
-            for end in model.ends:
-                rank += end[lists] <= v
-            at = lists * (LIST + 2) + rank
-            share = model.cum[at]
-            np.subtract(code, r * share, out=code)
-            np.multiply(r, model.cum[at + 1] - share, out=rng)
+            entry = model.entry[lists * (LIST + 1) + model.rank_at(lists, v)]
+            np.subtract(code, r * (entry >> 16 & 0xFFFF), out=code)
+            np.multiply(r, entry & 0xFFFF, out=rng)
             move()
-            x = model.listed[at - lists]
+            x = entry >> 32
             m = (x < 0).nonzero()[0]
             r, c = rng[m] >> ID_BITS, code[m]
             y = model.by_share[(c / r).astype(np.int64)]

@@ -95,7 +95,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
 KEPT_CHARS = 64
 
 # Texts of so many times as many characters are taken at a time where they are cut in units.
-UNITS_STEP = 4
+UNITS_STEP = 2
 
 # ASCII marks that a word may stand between. No apostrophe, which may begin a contraction, and none of "<>" of special tokens.
 MARKS = '!"#$%&()*+,-./:;=?@[\\]^_`{|}~'
@@ -113,16 +113,22 @@ class UnitEncoder:
     """
 
     def __init__(self, path: str, ends: np.ndarray, memory: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.library, self.memory, self.known, self.ends = tokenizer(path), memory, {"": b""}, ends
+        # the same model for words of a to z, which no normalising changes and nothing cuts
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ask_words(self, words: list[str], at_once: int = 500) -> list[bytes]:
+    def ask_words(self, words: list[str], plain: bool = False, at_once: int = 500) -> list[bytes]:
         """As `ask` for words of letters only: many a text, which ids that end a word tell apart again."""
+        library = self.plain if plain else self.library
         groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
         out = []
-        for group, e in zip(groups, self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(group):
@@ -135,12 +141,20 @@ class UnitEncoder:
     def pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces."""
         known = self.known
-        new = [x for x in pieces if x not in known]
-        words = {x for x in new if x.isalpha() and FALLS_APART not in x}
-        rest = [x for x in new if x not in words]
-        fresh = dict(zip(rest, self.ask(rest), strict=True)) | dict(zip(words, self.ask_words(list(words)), strict=True))
-        known.update(itertools.islice(((x, ids) for x, ids in fresh.items() if len(x) <= KEPT_CHARS), max(self.memory - len(known), 0)))
-        return [known[x] if x in known else fresh[x] for x in pieces]
+        out = list(map(known.get, pieces))
+        plain, words, others = [], [], []
+        for i, ids in enumerate(out):
+            if ids is None:
+                x = pieces[i]
+                letters = x.isalpha() and FALLS_APART not in x
+                (plain if letters and x.isascii() and x.islower() else words if letters else others).append(i)
+        for at, ask in ((plain, lambda w: self.ask_words(w, plain=True)), (words, self.ask_words), (others, self.ask)):
+            asked = [pieces[i] for i in at]
+            fresh = ask(asked)
+            for i, ids in zip(at, fresh, strict=True):
+                out[i] = ids
+            known.update(itertools.islice(((x, ids) for x, ids in zip(asked, fresh, strict=True) if len(x) <= KEPT_CHARS), max(self.memory - len(known), 0)))
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         import pyarrow as pa
@@ -148,24 +162,26 @@ class UnitEncoder:
 
         # At ASCII blanks only: others stay inside a unit, where the library drops them.
         cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded = cut.flatten().dictionary_encode()
-        units = coded.dictionary
+        counts, coded = cut.value_lengths().to_numpy(), cut.flatten().dictionary_encode()
+        del cut
+        units, which = coded.dictionary, coded.indices.to_numpy()
         core = pc.ascii_lower(pc.ascii_trim(units, characters=MARKS))
         word = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring(core, FALLS_APART)))
         keys = pc.if_else(word, core, units).dictionary_encode()
-        pieces = {x: i for i, x in enumerate(keys.dictionary.to_numpy(zero_copy_only=False))}
-        parts = np.full((len(units), 3), pieces.setdefault("", len(pieces)), np.int32)
+        pieces, marks = keys.dictionary.to_numpy(zero_copy_only=False).tolist(), {"": 0}
+        parts = np.full((len(units), 3), len(pieces), np.int32)
         parts[:, 1] = keys.indices.to_numpy()
         for column, trim in ((0, pc.ascii_ltrim), (2, pc.ascii_rtrim)):
-            marks = pc.subtract(pc.binary_length(units), pc.binary_length(trim(units, characters=MARKS))).to_numpy()
-            at = np.flatnonzero((marks > 0) & word.to_numpy(zero_copy_only=False))
-            found = units.take(pa.array(at)).to_numpy(zero_copy_only=False)
-            cuts = zip(found, marks[at].tolist(), strict=True)
-            parts[at, column] = [pieces.setdefault(u[len(u) - k :] if column else u[:k], len(pieces)) for u, k in cuts]
-        ids = self.pieces(list(pieces))
-        flat, ends = gathered(np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64), parts.ravel())
-        flat, ends = gathered(flat, np.diff(ends[::3]), coded.indices.to_numpy())
-        bounds = ends[np.cumsum(cut.value_lengths().to_numpy())]
+            size = pc.subtract(pc.binary_length(units), pc.binary_length(trim(units, characters=MARKS))).to_numpy()
+            at = np.flatnonzero((size > 0) & word.to_numpy(zero_copy_only=False))
+            found = zip(units.take(pa.array(at)).to_numpy(zero_copy_only=False), size[at].tolist(), strict=True)
+            parts[at, column] = [len(pieces) + marks.setdefault(u[-k:] if column else u[:k], len(marks)) for u, k in found]
+        ids = self.pieces(pieces + list(marks))
+        flat, ends = gathered(np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4, parts.ravel())
+        flat, ends = gathered(flat, np.diff(ends[::3]), which)
+        bounds = ends[np.cumsum(counts)]
+        del coded, units, which, core, word, keys
+        pa.default_memory_pool().release_unused()
         return [flat[x:y] for x, y in itertools.pairwise([0, *bounds.tolist()])]
 
 
@@ -190,8 +206,10 @@ def unit_encoder(path: str) -> UnitEncoder | None:
     first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
     blanks = [n["type"] for n in parts] == ["NFC", "Replace", "Lowercase"] and parts[1]["pattern"] == {"Regex": r"\s+"}
     drops = first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]+" in first["pattern"]["Regex"]
+    words = drops and r"|[\p{L}]+|" in first["pattern"]["Regex"] and [(p["type"], p.get("add_prefix_space")) for p in spec["pre_tokenizer"]["pretokenizers"][1:]] == [("ByteLevel", False)]
+    whole = not any(t["content"].strip(MARKS).isalpha() or len(t["content"].split()) != 1 for t in spec["added_tokens"])
     suffix = spec["model"].get("end_of_word_suffix")
-    if not (blanks and drops and suffix):
+    if not (blanks and words and whole and suffix):
         return None
     ends = np.zeros(max(spec["model"]["vocab"].values()) + len(spec["added_tokens"]) + 1, bool)
     ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True

@@ -623,9 +623,9 @@ def test_words_are_asked_for_once():
             asked.extend(texts)
             return super().ask(texts)
 
-        def ask_words(self, words):
+        def ask_words(self, words, plain=False):
             asked.extend(words)
-            return super().ask_words(words)
+            return super().ask_words(words, plain)
 
     units, library = Noted(WORD, unit_encoder(WORD).ends), tokenizer(WORD)
     texts = ["Word word, (WORD) word. wORD", "", "word...", "don't \u0130[ \u0130 x2 <|endoftext|> a\u00a0b a\x1cb \u00c9tat. \u03a3\u03a3", "|a| .\u00e9. --b-- c\u0301. \u1100\u1161! ..'s"]
