@@ -124,7 +124,7 @@ class UnitEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ask_words(self, words: list[str], plain: bool = False, at_once: int = 500) -> list[bytes]:
-        """As `ask` for words of letters only: many a text, which ids that end a word tell apart again."""
+        """As `ask` for short words of letters only: many a text, which ids that end a word tell apart again."""
         library = self.plain if plain else self.library
         groups = [words[i : i + at_once] for i in range(0, len(words), at_once)]
         out = []
@@ -146,7 +146,7 @@ class UnitEncoder:
         for i, ids in enumerate(out):
             if ids is None:
                 x = pieces[i]
-                letters = x.isalpha() and FALLS_APART not in x
+                letters = len(x) <= KEPT_CHARS and x.isalpha() and FALLS_APART not in x
                 (plain if letters and x.isascii() and x.islower() else words if letters else others).append(i)
         for at, ask in ((plain, lambda w: self.ask_words(w, plain=True)), (words, self.ask_words), (others, self.ask)):
             asked = [pieces[i] for i in at]

@@ -625,10 +625,11 @@ def test_words_are_asked_for_once():
 
         def ask_words(self, words, plain=False):
             asked.extend(words)
+            assert max(map(len, words), default=0) < 100
             return super().ask_words(words, plain)
 
     units, library = Noted(WORD, unit_encoder(WORD).ends), tokenizer(WORD)
-    texts = ["Word word, (WORD) word. wORD", "", "word...", "don't \u0130[ \u0130 x2 <|endoftext|> a\u00a0b a\x1cb \u00c9tat. \u03a3\u03a3", "|a| .\u00e9. --b-- c\u0301. \u1100\u1161! ..'s"]
+    texts = ["Word word, (WORD) word. wORD", "", "word...", "don't \u0130[ \u0130 x2 <|endoftext|> a\u00a0b a\x1cb \u00c9tat. \u03a3\u03a3", "|a| .\u00e9. --b-- c\u0301. \u1100\u1161! ..'s", "ab" * 500 + " " + "\u4e2d\u00e9" * 500 + "."]
     assert [x.tolist() for x in units.encode(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
     assert sum(x.lower() == "word" for x in asked) == 1
     rng = random.Random(6)
