@@ -342,9 +342,9 @@ def write_ids(docs: DataFrame, path: str, vocab: str, end_id: int = 1, block_ids
     Rows are (part, block, frames): a part is a range of doc_ids, blocks follow
     each other within it. A row holds a group of up to ``lanes`` blocks from
     number ``block`` on and can be read alone; every block is checksummed, and
-    the first has the model of the group. Null doc_ids come first; a null text has the end
-    id alone; repeated rows stay, in any order among themselves. Ids must be
-    below 65,536. An empty table writes no block.
+    the first has the model of the group. Null doc_ids come first; a null text
+    has the end id alone; repeated rows stay, in any order among themselves.
+    Ids must be below 65,536. An empty table writes no block.
     """
 
     def run(batches):
